@@ -7,10 +7,11 @@ large ones the continued fraction. The text is long: apply it to aggregated rows
 from __future__ import annotations
 
 import math
+import re
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SERIES_TERMS = 60
 FRACTION_LEVELS = 40
@@ -37,15 +38,9 @@ def erfc_sql(x: str) -> str:
 
 
 def _as_doubles(text: str) -> str:
-    import re
     return re.sub(r"(?<![\w.])(\d+\.\d+)(?!\d*e)", r"\1e0", text)
 
 
-def two_sided(z: str) -> Column:
-    """Two-sided p for a column holding z; |z|/sqrt(2) is named once by the caller's projection."""
-    return F.expr(erfc_sql(z))
-
-
 def with_p_values(df, z: str = "z", alternative: str = "two-sided", name: str = "p_value"):
     """Add the p-value of column `z`; NULL z gives NULL."""
     scaled = df.withColumn("_x", F.abs(F.col(z)) / math.sqrt(2.0))
@@ -103,7 +98,7 @@ def student_two_sided(t: float, freedom: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a correlation; runs on the few rows of a correlation table."""
     def one(rho, size):

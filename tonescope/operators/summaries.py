@@ -84,9 +84,9 @@ def count_by(df: DataFrame, *keys) -> DataFrame:
 def sentiment_breakdown(df: DataFrame, *keys) -> DataFrame:
     """positive / negative / neutral columns with 0 where absent; total counts these three."""
     kept = df.dropna(subset=list(keys)).where(F.col("sentiment").isin(SENTIMENTS))
-    wide = (kept.groupBy(*keys).pivot("sentiment", SENTIMENTS).agg(F.count("*"))
-            .na.fill(0, SENTIMENTS))
-    return wide.withColumn("total", F.col("positive") + F.col("negative") + F.col("neutral"))
+    return kept.groupBy(*keys).agg(*[m.count_sentiment(s).alias(s)
+                                     for s in ("positive", "negative", "neutral")],
+                                   F.count("*").alias("total"))
 
 
 def add_shares(breakdown: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def cross_tab(df: DataFrame, rows: str, column: str, values: list, normalise: bo
     """Counts of `column` values per row key, or shares of the row total."""
     safe = [str(v) for v in values]
     wide = (df.where(F.col(rows).isNotNull()).groupBy(rows).pivot(column, values)
-            .agg(F.count("*")).na.fill(0, safe))
+            .agg(F.count(F.lit(1))).na.fill(0, safe))
     if not normalise:
         return wide
     total = sum((F.col(v) for v in safe), F.lit(0))
