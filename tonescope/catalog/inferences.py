@@ -179,14 +179,16 @@ def correlation_per_agent(spark, folder):
     UNION ALL SELECT 'steps', 'tokens', round(corr(steps, tokens), 9), count(*) FROM r
     UNION ALL SELECT 'errors', 'tokens', round(corr(errors, tokens), 9), count(*) FROM r"""))
 def spearman_of_metrics(spark, folder):
-    table = inference.spearman_table(run_metrics(spark, folder), ["steps", "errors", "tokens"])
+    table = inference.spearman_table(run_metrics(spark, folder), ["run_id"],
+                                     ["steps", "errors", "tokens"])
     return table.select("x", "y", F.round("rho", 9).alias("rho"), "n")
 
 
 @query("spearman_with_p", "J-9 P-4")
 def spearman_with_p(spark, folder):
     """As spearman_of_metrics with Student p-values, which SQL cannot express."""
-    return inference.spearman_table(run_metrics(spark, folder), ["steps", "errors", "tokens"])
+    return inference.spearman_table(run_metrics(spark, folder), ["run_id"],
+                                     ["steps", "errors", "tokens"])
 
 
 @query("mean_and_spread_over_seeds", "J-10 D-19", on_steps("""

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tonescope.functions.measures import rate
 from tonescope.functions.normal import correlation_p, with_p_values
+from tonescope.operators.ranking import cumulative_counts
 from tonescope.schema import ALPHA, MIN_TEST_CELL
 
 ONE_SIDE_EMPTY = "one side has no reviews, so there is no rate to test"
@@ -140,24 +141,29 @@ def safe_correlation(x: str, y: str) -> Column:
     return F.when(varies, F.corr(a.cast("double"), b.cast("double")))
 
 
-def average_ranks(df: DataFrame, columns) -> DataFrame:
-    """Each column replaced by its average rank (ties share the mean), for tables of any size."""
-    from tonescope.operators.ranking import _cumulative
-    for c in columns:
-        placed = _cumulative(df, c, [], True)
-        mean = F.col("_before") + (F.col("_n") + 1) / 2
-        ranks = placed.select(c, mean.cast("double").alias(f"{c}_rank"))
-        df = df.join(ranks, c)
-    return df
+def average_ranks(df: DataFrame, keys, columns) -> DataFrame:
+    """Each column's average rank (ties share the mean), for tables of any size.
 
-
-def spearman_table(df: DataFrame, columns) -> DataFrame:
+    `keys` identify a row. All columns are ranked together in one long table (metric, value) and
+    come back side by side under their own names.
+    """
+    items = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+             for c in columns]
+    long = df.select(*keys, F.inline(F.array(*items)))
+    mean = F.col("_before") + (F.col("_n") + 1) / 2
+    ranks = cumulative_counts(long, "value", ["metric"], True).select(
+        "metric", "value", mean.cast("double").alias("rank"))
+    return (long.join(ranks, ["metric", "value"]).groupBy(*keys)
+            .agg(*[F.max(F.when(F.col("metric") == c, F.col("rank"))).alias(c)
+                   for c in columns]))
+
+
+def spearman_table(df: DataFrame, keys, columns) -> DataFrame:
     """Spearman correlation and p-value of every column pair over complete rows."""
-    ranked = average_ranks(df.dropna(subset=list(columns)).select(*columns), columns)
-    table = correlation_table(ranked, [f"{c}_rank" for c in columns])
-    strip = [F.regexp_replace(c, "_rank$", "").alias(c) for c in ("x", "y")]
-    return table.select(*strip, F.col("r").alias("rho"), "n",
-                        correlation_p("r", F.col("n").cast("double")).alias("p_value"))
+    ranked = average_ranks(df.dropna(subset=list(columns)), keys, columns)
+    return correlation_table(ranked, columns).select(
+        "x", "y", F.col("r").alias("rho"), "n",
+        correlation_p("r", F.col("n").cast("double")).alias("p_value"))
 
 
 def frontier(df: DataFrame, cost: str, score: str) -> DataFrame:

@@ -42,7 +42,7 @@ def _distinct_values(df: DataFrame, by: str, scope) -> DataFrame:
             .agg(F.count("*").alias("_n")))
 
 
-def _cumulative(df: DataFrame, by: str, scope, ascending: bool) -> DataFrame:
+def cumulative_counts(df: DataFrame, by: str, scope, ascending: bool) -> DataFrame:
     """(scope, value, _n, _before): how many rows come strictly before each distinct value."""
     scope = list(scope)
     values = _distinct_values(df, by, scope)
@@ -70,7 +70,7 @@ def _cumulative(df: DataFrame, by: str, scope, ascending: bool) -> DataFrame:
 
 def wide_rank(df: DataFrame, by: str, scope=(), ascending: bool = False) -> DataFrame:
     """Competition rank over scopes of any size."""
-    ranks = (_cumulative(df, by, scope, ascending)
+    ranks = (cumulative_counts(df, by, scope, ascending)
              .select(*scope, by, (F.col("_before") + 1).cast("bigint").alias("rank")))
     return df.join(ranks, [*scope, by])
 
@@ -140,7 +140,7 @@ def quantiles(df: DataFrame, by: str, points, scope=()) -> DataFrame:
     Returns one row per (scope, q). Works on counts of distinct values, never on a collected group.
     """
     scope = list(scope)
-    spread = _cumulative(df, by, scope, True)
+    spread = cumulative_counts(df, by, scope, True)
     size = F.sum("_n").alias("_total")
     if scope:
         placed = spread.join(spread.groupBy(*scope).agg(size), scope)
@@ -164,7 +164,7 @@ def quantiles(df: DataFrame, by: str, points, scope=()) -> DataFrame:
 def cumulative_share(df: DataFrame, by: str, scope=()) -> DataFrame:
     """Empirical distribution: per distinct value, the share of rows at or below it."""
     scope = list(scope)
-    spread = _cumulative(df, by, scope, True)
+    spread = cumulative_counts(df, by, scope, True)
     size = F.sum("_n").alias("_total")
     if scope:
         placed = spread.join(spread.groupBy(*scope).agg(size), scope)
