@@ -194,12 +194,13 @@ def cell_size_distribution(spark, folder):
 
 
 @query("rate_histogram", "D-23", on_cells("""
-    SELECT CAST(floor(neg_count * 20 / total_count) AS BIGINT) AS bin, count(*) AS n
+    SELECT CAST(least(19, floor(neg_count * 20 / total_count)) AS BIGINT) AS bin, count(*) AS n
     FROM cells GROUP BY ALL"""))
 def rate_histogram(spark, folder):
     cells = derived.feedback_cells(spark, folder)
-    # twenty bins of 0.05, placed by integer arithmetic so no rate falls on the wrong side of an edge
-    return (cells.groupBy(F.floor(m.rate(F.col("neg_count") * 20, "total_count")).alias("bin"))
+    # twenty bins of 0.05 from integer counts, the last one closed at 1
+    bin_no = F.floor(m.rate(F.col("neg_count") * 20, "total_count"))
+    return (cells.groupBy(F.least(F.lit(19).cast("bigint"), bin_no).alias("bin"))
             .agg(F.count("*").alias("n")))
 
 

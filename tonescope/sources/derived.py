@@ -66,6 +66,34 @@ def feedback_cells(spark: SparkSession, folder: str) -> DataFrame:
                     "neu_count", "pos_count"))
 
 
+def raw_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as raw reviews: one to three label codes each, written as a list literal."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    def code(i):
+        return F.concat(F.lit("'G"), (F.col("doc_id") + i) % 5, F.lit(".Brand#"),
+                        (F.col("doc_id") * (i + 1)) % 25 + 1, F.lit("."),
+                        (F.col("doc_id") + i) % 3 - 1, F.lit("'"))
+    kept = F.slice(F.array(code(0), code(1), code(2)), F.lit(1),
+                   (F.col("doc_id") % 3 + 1).cast("int"))
+    return docs.select(
+        F.col("doc_id").cast("string").alias("id"), "text",
+        (F.col("doc_id") % 50).cast("int").alias("org_index"), F.col("lang").alias("industry"),
+        F.col("source").alias("data_source"),
+        F.concat(F.lit("["), F.array_join(kept, ", "), F.lit("]")).alias("label_codes"))
+
+
+def offsets(spark: SparkSession, folder: str) -> DataFrame:
+    """An offset on the negative rate of every (org, topic), cycling through five choices."""
+    from tonescope.operators.frames import vocabulary
+    choices = F.array(*[F.lit(x) for x in (0.0, 0.05, -0.05, 0.15, -0.15)])
+    topics = table(spark, folder, "part").select(F.col("p_brand").alias("aspect"))
+    rows = organisations(spark, folder).withColumn("aspect",
+                                                   F.explode(vocabulary(topics, "aspect")))
+    turn = (F.col("suppkey") + F.substring("aspect", 7, 9).cast("int")) % 5
+    return rows.select("industry", "org", "aspect",
+                       F.element_at(choices, (turn + 1).cast("int")).alias("offset"))
+
+
 def corpora(spark: SparkSession, folder: str) -> DataFrame:
     """Two corpora for drift: `real` = source O, `made` = source F without topics 7, 14 and 21."""
     rows = feedback(spark, folder)
