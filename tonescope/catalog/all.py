@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from tonescope.catalog import inferences, measures, older, profiles, questions, ranks, slices  # noqa: F401
+from tonescope.catalog import agreements, inferences, measures, older, profiles, questions, ranks, slices  # noqa: F401
 from tonescope.catalog.base import ENTRIES
 
 __all__ = ["ENTRIES"]

@@ -23,3 +23,19 @@ def reply_streaks(steps: DataFrame) -> DataFrame:
     return (islands.groupBy("run_id", "_island", "reply")
             .agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"),
                  F.count("*").alias("streak")).drop("_island"))
+
+
+def rater_timing(items: DataFrame) -> DataFrame:
+    """Per rater: items, minutes on task, median and slowest item, first and last submission."""
+    from tonescope.operators.ranking import quantiles
+    hundredths = F.round(F.col("seconds") * 100).cast("bigint")
+    minute = "yyyy-MM-dd HH:mm"
+    first, last = F.min("ts"), F.max("ts")
+    span = F.timestamp_diff("MINUTE", F.date_trunc("minute", first), F.date_trunc("minute", last))
+    told = items.groupBy("rater").agg(
+        F.count("*").alias("items"), F.round(F.sum(hundredths) / 6000.0, 9).alias("on_task_min"),
+        F.max("seconds").alias("slowest_item"), F.date_format(first, minute).alias("first_submit"),
+        F.date_format(last, minute).alias("last_submit"), span.alias("span_min"))
+    middle = quantiles(items, "seconds", [0.5], ["rater"]).select(
+        "rater", F.col("value").alias("median_item"))
+    return told.join(middle, "rater")
