@@ -18,6 +18,7 @@ from tonescope.schema import SPREAD_CUT
 
 SCALE = [0, 1, 2, 3, 4, 5]
 RATER_LIMIT = 64
+REPLICATE_BATCH = 50
 
 
 def score_profile(ratings: DataFrame, scale=SCALE, keys=()) -> DataFrame:
@@ -27,37 +28,31 @@ def score_profile(ratings: DataFrame, scale=SCALE, keys=()) -> DataFrame:
             .agg(*counts, F.count("*").alias("m")))
 
 
-def _coincidences(k: int, weight: Column) -> list[Column]:
-    """Per unit size m, integer sums of ordered pairs of levels (i, j); divided by m - 1 later."""
-    out = []
-    for i in range(k):
-        for j in range(i, k):
-            pair = F.col(f"c{i}") * (F.col(f"c{j}") - (1 if i == j else 0))
-            out.append(F.sum(pair * weight).alias(f"o{i}_{j}"))
-    return out
+def _coincidence(i: int, j: int) -> str:
+    """Ordered pairs of levels (i, j) inside a unit, before the division by m - 1."""
+    return f"sum(c{i} * (c{j} - {int(i == j)}) * w) AS o{i}_{j}"
 
 
-def _alpha_from(matrix: DataFrame, k: int) -> DataFrame:
-    """alpha from columns o<i>_<j> (i <= j) of the coincidence matrix."""
+def _alpha_from(matrix: DataFrame, k: int, keep) -> DataFrame:
+    """alpha from columns o<i>_<j> (i <= j) of the coincidence matrix.
+
+    Written as SQL text: with many levels that is far quicker to build than nested Column calls.
+    """
     def o(i, j):
-        return F.col(f"o{min(i, j)}_{max(i, j)}")
-
-    def total(columns):
-        return sum(columns[1:], columns[0])
-
-    sized = matrix
-    for i in range(k):
-        sized = sized.withColumn(f"n{i}", total([o(i, j) for j in range(k)]))
-    sized = sized.withColumn("n", total([F.col(f"n{i}") for i in range(k)]))
-    observed, expected = [], []
-    for i, j in combinations(range(k), 2):
-        between = total([F.col(f"n{g}") for g in range(i, j + 1)])
-        distance = between - (F.col(f"n{i}") + F.col(f"n{j}")) / 2
-        sized = sized.withColumn(f"d{i}_{j}", distance * distance)
-        observed.append(2 * o(i, j) * F.col(f"d{i}_{j}"))
-        expected.append(2 * F.col(f"n{i}") * F.col(f"n{j}") * F.col(f"d{i}_{j}"))
-    ratio = F.try_divide(total(observed) * (F.col("n") - 1), total(expected))
-    return sized.withColumn("alpha", F.when(F.col("n") >= 2, 1 - ratio))
+        return f"o{min(i, j)}_{max(i, j)}"
+
+    levels = [f"({' + '.join(o(i, j) for j in range(k))}) AS n{i}" for i in range(k)]
+    sized = matrix.selectExpr("*", *levels)
+    sized = sized.selectExpr("*", f"{' + '.join(f'n{i}' for i in range(k))} AS n")
+    pairs = list(combinations(range(k), 2))
+    gaps = [f"power({' + '.join(f'n{g}' for g in range(i, j + 1))} - (n{i} + n{j}) / 2, 2D) "
+            f"AS d{i}_{j}" for i, j in pairs]
+    sized = sized.selectExpr("*", *gaps)
+    observed = " + ".join(f"2 * {o(i, j)} * d{i}_{j}" for i, j in pairs)
+    expected = " + ".join(f"2 * n{i} * n{j} * d{i}_{j}" for i, j in pairs)
+    return sized.selectExpr(*keep, "units", "n AS pairable",
+                            f"CASE WHEN n >= 2 THEN 1 - try_divide(({observed}) * (n - 1), "
+                            f"{expected}) END AS alpha")
 
 
 def alpha(ratings: DataFrame, scale=SCALE, keys=()) -> DataFrame:
@@ -68,14 +63,12 @@ def alpha(ratings: DataFrame, scale=SCALE, keys=()) -> DataFrame:
 
 def alpha_of_profiles(profiles: DataFrame, k: int, keys=()) -> DataFrame:
     """alpha from score profiles with a weight column `w` (how often each profile counts)."""
-    kept = profiles.where(F.col("m") >= 2)
-    by_size = kept.groupBy(*keys, "m").agg(*_coincidences(k, F.col("w")),
-                                           F.sum("w").alias("units"))
-    names = [f"o{i}_{j}" for i in range(k) for j in range(i, k)]
-    shares = [F.sum(F.col(c).cast("double") / (F.col("m") - 1)).alias(c) for c in names]
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+    by_size = (profiles.where("m >= 2").groupBy(*keys, "m")
+               .agg(*[F.expr(_coincidence(i, j)) for i, j in cells], F.sum("w").alias("units")))
+    shares = [F.expr(f"sum(cast(o{i}_{j} AS double) / (m - 1)) AS o{i}_{j}") for i, j in cells]
     grouped = by_size.groupBy(*keys) if keys else by_size.groupBy()
-    matrix = grouped.agg(*shares, F.sum("units").alias("units"))
-    return _alpha_from(matrix, k).select(*keys, "units", F.col("n").alias("pairable"), "alpha")
+    return _alpha_from(grouped.agg(*shares, F.sum("units").alias("units")), k, keys)
 
 
 def corrected_alpha(estimate: Column, units: Column, raters: int) -> Column:
@@ -98,17 +91,22 @@ def bootstrap_alpha(ratings: DataFrame, replicates: int = 5000, seed: int = 0,
     names = [f"c{i}" for i in range(k)]
     kinds = (score_profile(ratings, scale).groupBy(*names, "m")
              .agg(F.count("*").alias("units")))
-    # every replicate gets its own copy of the profile table: replicates run in parallel
-    copies = kinds.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    # every batch of replicates gets its own copy of the profile table: batches run in parallel
+    batches = F.sequence(F.lit(0), F.lit((replicates - 1) // REPLICATE_BATCH))
+    copies = kinds.withColumn("batch", F.explode(batches))
 
     def draw(rows: pd.DataFrame) -> pd.DataFrame:
         ordered = rows.sort_values(names, kind="stable")
         size = int(ordered["units"].sum())
-        rng = np.random.default_rng([seed, int(ordered["replicate"].iloc[0])])
-        return ordered.assign(w=rng.multinomial(size, ordered["units"].to_numpy() / size))
-
-    fields = ", ".join(f"{c} long" for c in [*names, "m", "units"])
-    drawn = copies.groupBy("replicate").applyInPandas(draw, f"{fields}, replicate int, w long")
+        share = ordered["units"].to_numpy() / size
+        first = int(ordered["batch"].iloc[0]) * REPLICATE_BATCH
+        last = min(first + REPLICATE_BATCH, replicates)
+        drawn = [ordered.assign(replicate=r, w=np.random.default_rng([seed, r])
+                                .multinomial(size, share)) for r in range(first, last)]
+        return pd.concat(drawn)[[*names, "m", "replicate", "w"]]
+
+    fields = ", ".join(f"{c} long" for c in [*names, "m"])
+    drawn = copies.groupBy("batch").applyInPandas(draw, f"{fields}, replicate int, w long")
     return alpha_of_profiles(drawn.where("w > 0"), k, ["replicate"])
 
 
