@@ -45,6 +45,21 @@ def running_sum(df: DataFrame, keys, slice_col: str, order, value: Column, name:
     return placed.withColumn(name, F.col("_offset") + F.sum(value).over(inside)).drop("_offset")
 
 
+def running_max_before(df: DataFrame, keys, slice_col: str, order, value: Column,
+                       name: str) -> DataFrame:
+    """Largest `value` on earlier rows of the same group, NULL when there is none."""
+    tops = df.groupBy(*keys, slice_col).agg(F.max(value).alias("_top"))
+    earlier = (Window.partitionBy(*keys).orderBy(slice_col)
+               .rowsBetween(Window.unboundedPreceding, -1))
+    carried = tops.select(*keys, slice_col, F.max("_top").over(earlier).alias("_carried"))
+    inside = (Window.partitionBy(*keys, slice_col).orderBy(*order)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    placed = df.join(carried, [*keys, slice_col])
+    # greatest skips NULLs
+    return placed.withColumn(name, F.greatest(F.col("_carried"), F.max(value).over(inside))).drop(
+        "_carried")
+
+
 def previous_row(df: DataFrame, keys, idx: str, columns) -> DataFrame:
     """The same columns one step earlier (`idx - 1`), as `prev_<column>`; NULL on the first step."""
     earlier = df.select(*keys, (F.col(idx) + 1).alias(idx),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonescope.operators.ordered import number_rows
+from tonescope.operators.ordered import number_rows, running_max_before
 
 NON_ACTIONABLE_TOPICS = ["Brand#1", "Brand#2", "Brand#3"]
 
@@ -125,6 +125,69 @@ def run_steps(spark: SparkSession, folder: str) -> DataFrame:
             .drop("position", "hour"))
 
 
+def tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """The step log as tool calls with JSON arguments, handles, error kinds, tokens and replies.
+
+    A view filters, a click summarises the last selection, a purchase ranks the last table, a
+    signup answers; an error is a turn without a call or a call to a tool that does not exist.
+    """
+    steps = (run_steps(spark, folder).withColumn("k", (F.col("tokens") / 100).cast("bigint"))
+             .withColumn("_block", F.expr("idx div 1000")))
+
+    def last_of(df, event, name):
+        hit = F.when(F.col("tool") == event, F.col("idx"))
+        return running_max_before(df, ["run_id"], "_block", ["idx"], hit, name)
+
+    steps = last_of(last_of(steps, "view", "_sel"), "click", "_tab").withColumnRenamed(
+        "tool", "event")
+    k = F.col("k")
+    sel = F.concat(F.lit("s"), F.coalesce("_sel", F.lit(999)))
+    tab = F.concat(F.lit("t"), F.coalesce("_tab", F.lit(999)))
+    args = (F.when(F.col("event") == "view", F.format_string(
+                '{"industry": %s, "aspect": ["Brand#%d", " Brand#3", "Brand#3"]}',
+                F.when(k % 2 == 0, '"ASIA "').otherwise('["EUROPE", "ASIA"]'), k % 25 + 1))
+            .when(F.col("event") == "click", F.format_string(
+                '{"ref": "%s", "group_by": "%s", "min_n": %s, "min_n_column": "total_count"}', sel,
+                F.when(k % 10 == 0, "colour").otherwise("aspect"),
+                F.when(k % 3 == 0, '"30"').otherwise("30.0")))
+            .when(F.col("event") == "purchase", F.format_string(
+                '{"top_k": 3, "by": "neg_rate", "ref": "%s", "exclude": "%s"}', tab,
+                F.when(k % 2 == 0, "non_actionable").otherwise("email")))
+            .when(F.col("event") == "signup", F.format_string('{"text": "answer %d"}', k))
+            .when(k % 2 == 1, F.lit("{}")))
+    tool = (F.when(F.col("event") == "view", "filter").when(F.col("event") == "click", "summarise")
+            .when(F.col("event") == "purchase", "rank").when(F.col("event") == "signup", "answer")
+            .when(k % 2 == 1, "plot"))
+    handle = (F.when(F.col("event") == "view", F.concat(F.lit("s"), "idx"))
+              .when(F.col("event").isin("click", "purchase"), F.concat(F.lit("t"), "idx")))
+    kind = F.when((F.col("event") == "error") & (k % 2 == 1),
+                  F.when(k % 4 == 1, "unknown_tool"))
+    cached = F.when(k % 5 > 0, k % 7 * 100)
+    usage = F.when(k % 5 > 0, F.format_string(
+        '{"usage": {"prompt_tokens_details": {"cached_tokens": %d}}}', cached)).otherwise(
+        F.lit("{}"))
+    return steps.select(
+        "run_id", "task_id", "agent", "seed", "idx", "event", tool.alias("tool"),
+        args.alias("args"), handle.alias("handle"), "status", kind.alias("error_kind"), "k",
+        (F.col("tokens") + 600).alias("tokens_in"), (F.col("event_id") % 50).alias("tokens_out"),
+        usage.alias("raw_response"), "latency_s",
+        F.when(F.col("agent") == "agent1", F.col("k") / 100000).alias("cost_usd"), "event_id", "ts")
+
+
+def model_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """One text reply per event, holding JSON in several wrappings or none."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    reply = (F.when(k % 5 == 0, F.format_string('```json\n{"score": %d}\n```', k))
+             .when(k % 5 == 1, F.format_string('I think {not json} answer {"text": "n%d"} done', k))
+             .when(k % 5 == 2, F.format_string(
+                 '<tool_call>{"name": "filter", "arguments": {"org": "o%d"}}</tool_call>', k))
+             .when(k % 5 == 3, F.format_string("the score is %d of 100", k))
+             .otherwise(F.format_string('{"score": %d, "broken": ', k)))
+    return table(spark, folder, "events").select(
+        "event_id", F.concat(F.lit("model"), (F.col("user_id") % 4).cast("string")).alias("model"),
+        k.alias("k"), reply.alias("reply"))
+
+
 def ratings(spark: SparkSession, folder: str) -> DataFrame:
     """Three raters per document on 0-5, with about one rating in eleven missing."""
     docs = table(spark, folder, "documents").select("doc_id")
