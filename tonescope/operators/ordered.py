@@ -37,12 +37,24 @@ def number_rows(df: DataFrame, keys, slice_col: str, order, name: str) -> DataFr
                               .cast("bigint")).drop("_offset"))
 
 
-def running_sum(df: DataFrame, keys, slice_col: str, order, value: Column, name: str) -> DataFrame:
-    """Inclusive running total of `value` within `keys`."""
+def running_sums(df: DataFrame, keys, slice_col: str, order, values: dict[str, Column]):
+    """Inclusive running totals within `keys`, several at once: one offset join serves them all."""
+    sizes = df.groupBy(*keys, slice_col).agg(*[F.sum(v).alias(n) for n, v in values.items()])
+    earlier = (Window.partitionBy(*keys).orderBy(slice_col)
+               .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*keys, slice_col, *[
+        F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}") for n in values])
     inside = (Window.partitionBy(*keys, slice_col).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, 0))
-    placed = _with_offset(df, keys, slice_col, F.sum(value))
-    return placed.withColumn(name, F.col("_offset") + F.sum(value).over(inside)).drop("_offset")
+    placed = df.join(offsets, [*keys, slice_col])
+    totals = {n: F.col(f"_before_{n}") + F.coalesce(F.sum(v).over(inside), F.lit(0))
+              for n, v in values.items()}
+    return placed.withColumns(totals).drop(*[f"_before_{n}" for n in values])
+
+
+def running_sum(df: DataFrame, keys, slice_col: str, order, value: Column, name: str) -> DataFrame:
+    """Inclusive running total of `value` within `keys`."""
+    return running_sums(df, keys, slice_col, order, {name: value})
 
 
 def running_max_before(df: DataFrame, keys, slice_col: str, order, value: Column,

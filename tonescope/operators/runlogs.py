@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonescope.operators.ordered import previous_row, running_sum
+from tonescope.operators.ordered import previous_row, running_sum, running_sums
 
 BLOCK = 1000  # step numbers per slice of an ordered computation
 
@@ -39,3 +39,269 @@ def rater_timing(items: DataFrame) -> DataFrame:
     middle = quantiles(items, "seconds", [0.5], ["rater"]).select(
         "rater", F.col("value").alias("median_item"))
     return told.join(middle, "rater")
+
+
+def with_error_kind(steps: DataFrame) -> DataFrame:
+    """`kind` of every failed step: as logged, else no_tool_call or tool_error_result."""
+    default = F.when(F.col("tool").isNull(), "no_tool_call").otherwise("tool_error_result")
+    return steps.withColumn("kind", F.when(F.col("status") == "error",
+                                           F.coalesce("error_kind", default)))
+
+
+def error_counts(steps: DataFrame, *keys) -> DataFrame:
+    """Failed steps per kind."""
+    return (with_error_kind(steps).where(F.col("kind").isNotNull()).groupBy(*keys, "kind")
+            .agg(F.count("*").alias("n")))
+
+
+def error_text(steps: DataFrame, *keys) -> DataFrame:
+    """`kind:n;kind:n` per group, most frequent first. A group has at most one row per kind."""
+    line = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "kind",
+                                                            "n"))),
+                       lambda x: F.concat_ws(":", x["kind"], x["n"].cast("string")))
+    return error_counts(steps, *keys).groupBy(*keys).agg(
+        F.array_join(line, ";").alias("error_kinds"))
+
+
+def cached_tokens(column: str = "raw_response"):
+    """Cached prompt tokens from the provider's usage block, 0 where it reports none."""
+    raw = F.try_parse_json(column)
+    return F.coalesce(F.try_variant_get(raw, "$.usage.prompt_tokens_details.cached_tokens",
+                                        "bigint"), F.lit(0))
+
+
+def run_costs(steps: DataFrame, prices: DataFrame, *keys) -> DataFrame:
+    """Tokens, list-price cost and preferred cost (reported where any step reports it).
+
+    Token sums come first and prices last, so the price table meets one row per run.
+    """
+    sums = steps.groupBy("agent", *keys).agg(
+        F.sum(F.coalesce("tokens_in", F.lit(0))).alias("tokens_in"),
+        F.sum(cached_tokens()).alias("cached"),
+        F.sum(F.coalesce("tokens_out", F.lit(0))).alias("tokens_out"),
+        F.sum("cost_usd").alias("cost_reported"))
+    cost = ((F.col("tokens_in") - F.col("cached")) * F.col("input")
+            + F.col("cached") * F.col("cached_input")
+            + F.col("tokens_out") * F.col("output")) / 1e6
+    priced = sums.join(prices, "agent", "left").withColumn("cost_list", cost)
+    return priced.drop("input", "cached_input", "output").withColumn(
+        "cost_usd", F.coalesce("cost_reported", "cost_list"))
+
+
+def stopping_states(steps: DataFrame, step_cap: int, token_budget: int, timeout_s: float,
+                    stall_limit: int) -> DataFrame:
+    """The state in which the stopping rules end each run: (run_id, stop_idx, state).
+
+    The rule that fires first decides. Needs run_id, idx, tool, status, reply, tokens, latency_s;
+    `reply` is the text of a turn without a call.
+    """
+    blocked = _blocked(steps)
+    timed = running_sums(blocked, ["run_id"], "_block", ["idx"], {
+        "_spent": F.col("tokens"),
+        "_elapsed": F.round(F.col("latency_s") * 1000).cast("bigint")})
+    talk = steps.select("run_id", "idx", F.when(F.col("tool").isNull(), F.col("reply"))
+                        .alias("reply"))
+    stalls = (reply_streaks(talk).where(F.col("reply").isNotNull()
+                                        & (F.col("streak") >= stall_limit))
+              .groupBy("run_id").agg(F.min(F.col("first_idx") + stall_limit - 1).alias("at")))
+
+    def first(condition, order, state):
+        return F.min(F.when(condition, F.struct(F.col("idx").alias("stop_idx"),
+                                                F.lit(order).alias("o"),
+                                                F.lit(state).alias("state"))))
+
+    done = (F.col("tool") == "answer") & (F.col("status") == "ok")
+    rules = timed.groupBy("run_id").agg(
+        first(done, 1, "submitted").alias("r1"),
+        first(F.col("idx") == step_cap - 1, 2, "step_cap").alias("r2"),
+        first(F.col("_elapsed") > int(timeout_s * 1000), 3, "timeout").alias("r3"),
+        first(F.col("_spent") > token_budget, 4, "token_budget").alias("r4"),
+        F.max("idx").alias("last_idx"))
+    stalled = F.when(F.col("at").isNotNull(), F.struct(
+        F.col("at").alias("stop_idx"), F.lit(1).alias("o"), F.lit("stalled").alias("state")))
+    fired = F.least("r1", "r2", "r3", "r4", stalled)
+    return (rules.join(stalls, "run_id", "left").withColumn("_f", fired)
+            .select("run_id", F.coalesce("_f.stop_idx", "last_idx").alias("stop_idx"),
+                    F.coalesce("_f.state", F.lit("error")).alias("state"),
+                    (F.col("last_idx") - F.coalesce("_f.stop_idx", "last_idx")).alias(
+                        "steps_after")))
+
+
+def score_runs(steps: DataFrame, gold: DataFrame) -> DataFrame:
+    """One score row per run: completion, tool recall, path efficiency, errors, latency.
+
+    `gold` holds task_id, gold_tools (array) and gold_steps. The tools of a run form a set over
+    the tool vocabulary, however long the run.
+    """
+    work = F.coalesce(F.col("tool") != "answer", F.lit(True))
+    useful = work & (F.col("status") == "ok")
+    runs = steps.groupBy("run_id", "task_id", "agent", "seed").agg(
+        F.count("*").alias("n_steps"), F.count_if(F.col("status") == "error").alias("n_errors"),
+        F.count_if(work).alias("work_steps"),
+        F.array_sort(F.collect_set(F.when(useful, F.col("tool")))).alias("tools"),
+        F.max(F.when((F.col("tool") == "answer") & (F.col("status") == "ok"),
+                     F.length(F.trim("answer_text")) > 0)).alias("_done"))
+    joined = runs.join(gold, "task_id", "left")
+    hit = F.size(F.array_intersect("gold_tools", "tools")).cast("double")
+    recall = F.when(F.size("gold_tools") > 0, hit / F.size("gold_tools"))
+    ratio = F.try_divide(F.col("gold_steps").cast("double"), F.col("work_steps").cast("double"))
+    return joined.select(
+        "run_id", "task_id", "agent", "seed", "n_steps", "n_errors", "work_steps",
+        F.array_join("tools", ",").alias("tools"),
+        F.array_join(F.array_sort(F.array_except("gold_tools", "tools")), ",").alias("missing"),
+        F.when(F.coalesce("_done", F.lit(False)), 1).otherwise(0).alias("task_completion"),
+        recall.alias("tool_selection_accuracy"),
+        F.coalesce(F.least(F.lit(1.0), ratio), F.lit(0.0)).alias("path_efficiency"))
+
+
+def agent_name():
+    """The agent behind a run: its model, but the ablation keeps a label of its own."""
+    return (F.when(F.startswith("agent_id", F.lit("no-tool-")), "no-tool-agent")
+            .otherwise(F.coalesce("model", "agent_id", "run_dir")))
+
+
+def agent_roll_up(runs: DataFrame, states) -> DataFrame:
+    """Per agent: runs by terminal state, path-match rate (unknown counts as no), means, totals."""
+    mix = [F.count_if(F.col("state") == s).alias(s) for s in states]
+    return runs.groupBy("agent").agg(
+        F.count("*").alias("runs"), *mix,
+        F.avg(F.coalesce(F.col("path_match"), F.lit(False)).cast("double")).alias(
+            "path_match_rate"),
+        F.avg(F.col("n_steps").cast("double")).alias("mean_steps"),
+        F.avg(F.col("n_errors").cast("double")).alias("mean_errors"))
+
+
+def passed_tasks(scores: DataFrame, mark: float, missing: str = "fail") -> DataFrame:
+    """(agent, task_id, passed): every seed of the agent at or above the mark.
+
+    A seed without a score for the task fails it (`missing='fail'`) or leaves it open ('null').
+    """
+    seeds = scores.groupBy("agent").agg(F.count_distinct("seed").alias("_k"))
+    tasks = scores.groupBy("agent", "task_id").agg(
+        F.count_distinct(F.when(F.col("insight_score").isNotNull(), F.col("seed"))).alias("_s"),
+        F.count_if(F.col("insight_score").isNull()).alias("_gaps"),
+        F.every(F.coalesce(F.col("insight_score") >= mark, F.lit(False))).alias("_all"))
+    complete = (F.col("_s") == F.col("_k")) & (F.col("_gaps") == 0)
+    joined = tasks.join(seeds, "agent")
+    if missing == "fail":
+        return joined.select("agent", "task_id", (complete & F.col("_all")).alias("passed"))
+    if missing == "null":
+        # only the scores that exist decide; a task with a blank score stays open
+        return joined.select("agent", "task_id", F.when(F.col("_gaps") == 0, F.col("_all"))
+                             .alias("passed"))
+    raise ValueError("missing must be 'fail' or 'null'")
+
+
+def leaderboard(scores: DataFrame, metrics, mark: float) -> DataFrame:
+    """Per agent: mean and sd over seeds of each metric's seed mean, and the all-seeds pass rate."""
+    seeds = scores.groupBy("agent", "seed").agg(*[F.avg(x).alias(x) for x in metrics])
+    spread = [f(x).alias(f"{x}_{n}") for x in metrics
+              for f, n in ((F.avg, "mean"), (F.stddev_samp, "std"))]
+    table = seeds.groupBy("agent").agg(F.count("*").alias("k_seeds"), *spread)
+    passed = passed_tasks(scores, mark).groupBy("agent").agg(
+        F.count("*").alias("n_tasks"), F.avg(F.col("passed").cast("double")).alias("pass_k"))
+    return table.join(passed, "agent")
+
+
+def breakdown(scores: DataFrame, metrics) -> DataFrame:
+    """Metric means by (agent, task type), (agent, template) and agent, in one pass."""
+    sets = [["agent", "task_type"], ["agent", "template"], ["agent"]]
+    means = [F.avg(x).alias(x) for x in metrics]
+    return scores.groupingSets([[F.col(c) for c in s] for s in sets], "agent", "task_type",
+                               "template").agg(*means, F.count("*").alias("n"))
+
+
+def violation_table(steps: DataFrame, *keys) -> DataFrame:
+    """Failed analysis steps per kind, and whether they break the protocol (yes, no, mixed)."""
+    work = steps.where(F.coalesce(F.col("tool") != "answer", F.lit(True)))
+    broken = F.col("kind").isin("no_tool_call", "unknown_tool")
+    n, v = F.count("*"), F.count_if(broken)
+    flag = F.when(v == n, "yes").when(v == 0, "no").otherwise("mixed")
+    return (with_error_kind(work).where(F.col("kind").isNotNull()).groupBy(*keys, "kind")
+            .agg(n.alias("steps"), flag.alias("protocol_violation")))
+
+
+def run_report(steps: DataFrame, *keys) -> DataFrame:
+    """Analysis steps, failed ones and turns without a call, with their shares."""
+    work = steps.where(F.coalesce(F.col("tool") != "answer", F.lit(True)))
+    failed, silent = F.count_if(F.col("status") == "error"), F.count_if(F.col("tool").isNull())
+    return work.groupBy(*keys).agg(
+        F.count("*").alias("total_steps"), failed.alias("error_steps"),
+        (failed / F.count("*")).alias("error_share"), silent.alias("no_call_steps"),
+        (silent / F.count("*")).alias("no_call_share"))
+
+
+def tool_sets(runs: DataFrame, *keys) -> DataFrame:
+    """How often each set of tools was used."""
+    return runs.groupBy(*keys, "tools").agg(F.count("*").alias("runs"))
+
+
+def low_recall(runs: DataFrame, mark: float) -> DataFrame:
+    """Runs that missed a gold tool, by task, agent and tools used, with how many still scored."""
+    low = runs.where(F.col("tool_selection_accuracy") < 1)
+    return low.groupBy("task_id", "agent", "tools", "missing").agg(
+        F.count("*").alias("runs"), F.count_if(F.col("insight_score") >= mark).alias("good"))
+
+
+def first_generation(steps: DataFrame) -> DataFrame:
+    """Per run: calls, repeated calls, expected tool used, minimum path, markup in the answer."""
+    from tonescope.functions.text import has_markup
+    from tonescope.operators.paths import repeated_calls
+    loops = repeated_calls(steps).groupBy("run_id").agg(F.count("*").alias("loops"))
+    marked = F.max(F.coalesce(has_markup("answer_text"), F.lit(False)))
+    runs = steps.groupBy("run_id", "expected_tool", "question_type").agg(
+        F.count("tool").alias("calls"), marked.alias("answer_has_markup"),
+        F.max(F.coalesce(F.col("tool") == F.col("expected_tool"), F.lit(False))).alias("_hit"),
+        F.round(F.sum("latency_s"), 6).alias("latency_s"))
+    joined = runs.join(loops, "run_id", "left").na.fill(0, ["loops"])
+    apart = F.col("question_type") == "out_of_scope"
+    unique = F.col("calls") - F.col("loops")
+    correct = (F.when(F.col("expected_tool").isNotNull(), F.col("_hit"))
+               .when(apart, unique == 0))
+    return joined.select("run_id", "question_type", unique.alias("tool_calls"), "loops",
+                         correct.alias("skill_correct"),
+                         F.when(apart, unique == 0).otherwise(unique == 1).alias("path_efficient"),
+                         "answer_has_markup", "latency_s")
+
+
+def headline(metrics: DataFrame) -> DataFrame:
+    """Averages overall (NULL type) and per question type."""
+    flags = ["skill_correct", "path_efficient", "answer_has_markup"]
+    return metrics.rollup("question_type").agg(
+        F.count("*").alias("questions"), *[F.avg(F.col(f).cast("double")).alias(f) for f in flags],
+        F.avg(F.col("tool_calls").cast("double")).alias("tool_calls"),
+        F.sum("loops").alias("loops"))
+
+
+def usage_ledger(steps: DataFrame, block: str, price_in: float, price_out: float) -> DataFrame:
+    """Calls, tokens and cost per block."""
+    sums = steps.groupBy(block).agg(F.count("*").alias("calls"),
+                                    F.sum("tokens_in").alias("tokens_in"),
+                                    F.sum("tokens_out").alias("tokens_out"))
+    cost = F.col("tokens_in") * F.lit(price_in) + F.col("tokens_out") * F.lit(price_out)
+    return sums.withColumn("cost_usd", cost / 1e6)
+
+
+def leaks(public: DataFrame, gold: DataFrame) -> DataFrame:
+    """Tasks whose public text contains their own gold text."""
+    joined = public.join(gold, "task_id")
+    return joined.where(F.contains("public_text", "gold_text")).select("task_id")
+
+
+def event_streams(events: DataFrame) -> DataFrame:
+    """One row per session of another runner's event stream: tools used and the closing result.
+
+    Needs session_id, type, message.content[] and the result fields.
+    """
+    blocks = (events.where("type = 'assistant'")
+              .select("session_id", F.explode("message.content").alias("b"))
+              .where("b.type = 'tool_use'").groupBy("session_id")
+              .agg(F.count("*").alias("num_tool_calls")))
+    ends = events.where("type = 'result'").groupBy("session_id").agg(
+        F.max_by(F.struct("result", "num_turns", "total_cost_usd"), "seq").alias("r"))
+    sessions = events.select("session_id").distinct()
+    return (sessions.join(blocks, "session_id", "left").join(ends, "session_id", "left")
+            .select("session_id", F.coalesce("num_tool_calls", F.lit(0)).alias("num_tool_calls"),
+                    F.col("r.result").alias("final_answer"), F.col("r.num_turns").alias("num_turns"),
+                    F.col("r.total_cost_usd").alias("cost_usd"),
+                    F.when(F.col("r").isNull(), "no result event").alias("error")))
