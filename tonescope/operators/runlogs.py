@@ -70,12 +70,14 @@ def cached_tokens(column: str = "raw_response"):
                                         "bigint"), F.lit(0))
 
 
-def run_costs(steps: DataFrame, prices: DataFrame, *keys) -> DataFrame:
+def run_costs(steps: DataFrame, prices: DataFrame, *keys, on: str = "agent") -> DataFrame:
     """Tokens, list-price cost and preferred cost (reported where any step reports it).
 
+    `prices` holds input, cached_input and output in USD per million tokens, keyed by `on`.
+
     Token sums come first and prices last, so the price table meets one row per run.
     """
-    sums = steps.groupBy("agent", *keys).agg(
+    sums = steps.groupBy(*dict.fromkeys([on, *keys])).agg(
         F.sum(F.coalesce("tokens_in", F.lit(0))).alias("tokens_in"),
         F.sum(cached_tokens()).alias("cached"),
         F.sum(F.coalesce("tokens_out", F.lit(0))).alias("tokens_out"),
@@ -83,7 +85,7 @@ def run_costs(steps: DataFrame, prices: DataFrame, *keys) -> DataFrame:
     cost = ((F.col("tokens_in") - F.col("cached")) * F.col("input")
             + F.col("cached") * F.col("cached_input")
             + F.col("tokens_out") * F.col("output")) / 1e6
-    priced = sums.join(prices, "agent", "left").withColumn("cost_list", cost)
+    priced = sums.join(prices, on, "left").withColumn("cost_list", cost)
     return priced.drop("input", "cached_input", "output").withColumn(
         "cost_usd", F.coalesce("cost_reported", "cost_list"))
 

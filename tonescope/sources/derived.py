@@ -14,9 +14,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _labelled_lines(spark: SparkSession, folder: str) -> DataFrame:
+def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A benchmark table as a file stream."""
+    shape = table(spark, folder, name).schema
+    return spark.readStream.schema(shape).parquet(f"{folder}/{name[:-1]}[{name[-1]}].parquet")
+
+
+def _labelled_lines(spark: SparkSession, folder: str, lines: DataFrame | None = None):
     """Order lines with their topic and a sentiment, still keyed by supplier."""
-    lines = table(spark, folder, "lineitem")
+    lines = table(spark, folder, "lineitem") if lines is None else lines
     parts = table(spark, folder, "part").select(
         "p_partkey", "p_brand", F.substring("p_brand", 7, 9).cast("int").alias("bn"))
     floor = F.lit(5) + 3 * (F.col("bn") % 10)
@@ -41,9 +47,12 @@ def organisations(spark: SparkSession, folder: str) -> DataFrame:
                     F.col("s_name").alias("org")))
 
 
-def feedback(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per label: industry, org, parent_aspect, aspect, sentiment, source, ts."""
-    lines = _labelled_lines(spark, folder)
+def feedback(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
+    """One row per label: industry, org, parent_aspect, aspect, sentiment, source, ts.
+
+    `lines` replaces the order lines, for instance by a stream of them.
+    """
+    lines = _labelled_lines(spark, folder, lines)
     orgs = organisations(spark, folder)
     return (lines.join(orgs, F.col("l_suppkey") == F.col("suppkey"))
             .select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey").alias("review_id"),
