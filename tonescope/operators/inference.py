@@ -136,9 +136,12 @@ def correlation_table(df: DataFrame, columns, keys=()) -> DataFrame:
 def safe_correlation(x: str, y: str) -> Column:
     """Pearson r over complete pairs; NULL when either side is constant."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    a = F.when(both, F.col(x).cast("double"))
+    b = F.when(both, F.col(y).cast("double"))
     varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
-    return F.when(varies, F.corr(a.cast("double"), b.cast("double")))
+    # the built-in corr divides by zero on a constant column, which ANSI mode makes an error
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when(varies, F.try_divide(F.covar_pop(a, b), spread))
 
 
 def average_ranks(df: DataFrame, keys, columns) -> DataFrame:
