@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tonescope.catalog.base import on_cells, on_feedback, query
 from tonescope.catalog.inferences import PAIRS, requested_pairs
-from tonescope.catalog.questions import GAPS, SEGS, TOPICS, segments
+from tonescope.catalog.questions import GAPS, SEGS, TOPICS, segments, settled_segments
 from tonescope.functions import measures as m
 from tonescope.operators import inference, ranking, slices, summaries
 from tonescope.plans import answerability, older, questions
@@ -76,7 +76,7 @@ JUDGED = GAPS + f""", {PARAMS},
         WHEN cell_a = 0 OR (template <> 'T1' AND cell_b = 0) THEN 'Slice absent'
         WHEN template = 'T5' THEN '{questions.THIN_TEST}' ELSE '{questions.THIN}' END AS reason FROM v"""))
 def params_answerability(spark, folder):
-    cells = derived.feedback_cells(spark, folder)
+    cells = derived.settled_cells(spark, folder)
     judged = answerability.evidence(parameters(spark, folder), questions.segment_cells(cells),
                                     cells, TOPICS)
     return answerability.abstention_reason(judged).select(
@@ -88,7 +88,7 @@ def params_answerability(spark, folder):
     SELECT template, count(*) AS tasks, count(*) FILTER (answerable) AS answerable,
       (count(*) FILTER (answerable))::DOUBLE / count(*) AS share FROM v GROUP BY template"""))
 def params_task_shares(spark, folder):
-    cells = derived.feedback_cells(spark, folder)
+    cells = derived.settled_cells(spark, folder)
     judged = answerability.evidence(parameters(spark, folder), questions.segment_cells(cells),
                                     cells, TOPICS)
     return answerability.task_share(judged, "template")
@@ -198,7 +198,7 @@ def solve_prioritise(spark, folder):
     UNION ALL SELECT segment, 'priorities', position, aspect, priority FROM {PRIORITISED}
       WHERE position <= 3 AND segment IN (SELECT segment FROM homes)"""))
 def solve_composite(spark, folder):
-    segs = segments(spark, folder)
+    segs = settled_segments(spark, folder)
     homes = segs.where("kind = 'org'").select("segment", "industry").distinct()
     return older.composite(segs, homes)
 

@@ -254,7 +254,7 @@ def profile_null_pairs(spark, folder):
       round(stddev_samp(s), 9) AS sd, min(s) AS low, max(s) AS high, quantile_cont(n, 0.5)::DOUBLE AS median_n,
       min(n) AS low_n, max(n) AS high_n FROM g GROUP BY level"""))
 def profile_group_summary(spark, folder):
-    cells = derived.feedback_cells(spark, folder)
+    cells = derived.settled_cells(spark, folder)
     orgs = cells.select(F.lit("org").alias("level"), "neg_count", "total_count")
     whole = summaries.roll_up(cells, ["industry", "aspect"]).select(
         F.lit("industry").alias("level"), "neg_count", "total_count")

@@ -22,6 +22,10 @@ def segments(spark, folder):
     return questions.segment_cells(derived.feedback_cells(spark, folder))
 
 
+def settled_segments(spark, folder):
+    return questions.segment_cells(derived.settled_cells(spark, folder))
+
+
 @query("question_single_rate", "M-1 C-7", on_cells(SEGS + f"""
     , f AS (SELECT s.segment, a.aspect, coalesce(c.total_count, 0) AS total_count,
         coalesce(c.neg_count, 0) AS neg_count, coalesce(c.neu_count, 0) AS neu_count,
@@ -139,7 +143,7 @@ def neighbour_pairs(spark, folder):
 
 @query("question_pair_gaps", "M-9 C-2 E-8", on_cells(GAPS + " SELECT * FROM gaps"))
 def question_pair_gaps(spark, folder):
-    return questions.pair_gaps(neighbour_pairs(spark, folder), segments(spark, folder), TOPICS)
+    return questions.pair_gaps(neighbour_pairs(spark, folder), settled_segments(spark, folder), TOPICS)
 
 
 @query("question_why_worse", "M-9 F-1 C-2", on_cells(GAPS + f"""
@@ -155,7 +159,7 @@ def question_pair_gaps(spark, folder):
     FROM n JOIN t ta ON ta.segment = n.a JOIN t tb ON tb.segment = n.b
     LEFT JOIN best ON best.a = n.a AND best.b = n.b AND rn = 1"""))
 def question_why_worse(spark, folder):
-    return questions.why_worse(neighbour_pairs(spark, folder), segments(spark, folder), TOPICS)
+    return questions.why_worse(neighbour_pairs(spark, folder), settled_segments(spark, folder), TOPICS)
 
 
 REPORT = """
@@ -172,7 +176,7 @@ REPORT = """
     SELECT org, aspect, rank, n_topics, neg_rate, industry_rate, sufficient, z, round(p, 9) AS p_value,
       p < 0.05e0 AS significant, aspect NOT IN {IN_TOPICS} AS actionable FROM judged"""))
 def question_report_topics(spark, folder):
-    told = questions.report_topics(derived.feedback_cells(spark, folder), TOPICS)
+    told = questions.report_topics(derived.settled_cells(spark, folder), TOPICS)
     return told.where("rank IS NOT NULL").select(
         "org", "aspect", "rank", "n_topics", "neg_rate", "industry_rate", "sufficient", "z",
         F.round("p_value", 9).alias("p_value"), "significant", "actionable")
@@ -195,7 +199,7 @@ def question_report_topics(spark, folder):
       CASE WHEN n_reviews < 30 THEN '{questions.THIN}' WHEN n_topics < 3 THEN '{questions.PARTIAL}' END AS reason
     FROM m LEFT JOIN s USING (org)"""))
 def question_full_report(spark, folder):
-    told = questions.full_report(derived.feedback_cells(spark, folder), TOPICS)
+    told = questions.full_report(derived.settled_cells(spark, folder), TOPICS)
 
     def listed(column):
         line = F.transform(column, lambda x: F.concat_ws(" ", x["rank"].cast("string"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonescope.operators.ordered import number_rows, running_max_before
+from tonescope.session import cut_lineage
 
 NON_ACTIONABLE_TOPICS = ["Brand#1", "Brand#2", "Brand#3"]
 
@@ -75,6 +76,15 @@ def feedback_cells(spark: SparkSession, folder: str) -> DataFrame:
                     "neu_count", "pos_count"))
 
 
+def settled_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """The cell table written once to the checkpoint folder.
+
+    For questions that read the cells several times with different columns: the labels are then
+    scanned once, however many branches follow.
+    """
+    return cut_lineage(feedback_cells(spark, folder))
+
+
 def raw_reviews(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as raw reviews: one to three label codes each, written as a list literal."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
