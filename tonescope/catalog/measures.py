@@ -87,7 +87,7 @@ def share_of_negative(spark, folder):
 
 @query("share_of_each_sentiment", "D-7 E-11", on_feedback("""
     SELECT org, sentiment, count(*) AS n,
-      count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY org) AS share FROM feedback GROUP BY ALL"""))
+      count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY org) AS share FROM feedback GROUP BY org, sentiment"""))
 def share_of_each_sentiment(spark, folder):
     return summaries.value_shares(derived.feedback(spark, folder), "sentiment", ["org"])
 
