@@ -105,7 +105,7 @@ def cost_score_frontier(spark, folder):
     SELECT run_id, idx, sum(tokens) OVER (PARTITION BY run_id ORDER BY idx)::BIGINT AS spent,
       sum(tokens) OVER (PARTITION BY run_id ORDER BY idx) > 50000 AS over_budget FROM steps"""))
 def tokens_against_budget(spark, folder):
-    steps = derived.run_steps(spark, folder).withColumn("block", F.expr("idx div 1000"))
+    steps = derived.run_steps(spark, folder).withColumn("block", F.expr(f"idx div {ordered.BLOCK}"))
     spent = ordered.running_sum(steps, ["run_id"], "block", ["idx"], F.col("tokens"), "spent")
     return spent.select("run_id", "idx", "spent", (F.col("spent") > 50000).alias("over_budget"))
 

@@ -30,7 +30,8 @@ def score_profile(ratings: DataFrame, scale=SCALE, keys=()) -> DataFrame:
 
 def _coincidence(i: int, j: int) -> str:
     """Ordered pairs of levels (i, j) inside a unit, before the division by m - 1."""
-    return f"sum(c{i} * (c{j} - {int(i == j)}) * w) AS o{i}_{j}"
+    # doubles: the product of two large counts would not fit a bigint
+    return f"sum(cast(c{i} AS double) * (c{j} - {int(i == j)}) * w) AS o{i}_{j}"
 
 
 def _alpha_from(matrix: DataFrame, k: int, keep) -> DataFrame:
@@ -249,7 +250,8 @@ def against_intended(scored: DataFrame, *keys, levels: int = len(SCALE)) -> Data
 
 def _deviation(m: Column, s1: Column, s2: Column) -> Column:
     """Population standard deviation from integer sums; 0 for one rating, NULL for none."""
-    inside = (m * s2 - s1 * s1).cast("double")
+    n, a, b = (c.cast("double") for c in (m, s1, s2))
+    inside = n * b - a * a
     return F.when(m > 0, F.sqrt(inside) / m)
 
 

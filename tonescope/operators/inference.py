@@ -110,7 +110,8 @@ def chi_squared(sides: DataFrame) -> DataFrame:
         complete = complete & (F.col(f"{s}_a") + F.col(f"{s}_b") > 0)
 
     def term(s, side):
-        expected = rate((F.col(f"{s}_a") + F.col(f"{s}_b")) * F.col(f"n_{side}"), total)
+        both = (F.col(f"{s}_a") + F.col(f"{s}_b")).cast("double")
+        expected = rate(both * F.col(f"n_{side}"), total)
         gap = F.col(f"{s}_{side}") - expected
         return F.try_divide(gap * gap, expected)
 

@@ -11,12 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def _same(left: DataFrame, right: DataFrame, columns) -> Column:
-    condition = F.lit(True)
-    for c in columns:
-        condition = condition & left[c].eqNullSafe(right[c])
-    return condition
+BLOCK = 100_000  # consecutive step numbers per slice
 
 
 def _with_offset(df: DataFrame, keys, slice_col: str, total: Column) -> DataFrame:

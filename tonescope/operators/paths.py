@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonescope.operators.ordered import number_rows
+from tonescope.operators.ordered import BLOCK, number_rows
 from tonescope.schema import (ARGUMENT_CHOICES, BOOLEAN_ARGUMENTS, DEFAULT_ARGUMENTS,
                               HANDLE_ARGUMENTS, INTEGER_ARGUMENTS, NON_ACTIONABLE,
                               REQUIRED_ARGUMENTS, SET_ARGUMENTS, TOOL_ARGUMENTS)
@@ -158,7 +158,7 @@ def canonical_calls(calls: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
 def work_steps(steps: DataFrame) -> DataFrame:
     """Validated analysis steps, numbered within the run: the path that is compared to gold."""
     kept = steps.where((F.col("status") == "ok") & (F.col("tool") != "answer"))
-    return number_rows(kept.withColumn("_block", F.expr("idx div 1000")), ["run_id"], "_block",
+    return number_rows(kept.withColumn("_block", F.expr(f"idx div {BLOCK}")), ["run_id"], "_block",
                        ["idx"], "position").drop("_block")
 
 
@@ -205,45 +205,55 @@ def argument_audit(calls: DataFrame) -> DataFrame:
     """
     known = F.col("tool").isin(list(TOOL_ARGUMENTS))
     base = calls.where(F.col("tool").isNotNull())
-    unknown_tool = base.where(~known).select("run_id", "idx", F.lit("unknown_tool").alias("rule"),
-                                             F.col("tool").alias("detail"))
-    args = coerced(arguments(base.where(known))).where(F.col("key").isNotNull())
-    allowed = _member(TOOL_ARGUMENTS.items())
+
+    def finding(condition, rule, detail):
+        return F.when(condition, F.struct(F.lit(rule).alias("rule"), detail.alias("detail")))
+
+    def listed(df, *findings):
+        found = F.array_compact(F.array(*findings))
+        return df.select("run_id", "idx", F.inline(found))
+
+    # rules about the call as a whole
+    none = F.array().cast("array<string>")
+    required = F.create_map(*[x for t, keys in REQUIRED_ARGUMENTS.items() for x in (
+        F.lit(t), F.array(*[F.lit(k) for k in keys]))])
+    absent = F.array_except(F.coalesce(required[F.col("tool")], none),
+                            F.coalesce(F.json_object_keys("args"), none))
+    missing = F.transform(absent, lambda k: F.struct(F.lit("missing_argument").alias("rule"),
+                                                     k.alias("detail")))
+    whole = base.select("run_id", "idx", F.inline(F.concat(missing, F.array_compact(
+        F.array(finding(~known, "unknown_tool", F.col("tool")))))))
+
+    # rules about one argument; handles are looked up by an equi-join in the same pass
+    args = coerced(arguments(base.where(known).drop("handle"))).where(F.col("key").isNotNull())
     given = F.col("kind") != "VOID"
+    is_set = F.col("key").isin(SET_ARGUMENTS)
     bad_type = given & ((F.col("key").isin(INTEGER_ARGUMENTS) & (F.col("kind") != "BIGINT"))
                         | (F.col("key").isin(BOOLEAN_ARGUMENTS) & (F.col("kind") != "BOOLEAN"))
-                        | (F.col("key").isin(SET_ARGUMENTS)
-                           & ~F.col("kind").isin("STRING", "ARRAY"))
+                        | (is_set & ~F.col("kind").isin("STRING", "ARRAY"))
                         | (F.col("key").isin([k for _, k in ARGUMENT_CHOICES])
                            & (F.col("kind") != "STRING")))
     outside = reduce(Column.__or__, [
         (F.col("tool") == t) & (F.col("key") == k) & (F.col("kind") == "STRING")
         & ~_text(F.col("value")).isin(choices) for (t, k), choices in ARGUMENT_CHOICES.items()])
-    rule = (F.when(~allowed, "unknown_argument").when(bad_type, "wrong_type")
-            .when(outside, "not_a_choice"))
-    broken = args.withColumn("rule", rule).where(F.col("rule").isNotNull()).select(
-        "run_id", "idx", "rule", F.col("key").alias("detail"))
-    required = F.create_map(*[x for t, keys in REQUIRED_ARGUMENTS.items() for x in (
-        F.lit(t), F.array(*[F.lit(k) for k in keys]))])
-    present = F.coalesce(F.json_object_keys("args"), F.array().cast("array<string>"))
-    missing = (base.where(known).withColumn("detail", F.explode(
-        F.array_except(F.coalesce(required[F.col("tool")], F.array().cast("array<string>")),
-                       present)))
-        .select("run_id", "idx", F.lit("missing_argument").alias("rule"), "detail"))
     kinds = F.create_map(*[F.lit(x) for t, refs in HANDLE_ARGUMENTS.items()
                            for r, prefix in refs.items() for x in (f"{t}.{r}", prefix)])
-    used = (args.where(F.col("key").isin(REFERENCES))
-            .select("run_id", "idx", "key", _text(F.col("value")).alias("handle"),
-                    kinds[F.concat_ws(".", "tool", "key")].alias("wanted")))
+    is_ref = F.col("key").isin(REFERENCES)
+    used = args.withColumns({
+        "handle": F.when(is_ref, _text(F.col("value"))),
+        "wanted": F.when(is_ref, kinds[F.concat_ws(".", "tool", "key")])})
     made = (base.where("handle IS NOT NULL AND status = 'ok'").groupBy("run_id", "handle")
             .agg(F.min("idx").alias("made_at")))
     checked = used.join(made, ["run_id", "handle"], "left")
-    fault = (F.when(F.col("made_at").isNull() | (F.col("made_at") >= F.col("idx")),
-                    "handle_not_issued")
-             .when(~F.startswith("handle", "wanted"), "wrong_handle_kind"))
-    handles = checked.withColumn("rule", fault).where(F.col("rule").isNotNull()).select(
-        "run_id", "idx", "rule", F.col("key").alias("detail"))
-    return unknown_tool.unionByName(broken).unionByName(missing).unionByName(handles)
+    allowed = _member(TOOL_ARGUMENTS.items())
+    form = (F.when(~allowed, "unknown_argument").when(bad_type, "wrong_type")
+            .when(outside, "not_a_choice"))
+    issued = F.col("made_at").isNotNull() & (F.col("made_at") < F.col("idx"))
+    origin = (F.when(is_ref & ~issued, "handle_not_issued")
+              .when(is_ref & ~F.startswith("handle", "wanted"), "wrong_handle_kind"))
+    single = listed(checked, *[F.when(r.isNotNull(), F.struct(
+        r.alias("rule"), F.col("key").alias("detail"))) for r in (form, origin)])
+    return whole.unionByName(single)
 
 
 def repeated_calls(calls: DataFrame) -> DataFrame:

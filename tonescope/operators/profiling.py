@@ -95,6 +95,7 @@ def size_band(volumes: DataFrame, orgs: DataFrame, band=SIZE_BAND) -> DataFrame:
 
 
 ID_SLICES = 1024
+CHUNK = 100_000  # labels written per task row
 
 
 def expand_to_labels(cells: DataFrame) -> DataFrame:
@@ -111,8 +112,14 @@ def expand_to_labels(cells: DataFrame) -> DataFrame:
         .withColumn("_all", F.lit(0)))
     order = ["industry", "org", "aspect", "sentiment"]
     placed = running_sum(named, ["_all"], "_slice", order, F.col("n"), "_end")
+    # a very large cell is cut into chunks that are spread over tasks before they become rows
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {CHUNK}"))
+    spread = (placed.withColumn("_chunk", F.explode(chunks))
+              .repartition("industry", "org", "aspect", "sentiment", "_chunk"))
+    first = F.col("_chunk") * CHUNK + 1
+    inside = F.sequence(first, F.least(F.col("n"), F.col("_chunk") * CHUNK + CHUNK))
     number = F.col("_end") - F.col("n") + F.col("_i")
-    return (placed.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    return (spread.withColumn("_i", F.explode(inside))
             .select(F.format_string("R%06d", number).alias("review_id"), "industry", "org",
                     "parent_aspect", "aspect", "sentiment"))
 

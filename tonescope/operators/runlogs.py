@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonescope.operators.ordered import previous_row, running_sum, running_sums
-
-BLOCK = 1000  # step numbers per slice of an ordered computation
-
+from tonescope.operators.ordered import BLOCK, previous_row, running_sum, running_sums
 
 def _blocked(steps: DataFrame) -> DataFrame:
     return steps.withColumn("_block", F.expr(f"idx div {BLOCK}"))

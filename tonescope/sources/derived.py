@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonescope.operators.ordered import number_rows, running_max_before
+from tonescope.operators.ordered import BLOCK, number_rows, running_max_before
 from tonescope.session import cut_lineage
 
 NON_ACTIONABLE_TOPICS = ["Brand#1", "Brand#2", "Brand#3"]
@@ -151,7 +151,7 @@ def tool_calls(spark: SparkSession, folder: str) -> DataFrame:
     signup answers; an error is a turn without a call or a call to a tool that does not exist.
     """
     steps = (run_steps(spark, folder).withColumn("k", (F.col("tokens") / 100).cast("bigint"))
-             .withColumn("_block", F.expr("idx div 1000")))
+             .withColumn("_block", F.expr(f"idx div {BLOCK}")))
 
     def last_of(df, event, name):
         hit = F.when(F.col("tool") == event, F.col("idx"))
