@@ -8,6 +8,7 @@ from tonescope.catalog.base import query
 from tonescope.catalog.calls import CALLS
 from tonescope.functions import text
 from tonescope.operators import runlogs
+from tonescope.session import cut_lineage
 from tonescope.sources import derived
 
 KIND = """CASE WHEN status = 'error' THEN coalesce(error_kind,
@@ -109,7 +110,10 @@ STOP = CALLS + """, t AS (SELECT *, sum(tokens_in + tokens_out) OVER w AS spent,
 
 
 def stops(spark, folder):
-    return runlogs.stopping_states(steps(spark, folder), step_cap=12, token_budget=45_000,
+    # the rules read the log several times, so it is written once
+    log = cut_lineage(steps(spark, folder).select("run_id", "idx", "tool", "status", "reply",
+                                                  "tokens", "latency_s"))
+    return runlogs.stopping_states(log, step_cap=12, token_budget=45_000,
                                    timeout_s=300, stall_limit=2)
 
 
@@ -146,7 +150,8 @@ def seeded(spark, folder):
     turn = F.expr("1") * F.floor(F.date_diff(week, F.lit("2024-01-01").cast("date")) / 7) % 3
     rows = scored(spark, folder).select(
         "agent", text.template_of().alias("task_id"), turn.cast("bigint").alias("seed"), *METRICS)
-    return rows.groupBy("agent", "seed", "task_id").agg(*[F.max(m).alias(m) for m in METRICS])
+    return cut_lineage(rows.groupBy("agent", "seed", "task_id").agg(
+        *[F.max(m).alias(m) for m in METRICS]))
 
 
 PASSED = SEEDED + """, k AS (SELECT agent, count(DISTINCT seed) AS k FROM seeded GROUP BY agent),
