@@ -62,7 +62,8 @@ MATCH = SIGS + """, p AS (SELECT c.run_id, c.task_id, s.sig, row_number() OVER (
 
 
 def numbered_paths(spark, folder):
-    calls = logged(spark, folder)
+    calls = cut_lineage(logged(spark, folder).select("run_id", "task_id", "idx", "tool", "args",
+                                                     "handle", "status"))
     signed = paths.canonical_calls(calls)
     # the numbered path is read several times below, so it is written once
     return cut_lineage(paths.work_steps(calls.join(signed, ["run_id", "idx"])).select(
