@@ -37,3 +37,36 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "source_size", "target",
         (F.col("size") * F.coalesce(F.size("draws"), F.lit(0))).alias("taken"),
         F.transform("draws", lambda d: d["shard"]).alias("shards"))
+
+
+#: The rules of the query: verdict and rule.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
+             ("block", "com/de/")]
+
+
+@registered
+def op1_urlfilter(spark: SparkSession, folder: str) -> DataFrame:
+    from tonescope.llm.urlfilter import url_filter
+    return url_filter(spark.read.parquet(f"{folder}/pages.parquet"), URL_RULES)
+
+
+ORACLES["op1_urlfilter"] = """
+WITH parts AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+urls AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+rules(verdict, rule, h, p) AS (VALUES """ + ", ".join(
+    f"('{v}', '{r}', '{r[:r.index('/')]}', '{r[r.index('/'):]}')" for v, r in URL_RULES) + """),
+fits AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM urls JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls u LEFT JOIN fits USING (page_id)
+"""
+
+
+@registered
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from tonescope.llm.packing import pack
+    return pack(documents(spark, folder))
