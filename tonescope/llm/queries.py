@@ -70,3 +70,9 @@ SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     from tonescope.llm.packing import pack
     return pack(documents(spark, folder))
+
+
+@registered
+def op8_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    from tonescope.llm.substrings import removed
+    return removed(documents(spark, folder))
