@@ -76,3 +76,9 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op8_substrings(spark: SparkSession, folder: str) -> DataFrame:
     from tonescope.llm.substrings import removed
     return removed(documents(spark, folder))
+
+
+@registered
+def op2_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    from tonescope.llm.neardup import near_duplicates
+    return near_duplicates(documents(spark, folder))
