@@ -82,3 +82,9 @@ def op8_substrings(spark: SparkSession, folder: str) -> DataFrame:
 def op2_neardup(spark: SparkSession, folder: str) -> DataFrame:
     from tonescope.llm.neardup import near_duplicates
     return near_duplicates(documents(spark, folder))
+
+
+@registered
+def op4_importance(spark: SparkSession, folder: str) -> DataFrame:
+    from tonescope.llm.importance import resample
+    return resample(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
