@@ -88,11 +88,12 @@ def with_next(rows: DataFrame, key: str, carried: list[str]) -> DataFrame:
     to = F.when(F.col(key).eqNullSafe(low), F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("copy")),
                 F.struct(lookup(before, F.col("_range"), "int").alias("r"), F.lit(1).alias("copy")))
                 ).otherwise(F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("copy"))))
-    dealt = ranged.withColumn("_to", F.explode(to))
-    order = Window.partitionBy("_to.r").orderBy("_to.copy", key, *carried[:1])
-    for c in carried:
-        dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(order))
-    return dealt.where("_to.copy = 0").drop("_range", "_to")
+    # Plain columns and one select: the followers of all carried columns come from one exchange and one window.
+    dealt = ranged.withColumn("_to", F.explode(to)).withColumns(
+        {"_to_range": F.col("_to.r"), "_copy": F.col("_to.copy")}).drop("_range", "_to")
+    order = Window.partitionBy("_to_range").orderBy("_copy", key, *carried[:1])
+    return (dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried])
+            .where("_copy = 0").drop("_to_range", "_copy"))
 
 
 def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
