@@ -88,3 +88,9 @@ def op2_neardup(spark: SparkSession, folder: str) -> DataFrame:
 def op4_importance(spark: SparkSession, folder: str) -> DataFrame:
     from tonescope.llm.importance import resample
     return resample(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@registered
+def op3_pagetext(spark: SparkSession, folder: str) -> DataFrame:
+    from tonescope.llm.pagetext import main_text
+    return main_text(spark.read.parquet(f"{folder}/pages.parquet"))
