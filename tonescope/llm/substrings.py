@@ -325,20 +325,28 @@ def repeated_ranges(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return whole.unionByName(repeated_strings(spans, parts, least))
 
 
-def _cut(text: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[int, int, list[bytes]]:
-    """Removed bytes, removed runs, kept pieces."""
+def _cut(text: bytes, starts: np.ndarray, stops: np.ndarray, characters: bool = False) -> tuple[int, int, list[bytes]]:
+    """Removed bytes, removed runs, kept pieces. With `characters`, one of which only a part is covered stays."""
     if not len(starts):
         return 0, 0, [text]
     order = np.argsort(starts, kind="stable")
     starts, stops = starts[order], np.maximum.accumulate(np.minimum(stops[order], len(text)))
     fresh = np.flatnonzero(np.concatenate([[True], starts[1:] > stops[:-1]]))
-    begin, end = starts[fresh], stops[np.concatenate([fresh[1:] - 1, [len(stops) - 1]])]
-    edges = zip(np.concatenate([[0], end]).tolist(), np.concatenate([begin, [len(text)]]).tolist())
-    return int((end - begin).sum()), len(begin), [text[a:b] for a, b in edges]
+    begin, end = starts[fresh].tolist(), stops[np.concatenate([fresh[1:] - 1, [len(stops) - 1]])].tolist()
+    if characters:
+        inner = range(0x80, 0xC0)
+        for i in range(len(begin)):
+            while begin[i] < len(text) and text[begin[i]] in inner:
+                begin[i] += 1
+            while end[i] < len(text) and text[end[i]] in inner:
+                end[i] -= 1
+    pieces = [text[a:b] for a, b in zip([0, *end], [*begin, len(text)])]
+    return sum(end) - sum(begin), len(begin), pieces
 
 
 def removed(docs: DataFrame, least: int = LEAST, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and if asked for `kept`, the remaining bytes."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; if asked for also `kept`, the remaining text, and
+    then only whole characters go."""
     marks = repeated_ranges(docs, least).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,18 +357,18 @@ def removed(docs: DataFrame, least: int = LEAST, with_text: bool = False) -> Dat
             for packed, own in zip(batch.column(1), batch.column(2)):
                 text = unpack(packed.as_py()) if packed.is_valid else b""
                 own = own.values.flatten() if own.is_valid else [none, none]
-                n, m, left = _cut(text, *(np.asarray(x) for x in own))
+                n, m, left = _cut(text, *(np.asarray(x) for x in own), characters=with_text)
                 left = b"".join(left)
                 n_bytes.append(len(text))
                 gone.append(n)
                 spans.append(m)
                 sums.append(hashlib.sha256(left).hexdigest())
-                kept.append(left if with_text else None)
+                kept.append(left.decode() if with_text else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()),
-                 pa.array(sums, pa.string()), pa.array(kept, pa.binary())],
+                 pa.array(sums, pa.string()), pa.array(kept, pa.string())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     out = zipped(docs).join(marks, "doc_id", "left").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return out if with_text else out.drop("kept")
