@@ -12,10 +12,10 @@ gives an empty result. Other columns of the input are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ from tonescope.llm.common import only, settle
 
 ROOM = 2048
 CLOSING = 0
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_500_000
 SEGMENT = 50_000
 RANKED = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -51,7 +51,7 @@ class _Ids(dict):
         # Plain letters are one unit of the vocabulary's own split, unchanged by its normalization.
         ids = [t.id for t in self.model.tokenize(text)] if LETTERS(word) else \
             self.whole.encode(text, add_special_tokens=False).ids
-        own = self[word] = np.array(ids, dtype="<u4").tobytes()
+        own = self[word] = struct.pack(f"<{len(ids)}I", *ids)
         return own
 
 
@@ -68,7 +68,7 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, room: int = ROOM)
     bounded cache that lives as long as the Python worker.
     """
     path = vocabulary or default_vocabulary()
-    closing = np.array([CLOSING], dtype="<u4").tobytes()
+    closing = struct.pack("<I", CLOSING)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _caches.setdefault(path, _Ids(path)).__getitem__
