@@ -94,3 +94,9 @@ def op4_importance(spark: SparkSession, folder: str) -> DataFrame:
 def op3_pagetext(spark: SparkSession, folder: str) -> DataFrame:
     from tonescope.llm.pagetext import main_text
     return main_text(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+@registered
+def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    from tonescope.llm.neighbours import search
+    return search(spark.read.parquet(f"{folder}/embeddings.parquet"), F.col("vec_id") % 50 == 0, 5)
