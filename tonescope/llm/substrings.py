@@ -20,7 +20,7 @@ open, which the second sort settles. Names have 64 bits; strings are compared by
 marks are shuffled in compressed form.
 
 Null text counts as empty. doc_id is taken as the key of a document; rows repeated whole get equal results and don't count
-as each other's earlier copy. Texts under `least` bytes stay whole. An empty table gives an empty result. Other columns of
+as each other's earlier copy; rows without doc_id stay whole and aren't anyone's earlier copy. Texts under `least` bytes stay whole. An empty table gives an empty result. Other columns of
 the input are ignored.
 """
 
@@ -169,7 +169,8 @@ def sampled_positions(docs: DataFrame, least: int = LEAST) -> DataFrame:
                  pa.array(ids[np.concatenate(owner)]), pa.array((low + np.concatenate(shift)) * SPANS + high - low)],
                 names=["name", "whole", "doc_id", "span"])
 
-    return only(docs, "doc_id", "text").where(F.octet_length("text") >= least).mapInArrow(
+    return only(docs, "doc_id", "text").where(
+        (F.octet_length("text") >= least) & F.col("doc_id").isNotNull()).mapInArrow(
         run, "name long, whole long, doc_id long, span long")
 
 
