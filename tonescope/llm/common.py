@@ -25,10 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top}/llm-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it back: cuts lineage, outlives executors."""
+#: Rows of a few numbers that one task writes with ease.
+TASK_ROWS = 200_000
+
+
+def settle(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write `df` once as Parquet in the shared folder and read it back: cuts lineage, outlives executors.
+
+    `rows`, a bound of the rows where one is known, sizes the tasks of small results.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // TASK_ROWS)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -18,17 +18,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     maps: list[DataFrame] = []
     left = edges.select("a", "b").where("a <> b")
-    while True:
+    n = 2 * left.count()
+    while n:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Also the roots themselves are kept, so that every node has an entry.
         hooks = settle(both.groupBy("a").agg(F.min("b").alias("b"))
-                       .select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "hooks")
-        if not maps and hooks.isEmpty():
-            return hooks.select("node", F.col("root").alias("component"))
+                       .select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "hooks", n)
         while True:
+            # Two hops a time; where the second still moves, chains may be longer.
             onward = hooks.select(F.col("node").alias("root"), F.col("root").alias("onward"))
-            hopped = settle(hooks.join(onward, "root").select("node", F.col("onward").alias("root"),
-                                                              (F.col("onward") < F.col("root")).alias("moved")), "hopped")
+            further = hooks.select(F.col("node").alias("onward"), F.col("root").alias("further"))
+            hopped = settle(hooks.join(onward, "root").join(further, "onward").select(
+                "node", F.col("further").alias("root"), (F.col("further") < F.col("onward")).alias("moved")), "hopped", n)
             hooks = hopped.select("node", "root")
             if hopped.where("moved").isEmpty():
                 break
@@ -36,9 +37,10 @@ def components(edges: DataFrame) -> DataFrame:
         to_a = hooks.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
         to_b = hooks.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
         left = settle(left.join(to_a, "a").join(to_b, "b").where("root_a <> root_b").select(
-            F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "left")
-        if left.isEmpty():
-            break
+            F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "left", n)
+        n = 2 * left.count()
+    if not maps:
+        return edges.where("false").select(F.col("a").alias("node"), F.col("a").alias("component"))
 
     def onto(known: DataFrame, step: DataFrame) -> DataFrame:
         step = step.select(F.col("node").alias("root"), F.col("root").alias("next"))

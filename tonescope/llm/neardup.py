@@ -5,14 +5,14 @@ per shingle is enough: its leading bits choose one of ROWS * BANDS bins, the sma
 borrows from the first full bin in a random order of its own, the same for all documents. BANDS groups of ROWS bins are
 the document's buckets. In a bucket each document is compared with the smallest doc_id only (a star), so a bucket of n
 gives n - 1 candidates. Candidates are confirmed on their full sets, as word pairs. Members of a bucket that are not
-connected after that get another star with the smallest of those left as its centre, and so on; so no pair that shares a
-bucket is missed because the first centre resembles neither.
+connected after that get another star with the smallest of those left as its centre, and so on until a round of stars
+confirms nothing new; so a pair isn't missed because the first centre of the buckets that it shares resembles neither.
 
 Documents with equal sets are one class, represented by its smallest doc_id, and only representatives are compared. At
 similarity 0.8 a pair shares no bucket with probability below 1e-6.
 
 Null, empty and white-space texts have empty sets and are linked with nothing; a text of one word has that word as its
-set. Rows repeated whole get equal results. An empty table gives an empty result. Other columns of the input are ignored.
+set. Rows repeated whole get equal results; rows without doc_id are linked with nothing and not kept. An empty table gives an empty result. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -156,36 +156,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, similar: int = SIMILAR, r
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (doc_id = component_id)."""
     sets = settle(signatures(docs, shingle, rows, bands), "sets")
     named = sets.where("n_shingles > 0")
-    classes = settle(named.groupBy("one", "two").agg(F.min("doc_id").alias("rep")), "classes")
+    n = named.count()
+    classes = settle(named.groupBy("one", "two").agg(F.min("doc_id").alias("rep")), "classes", n)
     members = named.select("doc_id", "one", "two").join(classes, ["one", "two"]).select("doc_id", "rep").distinct()
     alone = named.join(classes, ["one", "two"]).where("doc_id = rep").select("doc_id", F.explode("bands").alias("bucket"))
     shared = alone.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where(
-        "centre < last")
-    buckets = settle(alone.join(shared, "bucket").select("bucket", "doc_id", "centre").distinct(), "buckets")
+        "centre < last").drop("last")
+    buckets = settle(alone.join(shared, "bucket").distinct(), "buckets", n * bands)
+    held = buckets.count()
     pairs = settle(buckets.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
-                   .distinct(), "pairs")
+                   .distinct(), "pairs", held)
     involved = buckets.select("doc_id").distinct()
     texts = settle(only(docs, "doc_id", "text").join(involved, "doc_id").dropDuplicates(["doc_id"]), "texts")
-    links = settle(confirmed(pairs, texts, shingle, similar), "links")
+    links = settle(confirmed(pairs, texts, shingle, similar), "links", 20 * held)
     tested = pairs
     while True:
         reached = components(links)
-        # Buckets with members that are not connected: their next star.
-        open_ = (buckets.where("doc_id <> centre").join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        # Buckets with members that are not connected: their next star, while that finds links.
+        open_ = (buckets.where("doc_id <> centre").select("bucket", "doc_id")
+                 .join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left")
                  .withColumn("component", F.coalesce("component", "doc_id")))
         mixed = open_.groupBy("bucket").agg(
-            F.min("doc_id").alias("next"), F.min("component").alias("low"), F.max("component").alias("high"),
-            F.min_by("component", "doc_id").alias("own")).where("low < high")
-        buckets = settle(open_.join(mixed, "bucket").select("bucket", "doc_id", F.col("next").alias("centre"),
-                                                            (F.col("component") != F.col("own")).alias("apart")), "buckets")
-        if buckets.isEmpty():
+            F.min("doc_id").alias("centre"), F.min("component").alias("low"), F.max("component").alias("high"),
+            F.min_by("component", "doc_id").alias("own")).where("low < high").drop("low", "high")
+        buckets = settle(open_.join(mixed, "bucket"), "buckets", held)
+        pairs = settle(buckets.where("component <> own").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
+                       .distinct().join(tested, ["a", "b"], "left_anti"), "pairs", held)
+        more = settle(confirmed(pairs, texts, shingle, similar), "more", 20 * held)
+        if more.isEmpty():
             break
-        pairs = settle(buckets.where("apart").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-                       .join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = settle(confirmed(pairs, texts, shingle, similar), "more")
         tested, links = tested.unionByName(pairs), links.unionByName(more)
     reached = members.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.coalesce("component", "rep").alias("component_id"))
     return (sets.select("doc_id", "n_shingles").join(reached, "doc_id", "left")
             .withColumn("component_id", F.coalesce("component_id", "doc_id"))
-            .withColumn("kept", F.col("doc_id") == F.col("component_id")))
+            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
