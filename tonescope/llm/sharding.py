@@ -94,15 +94,29 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     piece = lookup(first, F.col("range")) + F.pmod("spread", lookup(slices, F.col("range")))
     placed = rows.withColumn("range", here).withColumn("piece", piece.cast("int"))
     weights = placed.groupBy("piece").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
-    shard_of, start_of = [0] * at, [0] * at
+    shard_of, start_of, turns = [0] * at, [0] * at, [1] * at
     filled = [(0, 0, s) for s in range(shards)]
+    mean = max(1, sum(w["n"] for w in weights) // max(len(weights), 1))
     for w in sorted(weights, key=lambda w: (-w["bytes"], w["piece"])):
         size, count, s = heapq.heappop(filled)
         shard_of[w["piece"]], start_of[w["piece"]] = s, count
+        turns[w["piece"]] = -(-w["n"] // (2 * mean))
         heapq.heappush(filled, (size + w["bytes"], count + w["n"], s))
-    rank = F.row_number().over(Window.partitionBy("piece").orderBy("key", "doc_id", "size", "text_crc32"))
+    # A piece of many rows (one text may have many copies) is numbered in turns, each in a task of its own.
+    placed = placed.withColumn("turn", F.pmod(F.xxhash64("spread"), lookup(turns, F.col("piece"))).cast("int"))
+    sizes = placed.groupBy("piece", "turn").agg(F.count(F.lit(1)).alias("n")).collect()
+    places, first_turn = [], [0] * at
+    by_piece: dict[int, dict[int, int]] = {}
+    for r in sizes:
+        by_piece.setdefault(r["piece"], {})[r["turn"]] = r["n"]
+    for piece in range(at):
+        first_turn[piece], slot = len(places), start_of[piece]
+        for turn in range(turns[piece]):
+            places.append(slot)
+            slot += by_piece.get(piece, {}).get(turn, 0)
+    start = lookup(places, lookup(first_turn, F.col("piece"), "int") + F.col("turn"))
+    rank = F.row_number().over(Window.partitionBy("piece", "turn").orderBy("key", "doc_id", "size", "text_crc32"))
     return placed.withColumn("rank", rank).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"),
-        lookup(shard_of, F.col("piece"), "int").alias("shard"),
-        (lookup(start_of, F.col("piece")) + F.col("rank") - 1).alias("slot"),
+        lookup(shard_of, F.col("piece"), "int").alias("shard"), (start + F.col("rank") - 1).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"))
