@@ -21,7 +21,8 @@ from tonescope.llm.common import WORD, only, settle
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3
 BLOCK_ROWS = 2_000
-LEAST_BLOCKS = 16
+LEAST_BLOCKS, MOST_BLOCKS = 16, 100_000
+SHARD_WORDS = 10_000_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def mix_plan(docs: DataFrame, shards: int, seed: int = 0) -> tuple[DataFrame, Da
            .orderBy(F.col("source").asc_nulls_last()).collect())
     goal = targets([r["size"] for r in per])
     plan = spark.createDataFrame(
-        [(i, r["source"], r["size"], g, max(LEAST_BLOCKS, r["n"] // BLOCK_ROWS))
+        [(i, r["source"], r["size"], g, min(MOST_BLOCKS, max(LEAST_BLOCKS, r["n"] // BLOCK_ROWS)))
          for i, (r, g) in enumerate(zip(per, goal))],
         "source_no int, source string, source_size long, target double, blocks long")
     rows = (rows.join(F.broadcast(plan) if len(per) <= 10_000 else plan, rows["source"].eqNullSafe(plan["source"]))
@@ -83,7 +84,7 @@ def mix_plan(docs: DataFrame, shards: int, seed: int = 0) -> tuple[DataFrame, Da
 
 def mix_draws(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target and `draws`, one (draw, shard) for each time it is taken
-    (null or empty: never)."""
+    (null or empty: never). There are `shards` output shards, more where one would have over SHARD_WORDS words."""
     spark = docs.sparkSession
     rows, plan = mix_plan(docs, shards, seed)
     # Blocks of a source in permuted order; what lies before a block decides whether the broken part takes it.
@@ -116,6 +117,7 @@ def mix_draws(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
     counts = {r["source_no"]: r["n"] for r in blocks.groupBy("source_no").agg(
         F.sum(F.col("times") + (F.col("room") > 0).cast("int")).alias("n")).collect()}
     quotas = [int(counts.get(i, 0)) for i in range(len(counts))]
+    shards = max(shards, (plan.agg(F.sum("source_size")).first()[0] or 0) // SHARD_WORDS)
     shares = splitting_tree(quotas, shards, seed) if quotas else []
     ends, at = [], [0] * len(quotas)
     for s, own in enumerate(shares):
