@@ -53,13 +53,23 @@ def test_two_handles_and_a_missing_one(spark):
                               "ref_b": {"unresolved_ref": "s9"}}
 
 
-def test_a_chain_beyond_the_depth_is_an_error(spark):
+def test_chains_of_any_length_are_resolved(spark):
     rows = [("a", 0, "filter", "{}", "s0", "ok")] + [
         ("a", i, "rank", json.dumps({"ref": f"t{i - 1}" if i > 1 else "s0"}), f"t{i}", "ok")
-        for i in range(1, 5)]
-    assert paths.canonical_calls(calls(spark, rows), depth=5).count() == 5
-    with pytest.raises(Exception, match="deeper than 2"):
-        paths.canonical_calls(calls(spark, rows), depth=2).collect()
+        for i in range(1, 9)]
+    got = {r.idx: json.loads(r.signature) for r in paths.canonical_calls(calls(spark, rows)).collect()}
+    depth, node = 0, got[8]
+    while "ref" in node["args"]:
+        depth, node = depth + 1, node["args"]["ref"]
+    assert len(got) == 9 and depth == 8 and node["tool"] == "filter"
+
+
+def test_readable_rank_always_shows_top_k(spark):
+    rows = [("a", i, "rank", a, None, "ok") for i, a in enumerate(
+        ['{"ref": "t1", "top_k": 3}', '{"ref": "t1"}', '{"ref": "t1", "top_k": null}', '{"ref": "t1", "ascending": false}'])]
+    got = {r.idx: r.call for r in paths.readable_calls(calls(spark, rows)).collect()}
+    assert got == {0: "rank(ref='t1', top_k=3)", 1: "rank(ref='t1', top_k=None)", 2: "rank(ref='t1', top_k=None)",
+                   3: "rank(ref='t1', top_k=None)"}
 
 
 def test_coercion(spark):
@@ -166,6 +176,15 @@ def test_payload_forms(spark):
                    5: "[1,2]" if False else None, 6: '{"text":"a { b"}'}
 
 
+def test_first_json_among_prose_with_quotes_and_brackets():
+    told = {'say "hi {" {bad {"a": "}"} and [1, {"b": []}]': {"a": "}"}, 'use "{" as start. {"a": 1}': {"a": 1},
+            'a 5" pipe [see] {"x": "q\\"}"} }': {"x": 'q"}'}, "] } {]": None, '{"cut": {"in": 1}, "c': {"in": 1},
+            "{" * 50_000: None, "[" * 50_000 + "x" + "]" * 50_000: None, '{"a" ' * 20_000 + "}" * 20_000: None}
+    for text, value in told.items():
+        assert payload.first_json(text) == value, text[:50]
+    assert payload.first_json('[1] {"a": 2}', "{") == {"a": 2}
+
+
 def test_recovered_calls(spark):
     said = ['<tool_call>{"name": "filter", "arguments": {"org": "X"}}</tool_call>',
             'I do {"name": "rank", "arguments": {}} now', '-answer {"text": "No answer."}',
@@ -173,8 +192,8 @@ def test_recovered_calls(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string")
     call = payload.recovered_call("t", ["filter", "rank", "answer"])
     got = {r.i: (r.c.tool, r.c.args) for r in rows.select("i", call.alias("c")).collect()}
-    assert got[0] == ("filter", '{"org": "X"}') and got[1] == ("rank", "{}")
-    assert got[2] == ("answer", '{"text": "No answer."}')
+    assert got[0] == ("filter", '{"org":"X"}') and got[1] == ("rank", "{}")
+    assert got[2] == ("answer", '{"text":"No answer."}')
     assert all(got[i] == (None, None) for i in (3, 4, 5, 6))
 
 

@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +95,15 @@ def test_traces_to_scores(spark, logs):
     assert got["c"].path_match is None and got["c"].state == "missing_run_end"
     assert got["c"].task_completion == 0 and got["c"].tool_selection_accuracy is None
     assert round(got["a"].cost_usd, 9) == round(3 * (400 * 0.3 + 600 * 0.03 + 100 * 2.5) / 1e6, 9)
+    (Path(logs) / "m_s1" / "d.jsonl").write_text(trace("d", "T1", 4, [], end=False))
+    again = {r.run_id: r for r in score_traces(traces.read_traces(spark, logs), gold).collect()}
+    # a run that died before its first step has a row all the same
+    dead = again.pop("d")
+    assert set(again) == {"a", "b", "c"} and dead.n_steps == 0 and dead.state == "missing_run_end"
+    assert dead.path_match is False and dead.tool_selection_accuracy == 0.0 and dead.task_completion == 0
+    assert dead.n_protocol_violations == 0 and dead.abstained is None
+    totals = {r.agent: r for r in runlogs.agent_totals(score_traces(records, gold)).collect()}
+    assert sum(r.protocol_violations for r in totals.values()) == sum(r.n_protocol_violations for r in got.values())
     only = score_traces(records, gold, spark.createDataFrame([("T1",)], "task_id string"))
     assert {r.run_id for r in only.collect()} == {"a", "b"}
 

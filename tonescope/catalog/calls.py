@@ -84,11 +84,39 @@ def calls_path_match(spark, folder):
 
 @query("calls_readable", "I-13", CALLS + """
     SELECT run_id, idx, CASE tool WHEN 'answer' THEN 'answer(text=''answer ' || k || ''')' WHEN 'plot' THEN 'plot()'
+      WHEN 'filter' THEN 'filter(aspect=[''Brand#' || (k % 25 + 1) || ''', '' Brand#3'', ''Brand#3''], industry='
+        || CASE WHEN k % 2 = 0 THEN '''ASIA ''' ELSE '[''EUROPE'', ''ASIA'']' END || ')'
+      WHEN 'summarise' THEN 'summarise(group_by=''' || CASE WHEN k % 10 = 0 THEN 'colour' ELSE 'aspect' END
+        || ''', min_n=' || CASE WHEN k % 3 = 0 THEN '''30''' ELSE '30.0' END || ', ref=''s' || coalesce(sel, 999) || ''')'
       WHEN 'rank' THEN 'rank(by=''neg_rate'', exclude=''' || CASE WHEN k % 2 = 0 THEN 'non_actionable' ELSE 'email' END
-        || ''', ref=''t' || coalesce(tab, 999) || ''')' END AS call
-    FROM calls WHERE tool IN ('answer', 'plot', 'rank')""")
+        || ''', ref=''t' || coalesce(tab, 999) || ''', top_k=' || CASE WHEN k % 7 = 0 THEN 'None' ELSE '3' END || ')'
+      END AS call
+    FROM calls WHERE tool IS NOT NULL""")
 def calls_readable(spark, folder):
-    return paths.readable_calls(logged(spark, folder).where("tool IN ('answer', 'plot', 'rank')"))
+    return paths.readable_calls(logged(spark, folder))
+
+
+# up to five ranks of a rank of a summary of a selection: each call refers to the handle of the one before
+CHAIN_SQL = """WITH RECURSIVE base AS (SELECT event_id AS run_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+    c AS (SELECT run_id, k, 0 AS idx, '{"args":{"industry":["I' || (k % 7) || '"]},"tool":"filter"}' AS signature FROM base
+      UNION ALL SELECT run_id, k, idx + 1, CASE WHEN idx = 0 THEN '{"args":{"group_by":"aspect","ref":' || signature
+          || '},"tool":"summarise"}' ELSE '{"args":{"by":"neg_rate","ref":' || signature || '},"tool":"rank"}' END
+        FROM c WHERE idx < 2 + k % 5)
+    SELECT run_id, idx, signature FROM c"""
+
+
+@query("calls_long_chains", "I-12 L-6", CHAIN_SQL)
+def calls_long_chains(spark, folder):
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    runs = derived.table(spark, folder, "events").select(F.col("event_id").alias("run_id"), k.alias("k"))
+    steps = runs.withColumn("idx", F.explode(F.sequence(F.lit(0), (2 + F.col("k") % 5).cast("int"))))
+    back = F.format_string('"h%d"', F.col("idx") - 1)
+    args = (F.when(F.col("idx") == 0, F.format_string('{"industry": "I%d"}', F.col("k") % 7))
+            .when(F.col("idx") == 1, F.concat(F.lit('{"group_by": "aspect", "ref": '), back, F.lit("}")))
+            .otherwise(F.concat(F.lit('{"by": "neg_rate", "top_k": 3, "ref": '), back, F.lit("}"))))
+    tool = F.when(F.col("idx") == 0, "filter").when(F.col("idx") == 1, "summarise").otherwise("rank")
+    return paths.canonical_calls(steps.select("run_id", "idx", tool.alias("tool"), args.alias("args"),
+                                              F.format_string("h%d", "idx").alias("handle")))
 
 
 @query("calls_coerced_arguments", "I-10", CALLS + """
@@ -113,7 +141,7 @@ def calls_argument_audit(spark, folder):
 @query("calls_repeated", "L-19", SIGS + """
     , raw AS (SELECT run_id, idx, tool, CASE tool WHEN 'filter' THEN (k % 2) || '|' || (k % 25)
         WHEN 'summarise' THEN coalesce(sel, 999) || '|' || (k % 10 = 0) || '|' || (k % 3 = 0)
-        WHEN 'rank' THEN coalesce(tab, 999) || '|' || (k % 2) WHEN 'answer' THEN k::VARCHAR ELSE '' END AS a
+        WHEN 'rank' THEN coalesce(tab, 999) || '|' || (k % 2) || '|' || (k % 7 = 0) WHEN 'answer' THEN k::VARCHAR ELSE '' END AS a
       FROM calls WHERE tool IS NOT NULL),
     w AS (SELECT *, min(idx) OVER (PARTITION BY run_id, tool, a) AS first_idx FROM raw)
     SELECT run_id, idx, tool, first_idx FROM w WHERE idx > first_idx""")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonescope.catalog.base import on_cells, query
 from tonescope.catalog.inferences import PAIRS, TESTED, requested_pairs
+from tonescope.functions.measures import COUNT_OF
 from tonescope.plans import questions
 from tonescope.sources import derived
 
@@ -62,30 +66,60 @@ def question_top_complaints(spark, folder):
     return questions.top_complaints(segments(spark, folder))
 
 
-@query("question_which_is_higher", "M-4 C-7", on_cells(PAIRS.format(k="neg_count") + f"""
+def higher_sql(count: str) -> str:
+    return on_cells(PAIRS.format(k=count) + f"""
     SELECT a, b, aspect, total_a, total_b, neg_a::DOUBLE / nullif(total_a, 0) AS rate_a,
       neg_b::DOUBLE / nullif(total_b, 0) AS rate_b,
       CASE WHEN total_a >= 30 AND total_b >= 30 THEN CASE
         WHEN neg_a::DOUBLE / total_a > neg_b::DOUBLE / total_b THEN 'a'
         WHEN neg_a::DOUBLE / total_a < neg_b::DOUBLE / total_b THEN 'b' ELSE 'equal' END END AS higher,
       total_a < 30 OR total_b < 30 AS abstain, CASE WHEN total_a = 0 OR total_b = 0 THEN '{questions.ABSENT}'
-        WHEN total_a < 30 OR total_b < 30 THEN '{questions.THIN}' END AS reason FROM sides"""))
+        WHEN total_a < 30 OR total_b < 30 THEN '{questions.THIN}' END AS reason FROM sides""")
+
+
+@query("question_which_is_higher", "M-4 C-7", higher_sql("neg_count"))
 def question_which_is_higher(spark, folder):
     return questions.which_is_higher(requested_pairs(spark, folder), segments(spark, folder))
 
 
-@query("question_significant_difference", "M-5 J-5", on_cells(PAIRS.format(k="neg_count") + TESTED + f"""
-    SELECT a, b, aspect, total_a, neg_a, total_b, neg_b, CASE WHEN sufficient THEN z END AS z,
+def by_sentiment(sql) -> str:
+    """The same question for every sentiment."""
+    return " UNION ALL ".join(f"SELECT '{name}' AS sentiment, * FROM ({sql(count)})" for name, count in COUNT_OF.items())
+
+
+def every_sentiment(ask) -> DataFrame:
+    return reduce(DataFrame.unionByName, [ask(name).withColumn("sentiment", F.lit(name)) for name in COUNT_OF])
+
+
+@query("question_which_is_higher_by_sentiment", "M-4 I-18", by_sentiment(higher_sql))
+def question_which_is_higher_by_sentiment(spark, folder):
+    pairs, told = requested_pairs(spark, folder), segments(spark, folder)
+    return every_sentiment(lambda name: questions.which_is_higher(pairs, told, sentiment=name))
+
+
+def difference_sql(count: str) -> str:
+    return on_cells(PAIRS.format(k=count) + TESTED + f"""
+    SELECT a, b, aspect, total_a, neg_a AS count_a, total_b, neg_b AS count_b, CASE WHEN sufficient THEN z END AS z,
       CASE WHEN sufficient THEN round(p, 9) END AS p_value,
       CASE WHEN sufficient THEN p < 0.05e0 END AS significant, NOT sufficient AS abstain,
       CASE WHEN total_a = 0 OR total_b = 0 THEN '{questions.ABSENT}'
-        WHEN NOT sufficient THEN '{questions.THIN_TEST}' END AS reason FROM judged"""))
+        WHEN NOT sufficient THEN '{questions.THIN_TEST}' END AS reason FROM judged""")
+
+
+@query("question_significant_difference", "M-5 J-5", difference_sql("neg_count"))
 def question_significant_difference(spark, folder):
     told = questions.significant_difference(requested_pairs(spark, folder),
                                             segments(spark, folder))
     return told.withColumn("p_value", F.round("p_value", 9))
 
 
+@query("question_significant_difference_by_sentiment", "M-5 I-18", by_sentiment(difference_sql))
+def question_significant_difference_by_sentiment(spark, folder):
+    pairs, told = requested_pairs(spark, folder), segments(spark, folder)
+    return every_sentiment(lambda name: questions.significant_difference(pairs, told, sentiment=name).withColumn(
+        "p_value", F.round("p_value", 9)))
+
+
 @query("question_orgs_against_industry", "M-6 E-9", on_cells(f"""
     , i AS (SELECT industry, aspect, sum(neg_count)::DOUBLE / sum(total_count) AS industry_rate,
       count(*) FILTER (total_count >= 30) AS n_orgs FROM cells GROUP BY ALL),

@@ -297,7 +297,7 @@ FIRST = CALLS + """, q AS (SELECT *, CASE WHEN seed = 4 THEN NULL WHEN seed % 2
       CASE WHEN seed = 4 THEN 'out_of_scope' WHEN seed % 2 = 0 THEN 'ranking' ELSE 'lookup' END AS question_type FROM calls),
     raw AS (SELECT run_id, idx, tool, CASE tool WHEN 'filter' THEN (k % 2) || '|' || (k % 25)
         WHEN 'summarise' THEN coalesce(sel, 999) || '|' || (k % 10 = 0) || '|' || (k % 3 = 0)
-        WHEN 'rank' THEN coalesce(tab, 999) || '|' || (k % 2) WHEN 'answer' THEN k::VARCHAR ELSE '' END AS a
+        WHEN 'rank' THEN coalesce(tab, 999) || '|' || (k % 2) || '|' || (k % 7 = 0) WHEN 'answer' THEN k::VARCHAR ELSE '' END AS a
       FROM calls WHERE tool IS NOT NULL),
     lo AS (SELECT run_id, count(*) - count(DISTINCT tool || '~' || a) AS loops FROM raw GROUP BY run_id),
     m AS (SELECT run_id, question_type, expected, count(tool) AS calls, coalesce(bool_or(tool = expected), FALSE) AS hit,

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tonescope.schema import NON_ACTIONABLE
 
 
+#: The count column of each sentiment.
+COUNT_OF = {"negative": "neg_count", "neutral": "neu_count", "positive": "pos_count"}
+
+
 def count_sentiment(label: str, column: str = "sentiment") -> Column:
     return F.count_if(F.col(column) == label)
 

@@ -120,10 +120,13 @@ def bootstrap_interval(boot: DataFrame, thresholds=(0.67, 0.80)) -> DataFrame:
 
 
 def by_rater(ratings: DataFrame, raters) -> DataFrame:
-    """Units x raters, one column per named rater. Output is R wide, so R is checked."""
+    """Units x raters, one column per named rater (others are left out); of repeated ratings the highest counts.
+
+    Output is R wide, so R is checked.
+    """
     if len(raters) > RATER_LIMIT:
         raise ValueError(f"a rater-by-rater table is limited to {RATER_LIMIT} raters")
-    return ratings.groupBy("unit").pivot("rater", list(raters)).agg(F.first("score"))
+    return ratings.groupBy("unit").pivot("rater", list(raters)).agg(F.max("score"))
 
 
 def rater_pairs(ratings: DataFrame, raters) -> DataFrame:

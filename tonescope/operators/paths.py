@@ -17,7 +17,6 @@ from tonescope.schema import (ARGUMENT_CHOICES, BOOLEAN_ARGUMENTS, DEFAULT_ARGUM
 from tonescope.session import cut_lineage
 
 REFERENCES = ["ref", "ref_a", "ref_b"]
-MAX_DEPTH = 4
 
 
 def _settled(df: DataFrame, **columns: Column) -> DataFrame:
@@ -110,36 +109,36 @@ def _nodes(calls: DataFrame) -> DataFrame:
     return grouped.select("run_id", "idx", "handle", text.alias("text"), *REFERENCES)
 
 
-def canonical_calls(calls: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+def canonical_calls(calls: DataFrame) -> DataFrame:
     """(run_id, idx, signature): every handle replaced by the call that produced it, recursively.
 
-    Expansion walks down from each call, one equi-join on (run_id, handle) per level, always
-    against the same call table, which is parsed once and written to the checkpoint folder. A chain longer than
-    `depth` is an error, not a cut; a handle nobody produced is kept as unresolved.
+    Expansion walks down from each call, one equi-join on (run_id, handle) per level against the same call table, which
+    is parsed once and written to the shared folder, and ends when no link is open; a level holds only open links. A
+    handle is looked up among earlier calls only, so chains end. A handle nobody produced is kept as unresolved.
     """
     nodes = cut_lineage(_nodes(calls))
     links = F.array(*[F.struct(F.lit(r).alias("name"), F.col(r).alias("to")) for r in REFERENCES])
 
     def open_links(df):
         return (df.withColumn("_l", F.explode(F.filter(links, lambda x: x["to"].isNotNull())))
-                .select("run_id", "root", F.concat("path", F.lit("<"), F.col("_l.name"),
-                                                   F.lit(">")).alias("path"),
+                .select("run_id", "root", F.col("at").alias("before"),
+                        F.concat("path", F.lit("<"), F.col("_l.name"), F.lit(">")).alias("path"),
                         F.col("_l.to").alias("handle")))
 
-    roots = nodes.select("run_id", F.col("idx").alias("root"), F.lit("").alias("path"), "text",
+    level = nodes.select("run_id", F.col("idx").alias("root"), F.col("idx").alias("at"), F.lit("").alias("path"), "text",
                          *REFERENCES)
-    makers = nodes.where(F.col("handle").isNotNull()).drop("idx")
-    found, level = [roots.select("run_id", "root", "path", "text")], roots
-    for step in range(depth):
+    makers = nodes.where(F.col("handle").isNotNull()).withColumnRenamed("idx", "at")
+    found = [level.select("run_id", "root", "path", "text")]
+    unresolved = F.concat(F.lit('{"unresolved_ref":'), _quoted(F.col("handle")), F.lit("}"))
+    while True:
         asked = open_links(level)
-        unresolved = F.concat(F.lit('{"unresolved_ref":'), _quoted(F.col("handle")), F.lit("}"))
-        level = (asked.join(makers, ["run_id", "handle"], "left")
-                 .withColumn("text", F.coalesce("text", unresolved)).drop("handle"))
-        if step == depth - 1:
-            deeper = F.coalesce(*REFERENCES).isNotNull()
-            level = level.withColumn("text", F.when(deeper, F.raise_error(
-                F.lit(f"a handle chain is deeper than {depth}")).cast("string"))
-                .otherwise(F.col("text")))
+        earlier = asked.join(makers, ["run_id", "handle"], "left").where("at IS NULL OR at < before")
+        known = earlier.where("at IS NOT NULL")
+        missing = (asked.join(known.select("run_id", "root", "path"), ["run_id", "root", "path"], "left_anti")
+                   .withColumn("text", unresolved))
+        level = cut_lineage(known.unionByName(missing, allowMissingColumns=True).drop("handle", "before"))
+        if level.isEmpty():
+            break
         found.append(level.select("run_id", "root", "path", "text"))
     pieces = reduce(DataFrame.unionByName, found)
     # marks inside a piece become absolute paths, then each is replaced by its piece, outermost first
@@ -150,7 +149,7 @@ def canonical_calls(calls: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
                                                           "text"))).alias("p")))
     mark = "\u0001"
     folded = F.aggregate(
-        F.slice("p", 2, 1_000_000), F.element_at("p", 1)["text"],
+        F.slice("p", 2, F.size("p")), F.element_at("p", 1)["text"],
         lambda acc, x: F.replace(acc, F.concat(F.lit(mark), x["path"], F.lit(mark)), x["text"]))
     return per_call.select("run_id", F.col("root").alias("idx"), folded.alias("signature"))
 
@@ -180,15 +179,28 @@ def path_matches(paths: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def readable_calls(calls: DataFrame) -> DataFrame:
-    """(run_id, idx, call): `tool(key='value', ...)` with defaults left out."""
-    args = arguments(calls).where(F.col("key").isNull() | ~_is_default())
-    shown = F.when(F.col("kind") == "STRING",
-                   F.concat(F.lit("'"), _text(F.col("value")), F.lit("'"))).otherwise(
-        F.col("value"))
-    entry = F.when(F.col("key").isNotNull(), F.concat_ws("=", "key", shown))
-    return args.groupBy("run_id", "idx", "tool").agg(
-        F.array_join(F.array_sort(F.collect_list(entry)), ", ").alias("_a")).select(
-        "run_id", "idx", F.concat("tool", F.lit("("), F.col("_a"), F.lit(")")).alias("call"))
+    """(run_id, idx, call): `tool(key='value', ...)`, keys in order.
+
+    Defaults are left out, but for rank's top_k: 3 is its default and None asks for the whole ranking, so it is always
+    shown; a log drops arguments passed as None, so a rank call without it gets `top_k=None` back.
+    """
+    def shown(kind, value):
+        single = F.concat(F.lit("'"), _text(value), F.lit("'"))
+        return (F.when(kind == "STRING", single).when(kind == "VOID", "None").when(value == "true", "True")
+                .when(value == "false", "False")
+                .when(kind.isin("DECIMAL", "DOUBLE") & ~value.rlike("[.eE]"), F.concat(value, F.lit(".0")))
+                .otherwise(value))
+
+    texts = F.concat(F.lit("["), F.array_join(F.transform(
+        F.from_json("value", "array<string>"), lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
+    value = F.when(F.col("kind") == "ARRAY", texts).otherwise(shown(F.col("kind"), F.col("value")))
+    hidden = _is_default() & (F.col("key") != "top_k")
+    entry = F.when(F.col("key").isNotNull() & ~hidden, F.struct("key", F.concat_ws("=", "key", value).alias("said")))
+    restored = F.when((F.col("tool") == "rank") & ~F.exists("_e", lambda e: e["key"] == "top_k"), F.concat(
+        "_e", F.array(F.struct(F.lit("top_k").alias("key"), F.lit("top_k=None").alias("said"))))).otherwise(F.col("_e"))
+    said = F.array_join(F.transform(F.array_sort(restored), lambda e: e["said"]), ", ")
+    return (arguments(calls).groupBy("run_id", "idx", "tool").agg(F.collect_list(entry).alias("_e"))
+            .select("run_id", "idx", F.concat("tool", F.lit("("), said, F.lit(")")).alias("call")))
 
 
 def _member(pairs) -> Column:

@@ -24,8 +24,10 @@ def rank_groups(df: DataFrame, by: str, scope=(), top_k: int | None = 3, ascendi
                 exclude: tuple[str, list] | None = None, wide: bool = False) -> DataFrame:
     """Competition rank inside each scope: ties share a rank and `rank <= top_k` keeps them all.
 
-    Excluded groups leave before ranks are taken. `wide=True` is for scopes of unbounded size.
+    Excluded groups leave before ranks are taken, and so do rows without a value; rows whose scope is NULL form a scope.
+    `wide=True` is for scopes of unbounded size and gives the same rows.
     """
+    df = df.where(F.col(by).isNotNull())
     if exclude:
         column, names = exclude
         df = df.where(F.coalesce(~F.col(column).isin(list(names)), F.lit(True)))
@@ -37,6 +39,15 @@ def rank_groups(df: DataFrame, by: str, scope=(), top_k: int | None = 3, ascendi
     return ranked if top_k is None else ranked.where(F.col("rank") <= top_k)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """Inner join on `keys`, where NULL equals NULL; the keys appear once."""
+    named = right.withColumnsRenamed({k: f"_{k}_right" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}_right"))
+    return left.join(named, same).drop(*[f"_{k}_right" for k in keys])
+
+
 def _distinct_values(df: DataFrame, by: str, scope) -> DataFrame:
     return (df.where(F.col(by).isNotNull()).groupBy(*scope, by)
             .agg(F.count("*").alias("_n")))
@@ -50,7 +61,7 @@ def cumulative_counts(df: DataFrame, by: str, scope, ascending: bool) -> DataFra
     cuts = F.percentile_approx(by, points, 2000)
     if scope:
         edges = values.groupBy(*scope).agg(cuts.alias("_cuts"))
-        placed = values.join(edges, scope)
+        placed = null_safe_join(values, edges, scope)
     else:
         placed = values.withColumn("_cuts", values.agg(cuts).scalar())
     below = F.size(F.filter("_cuts", lambda c: c < F.col(by)))
@@ -62,7 +73,7 @@ def cumulative_counts(df: DataFrame, by: str, scope, ascending: bool) -> DataFra
                            F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
     inside = (Window.partitionBy(*scope, "_bucket").orderBy(_order(by, ascending))
               .rowsBetween(Window.unboundedPreceding, -1))
-    return (placed.join(offsets, [*scope, "_bucket"])
+    return (null_safe_join(placed, offsets, [*scope, "_bucket"])
             .withColumn("_before", F.col("_offset")
                         + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
             .select(*scope, by, "_n", "_before"))
@@ -72,7 +83,7 @@ def wide_rank(df: DataFrame, by: str, scope=(), ascending: bool = False) -> Data
     """Competition rank over scopes of any size."""
     ranks = (cumulative_counts(df, by, scope, ascending)
              .select(*scope, by, (F.col("_before") + 1).cast("bigint").alias("rank")))
-    return df.join(ranks, [*scope, by])
+    return null_safe_join(df, ranks, [*scope, by])
 
 
 def wide_top(df: DataFrame, by: str, scope=(), top_k: int = 3, ascending: bool = False):
@@ -89,7 +100,7 @@ def wide_top(df: DataFrame, by: str, scope=(), top_k: int = 3, ascending: bool =
     ranks = (leaders.withColumn("rank", (1 + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
                                 .cast("bigint"))
              .where(F.col("rank") <= top_k).select(*scope, by, "rank"))
-    return df.join(ranks, [*scope, by])
+    return null_safe_join(df, ranks, [*scope, by])
 
 
 def top_cut(df: DataFrame, by: str, n: int, tie_break, ascending: bool = False) -> DataFrame:
@@ -143,7 +154,7 @@ def quantiles(df: DataFrame, by: str, points, scope=()) -> DataFrame:
     spread = cumulative_counts(df, by, scope, True)
     size = F.sum("_n").alias("_total")
     if scope:
-        placed = spread.join(spread.groupBy(*scope).agg(size), scope)
+        placed = null_safe_join(spread, spread.groupBy(*scope).agg(size), scope)
     else:
         placed = spread.withColumn("_total", spread.agg(size).scalar())
     asked = placed.withColumn("q", F.explode(F.array(*[F.lit(float(p)) for p in points])))
@@ -167,7 +178,7 @@ def cumulative_share(df: DataFrame, by: str, scope=()) -> DataFrame:
     spread = cumulative_counts(df, by, scope, True)
     size = F.sum("_n").alias("_total")
     if scope:
-        placed = spread.join(spread.groupBy(*scope).agg(size), scope)
+        placed = null_safe_join(spread, spread.groupBy(*scope).agg(size), scope)
     else:
         placed = spread.withColumn("_total", spread.agg(size).scalar())
     at_or_below = (F.col("_before") + F.col("_n")).cast("double")

@@ -170,6 +170,14 @@ def agent_roll_up(runs: DataFrame, states) -> DataFrame:
         F.avg(F.col("n_errors").cast("double")).alias("mean_errors"))
 
 
+def agent_totals(runs: DataFrame) -> DataFrame:
+    """Per agent: protocol violations, mean tokens out per run, and list and billed cost; costs nobody knows stay NULL."""
+    return runs.groupBy("agent").agg(
+        F.sum("n_protocol_violations").alias("protocol_violations"),
+        F.avg(F.col("tokens_out").cast("double")).alias("mean_tokens_out"),
+        F.sum("cost_list").alias("cost_list"), F.sum("cost_usd").alias("cost_usd"))
+
+
 def passed_tasks(scores: DataFrame, mark: float, missing: str = "fail") -> DataFrame:
     """(agent, task_id, passed): every seed of the agent at or above the mark.
 

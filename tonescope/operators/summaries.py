@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tonescope.functions import measures as m
+from tonescope.operators.ranking import null_safe_join
 from tonescope.schema import COUNT_COLUMNS, MIN_MENTIONS, SENTIMENTS, VOCABULARY_COLUMNS
 
 CELL_KEYS = ["industry", "org", "parent_aspect", "aspect"]
@@ -34,7 +35,7 @@ def _with_total(counts: DataFrame, within, bounded: bool, name: str) -> DataFram
     if bounded:
         return counts.withColumn(name, F.sum("total_count").over(Window.partitionBy(*within)))
     totals = counts.groupBy(*within).agg(F.sum("total_count").alias(name))
-    return counts.join(totals, list(within))
+    return null_safe_join(counts, totals, list(within))
 
 
 def summary_of_counts(counts: DataFrame, group_by: str | None, within=(), min_n: int | None = None,

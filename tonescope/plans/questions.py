@@ -80,9 +80,10 @@ def top_complaints(segments: DataFrame, k: int = 3, floor: int = MIN_MENTIONS) -
                        F.when(abstain, FEW).alias("reason"))
 
 
-def which_is_higher(pairs: DataFrame, segments: DataFrame, floor: int = MIN_MENTIONS) -> DataFrame:
-    """T4: which of two named segments has the higher negative rate on a topic."""
-    sides = inference.pair_sides(pairs, segments, segment="segment")
+def which_is_higher(pairs: DataFrame, segments: DataFrame, floor: int = MIN_MENTIONS,
+                    sentiment: str = "negative") -> DataFrame:
+    """T4: which of two named segments has the higher rate of a sentiment on a topic."""
+    sides = inference.pair_sides(pairs, segments, segment="segment", positive=m.COUNT_OF[sentiment])
     absent = (F.col("total_a") == 0) | (F.col("total_b") == 0)
     thin = (F.col("total_a") < floor) | (F.col("total_b") < floor)
     rate_a, rate_b = m.rate("neg_a", "total_a"), m.rate("neg_b", "total_b")
@@ -93,13 +94,14 @@ def which_is_higher(pairs: DataFrame, segments: DataFrame, floor: int = MIN_MENT
                         F.when(absent, ABSENT).when(thin, THIN).alias("reason"))
 
 
-def significant_difference(pairs: DataFrame, segments: DataFrame, strict: bool = True):
-    """T5: z-test between two named segments on a topic; abstains on thin test cells."""
-    sides = inference.pair_sides(pairs, segments, segment="segment")
+def significant_difference(pairs: DataFrame, segments: DataFrame, strict: bool = True,
+                           sentiment: str = "negative") -> DataFrame:
+    """T5: z-test between two named segments on a topic and a sentiment; abstains on thin test cells."""
+    sides = inference.pair_sides(pairs, segments, segment="segment", positive=m.COUNT_OF[sentiment])
     tested = inference.proportions_test(sides, strict=strict)
     enough = F.coalesce("sufficient", F.lit(False))
     return tested.select(
-        "a", "b", "aspect", "total_a", "neg_a", "total_b", "neg_b",
+        "a", "b", "aspect", "total_a", F.col("neg_a").alias("count_a"), "total_b", F.col("neg_b").alias("count_b"),
         F.when(enough, F.col("z")).alias("z"), F.when(enough, F.col("p_value")).alias("p_value"),
         F.when(enough, F.col("significant")).alias("significant"), (~enough).alias("abstain"),
         F.when(F.col("error").isNotNull(), ABSENT).when(~enough, THIN_TEST).alias("reason"))

@@ -170,7 +170,8 @@ def tool_calls(spark: SparkSession, folder: str) -> DataFrame:
                 F.when(k % 10 == 0, "colour").otherwise("aspect"),
                 F.when(k % 3 == 0, '"30"').otherwise("30.0")))
             .when(F.col("event") == "purchase", F.format_string(
-                '{"top_k": 3, "by": "neg_rate", "ref": "%s", "exclude": "%s"}', tab,
+                '{%s"by": "neg_rate", "ref": "%s", "exclude": "%s"}',
+                F.when(k % 7 == 0, "").otherwise('"top_k": 3, '), tab,
                 F.when(k % 2 == 0, "non_actionable").otherwise("email")))
             .when(F.col("event") == "signup", F.format_string('{"text": "answer %d"}', k))
             .when(k % 2 == 1, F.lit("{}")))

@@ -93,8 +93,7 @@ def run_status(steps: DataFrame, step_cap: int = STEP_CAP, token_budget: int = T
         yield pd.DataFrame({"run_id": [key[0]], "steps": [steps_], "errors": [errors],
                             "tokens": [tokens], "streak": [streak], "state": [state or "running"]})
 
-    slim = steps.where(F.col("idx") < step_cap).select("run_id", "idx", "tool", "status", "reply",
-                                                       "tokens")
+    slim = steps.select("run_id", "idx", "tool", "status", "reply", "tokens")
     return slim.groupBy("run_id").applyInPandasWithState(
         advance, STATUS, _STATE, "update", GroupStateTimeout.NoTimeout)
 
