@@ -43,9 +43,10 @@ def without_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """A row for each time that the mix takes a document; a partition holds one shard, shuffled."""
-    taken = mix(docs, SHARDS).select(F.col("doc_id").alias("_doc"), F.col("shard").alias("_shard"),
-                                     F.col("order").alias("_order"))
-    return (docs.join(taken, F.col("doc_id") == F.col("_doc")).repartition(SHARDS, "_shard")
+    taken = settle(mix(docs, SHARDS).select(F.col("doc_id").alias("_doc"), F.col("shard").alias("_shard"),
+                                            F.col("order").alias("_order")), "taken")
+    shards = 1 + (taken.agg(F.max("_shard")).first()[0] or 0)
+    return (docs.join(taken, F.col("doc_id") == F.col("_doc")).repartitionByRange(shards, "_shard")
             .sortWithinPartitions("_shard", "_order", "doc_id").select(*docs.columns))
 
 
