@@ -28,7 +28,7 @@ REVERSE = 16
 TABLES, LEAF, LEAF_LINKS = 4, 64, 16
 OFFERS = 8
 ROUNDS, SETTLED = 8, 0.03
-BEAM = 64
+BEAM = 128
 EDGES = "u long, w long, near float"
 
 
