@@ -121,6 +121,32 @@ def test_very_long_texts_are_cut_across_parts(spark, monkeypatch):
     assert got == cut_by_hand(texts, 100)
 
 
+def test_a_layout_holds_few_parts_of_a_text(monkeypatch):
+    """A text longer than 2^PLACE_BITS elects the same places as by brute force."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+    text = bytes(random.Random(5).choices(b"abcdefghij ", k=40_000))
+    whole = substrings._Parts(100)
+    for part in whole.cut(text):
+        whole.add(0, *part)
+    names = substrings._names(*whole.layout())[whole.gap:]
+    monkeypatch.setattr(substrings, "PART", 5_000)
+    monkeypatch.setattr(substrings, "AT_ONCE", 5_000)
+    monkeypatch.setattr(substrings, "PLACE_BITS", 14)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+    starts = []
+    for _, parts in substrings._batches(iter([batch]), 100):
+        elected = substrings._elected(substrings._names(*parts.layout()), 100)
+        for _, back, first, last in parts.rows:
+            starts.extend(range(first, last + 1))
+            for p in range(first, last + 1, 7):
+                reach = names[p:p + 100 - substrings.NAMED + 1] >> np.uint64(14)
+                assert elected[p - back] + back == p + int(np.argmin(reach))
+    assert starts == list(range(len(text) - 99))
+
+
 def test_kept_text_has_whole_characters(spark):
     first, second = "é" * 70 + "abc" * 40, "è" + "é" * 69 + "abc" * 40 + "end"
     docs = spark.createDataFrame([(1, first), (2, second)], "doc_id long, text string")

@@ -79,6 +79,7 @@ def _names(symbols: np.ndarray, outside: np.ndarray) -> np.ndarray:
 def _elected(names: np.ndarray, least: int) -> np.ndarray:
     """For each place the place elected by the string of `least` bytes from there."""
     reach = least - NAMED + 1
+    assert len(names) < 1 << PLACE_BITS, "the layout is longer than places can be told apart"
     low = (names >> U(PLACE_BITS) << U(PLACE_BITS)) | np.arange(len(names), dtype=np.uint64)
     h = 1
     while 2 * h <= reach:
@@ -101,14 +102,18 @@ class _Parts:
         self.rows: list[tuple[int, int, int, int]] = []  # row, shift to places in the document, first and last start
         self.size = self.gap
 
-    def add(self, row: int, text: bytes) -> None:
+    def cut(self, text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+        """Begin, first and last start, and the bytes of each part of a text."""
         last = len(text) - self.least
         for low in range(0, last + 1, PART):
-            begin = max(0, low - self.gap)
+            begin = max(0, low - self.gap) if len(text) > PART else 0
             piece = text[begin:low + PART + 2 * self.gap] if len(text) > PART else text
-            self.rows.append((row, begin - self.size, low, min(low + PART - 1, last)))
-            self.pieces.append(piece)
-            self.size += len(piece) + self.gap
+            yield begin, low, min(low + PART - 1, last), piece
+
+    def add(self, row: int, begin: int, first: int, last: int, piece: bytes) -> None:
+        self.rows.append((row, begin - self.size, first, last))
+        self.pieces.append(piece)
+        self.size += len(piece) + self.gap
 
     def layout(self) -> tuple[np.ndarray, np.ndarray]:
         gap = b"\0" * self.gap
@@ -134,10 +139,12 @@ def _batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[pa
     for batch in batches:
         texts = batch.column(1).cast(pa.large_binary())
         for i, text in enumerate(texts):
-            parts.add(i, text.as_py() or b"")
-            if parts.size > AT_ONCE:
-                yield batch, parts
-                parts.reset()
+            # By part, not by text: a layout of a very long text would outgrow the places.
+            for part in parts.cut(text.as_py() or b""):
+                parts.add(i, *part)
+                if parts.size > AT_ONCE:
+                    yield batch, parts
+                    parts.reset()
         if parts.rows:
             yield batch, parts
             parts.reset()
@@ -245,7 +252,8 @@ def _strings(table: pa.Table | pa.RecordBatch, least: int) -> tuple[np.ndarray,
     """one, two (names), doc_id, start of every string of `least` bytes in the spans."""
     parts = _Parts(least)
     for row, own in enumerate(table.column("own")):
-        parts.add(row, own.as_py())
+        for part in parts.cut(own.as_py()):
+            parts.add(row, *part)
     names = _names(*parts.layout())
     at = np.concatenate([np.arange(a - b, z - b + 1) for _, b, a, z in parts.rows])
     count = np.array([z - a + 1 for _, _, a, z in parts.rows])
