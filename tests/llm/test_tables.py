@@ -262,6 +262,14 @@ def test_search_edges(spark):
     assert [r["vec_id"] for r in few] and {r["vec_id"] for r in few} == {70, 80}
 
 
+def test_repeated_rows_leave_room_for_other_ids(spark):
+    same = [1.0, 2.0, 3.0, 4.0]
+    rows = [(0, same)] * 20 + [(i, same) for i in range(1, 8)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(table, table["vec_id"] == 0, 5).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5]
+
+
 def test_search_recall(spark, folder):
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
     want = nearest([(r["vec_id"], r["embedding"]) for r in vectors.collect()])

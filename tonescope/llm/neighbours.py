@@ -46,8 +46,9 @@ def nodes_of(rows: DataFrame, members: int) -> DataFrame:
     """node (smallest vec_id), vec, members (the smallest vec_ids) and bytes (the unit vector, rounded) per vector."""
     key = [F.xxhash64("vec").alias("one"), F.xxhash64(F.lit("two"), "vec").alias("two")]
     order = Window.partitionBy("one", "two").orderBy("vec_id")
-    keyed = rows.select("vec_id", "vec", *key).withColumn("nth", F.row_number().over(order)).where(
-        F.col("nth") <= 2 * members)
+    # Repeated rows go first, so that they don't take the places of other ids.
+    distinct = rows.select("vec_id", "vec", *key).dropDuplicates(["one", "two", "vec_id"])
+    keyed = distinct.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= members)
     per = keyed.groupBy("one", "two").agg(F.min("vec_id").alias("node"), F.first("vec").alias("vec"),
                                           F.slice(F.array_sort(F.collect_set("vec_id")), 1, members).alias("members"))
 
