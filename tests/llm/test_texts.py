@@ -61,6 +61,47 @@ def test_stars_go_on_where_the_first_centre_resembles_neither(spark):
         i: c for i, (_, c) in want.items()}
 
 
+def test_the_third_and_fourth_member_of_every_shared_bucket_are_found(spark):
+    """With one bin all texts with the smallest of all shingles share one bucket; its first two members resemble none."""
+    hashes = neardup._Hashes()
+    common = min((f"c{i}" for i in range(500)), key=lambda w: neardup.shingle_hashes([w.encode()], hashes, 1)[0])
+    pair = [f"p{i}" for i in range(30)]
+    rows = [(k, " ".join([common, *(f"d{k}x{i}" for i in range(30))])) for k in (1, 2)]
+    rows += [(3, " ".join([common, *pair])), (4, " ".join([common, *pair, "more"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shared = {tuple(r["bands"]) for r in neardup.signatures(docs, 1, 1, 1).collect()}
+    assert len(shared) == 1
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, 1, rows=1, bands=1).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
+@pytest.mark.parametrize("centres", [8, 1])
+def test_all_pairs_of_a_bucket_are_compared(spark, monkeypatch, centres):
+    """Families on one template in few buckets, against all pairs that share one."""
+    import random
+    monkeypatch.setattr(neardup, "CENTRES", centres)
+    draw, rows = random.Random(4), []
+    template = [f"t{i}" for i in range(90)]
+    for family in range(12):
+        own = template[:60] + [f"f{family}x{i}" for i in range(30)]
+        for _ in range(4):
+            rows.append((len(rows), " ".join(w if draw.random() > 0.12 else f"r{draw.random()}" for w in own)))
+    draw.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bands = {r["doc_id"]: set(r["bands"]) for r in neardup.signatures(docs, 1, 1, 2).collect()}
+    sets, top = {i: shingles(t, 1) for i, t in rows}, {i: i for i, _ in rows}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b])
+            if a < b and bands[a] & bands[b] and 100 * both >= 70 * len(sets[a] | sets[b]):
+                low, high = sorted((top[a], top[b]))
+                top = {i: low if t == high else t for i, t in top.items()}
+    assert len(set(top.values())) < len(rows)
+    got = {r["doc_id"]: r["component_id"]
+           for r in neardup.near_duplicates(docs, 1, 70, rows=1, bands=2).collect()}
+    assert got == top
+
+
 def test_one_permutation_estimates_similarity():
     oph, hashes = neardup.OnePermutation(6, 48), neardup._Hashes()
     for shared, total in ((8, 10), (300, 400), (50, 1000)):

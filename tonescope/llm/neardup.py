@@ -5,8 +5,10 @@ per shingle is enough: its leading bits choose one of ROWS * BANDS bins, the sma
 borrows from the first full bin in a random order of its own, the same for all documents. BANDS groups of ROWS bins are
 the document's buckets. In a bucket each document is compared with the smallest doc_id only (a star), so a bucket of n
 gives n - 1 candidates. Candidates are confirmed on their full sets, as word pairs. Members of a bucket that are not
-connected after that get another star with the smallest of those left as its centre, and so on until a round of stars
-confirms nothing new; so a pair isn't missed because the first centre of the buckets that it shares resembles neither.
+connected after that are compared completely: all pairs of a bucket in different components that were not compared before
+and are not ruled out by their sizes and parity bits, the CENTRES smallest doc_ids for each larger one in the first round,
+eight times as many in each further one, until none is left. Parity bits give a lower bound of the shingles that only one
+of two sets has, so no similar pair is ruled out: each pair that shares a bucket is compared, connected or not similar.
 
 Documents with equal sets are one class, represented by its smallest doc_id, and only representatives are compared. At
 similarity 0.8 a pair shares no bucket with probability below 1e-6.
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonescope.llm.common import only, settle
@@ -30,7 +32,11 @@ from tonescope.llm.graphs import components
 ROWS, BANDS = 6, 48
 SIMILAR = 80
 CACHE_WORDS = 300_000
-SIGNATURES = "doc_id long, n_shingles long, one long, two long, bands array<long>"
+#: Parity bits of a set, in longs.
+PARITY = 8
+#: Pairs that are compared for one document in the first round after the star; eight times as many in each further one.
+CENTRES = 8
+SIGNATURES = "doc_id long, n_shingles long, one long, two long, bands array<long>, parity array<long>"
 
 
 class _Hashes(dict):
@@ -96,17 +102,25 @@ class OnePermutation:
         return name
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """For each value of the last bits of a hash whether an odd number of shingles has it, as PARITY longs."""
+    bins = PARITY * 64
+    odd = np.bincount((shingles & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, shingle: int = 2, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, one and two (128-bit name of the set, null if empty), bands (bucket names)."""
+    """doc_id, n_shingles, one and two (128-bit name of the set, null if empty), bands (bucket names) and parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         hashes, oph = _Hashes(), OnePermutation(rows, bands)
         for batch in batches:
-            sizes, one, two, named = [], [], [], []
+            sizes, one, two, named, odd = [], [], [], [], []
             for text in batch.column(1):
                 own = shingle_hashes((text.as_py() or "").encode().lower().split(), hashes, shingle)
                 sizes.append(len(own))
+                odd.append(parity(own))
                 if not len(own):
                     one.append(None)
                     two.append(None)
@@ -118,9 +132,11 @@ def signatures(docs: DataFrame, shingle: int = 2, rows: int = ROWS, bands: int =
                 named.append(oph.buckets(oph.signature(own)).view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(n) for n in named])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*named, np.empty(0, np.int64)])))
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(odd) + 1, dtype=np.int32) * PARITY),
+                                            pa.array(np.concatenate([*odd, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                 lists], names=["doc_id", "n_shingles", "one", "two", "bands"])
+                 lists, bits], names=["doc_id", "n_shingles", "one", "two", "bands", "parity"])
 
     return only(docs, "doc_id", "text").mapInArrow(run, SIGNATURES)
 
@@ -151,6 +167,31 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similar: int) ->
     return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def uncompared(open_: DataFrame, tested: DataFrame, similar: int, most: int) -> DataFrame:
+    """Pairs (a, b), a < b, of different components in one of the buckets `open_` that are not tested and can be similar;
+    the `most` smallest a of each b.
+
+    `open_` has bucket, doc_id, component, large (the bucket's most frequent component), n_shingles and parity. Pairs within
+    `large` need no comparison, so each pair has a member outside it.
+    """
+    one = open_.where("component <> large").select(
+        "bucket", F.col("doc_id").alias("x"), F.col("component").alias("of_x"), F.col("n_shingles").alias("n_x"),
+        F.col("parity").alias("bits_x"))
+    two = open_.select(
+        F.col("bucket").alias("other"), F.col("doc_id").alias("y"), F.col("component").alias("of_y"), "large",
+        F.col("n_shingles").alias("n_y"), F.col("parity").alias("bits_y"))
+    # 100 * common >= similar * all, as bounds of the sizes and of the shingles in one set only.
+    sizes = 100 * F.least("n_x", "n_y") >= similar * F.greatest("n_x", "n_y")
+    single = sum(F.bit_count(F.get("bits_x", F.lit(i)).bitwiseXOR(F.get("bits_y", F.lit(i)))) for i in range(PARITY))
+    near = single * (100 + similar) <= (F.col("n_x") + F.col("n_y")) * (100 - similar)
+    once = (F.col("of_y") == F.col("large")) | (F.col("x") < F.col("y"))
+    found = one.join(two, (F.col("bucket") == F.col("other")) & (F.col("of_x") != F.col("of_y")) & once & sizes & near)
+    pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(
+        tested, ["a", "b"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+    return pairs.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 2, similar: int = SIMILAR, rows: int = ROWS,
                     bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (doc_id = component_id)."""
@@ -169,23 +210,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, similar: int = SIMILAR, r
     involved = buckets.select("doc_id").distinct()
     texts = settle(only(docs, "doc_id", "text").join(involved, "doc_id").dropDuplicates(["doc_id"]), "texts")
     links = settle(confirmed(pairs, texts, shingle, similar), "links", 20 * held)
-    tested = pairs
+    tested, reached, most = pairs, components(links), CENTRES
+    # What is left of the buckets after their first star is compared completely.
+    marks = settle(sets.select("doc_id", "n_shingles", "parity").join(involved, "doc_id").dropDuplicates(["doc_id"]), "marks")
+    buckets = buckets.where("doc_id <> centre").select("bucket", "doc_id")
     while True:
-        reached = components(links)
-        # Buckets with members that are not connected: their next star, while that finds links.
-        open_ = (buckets.where("doc_id <> centre").select("bucket", "doc_id")
-                 .join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-                 .withColumn("component", F.coalesce("component", "doc_id")))
-        mixed = open_.groupBy("bucket").agg(
-            F.min("doc_id").alias("centre"), F.min("component").alias("low"), F.max("component").alias("high"),
-            F.min_by("component", "doc_id").alias("own")).where("low < high").drop("low", "high")
-        buckets = settle(open_.join(mixed, "bucket"), "buckets", held)
-        pairs = settle(buckets.where("component <> own").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
-                       .distinct().join(tested, ["a", "b"], "left_anti"), "pairs", held)
-        more = settle(confirmed(pairs, texts, shingle, similar), "more", 20 * held)
-        if more.isEmpty():
+        left = buckets.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
+            "component", F.coalesce("component", "doc_id"))
+        mixed = left.groupBy("bucket", "component").count().groupBy("bucket").agg(
+            F.max_by("component", F.struct("count", "component")).alias("large"), F.count("*").alias("n")).where(
+            "n > 1").drop("n")
+        left = settle(left.join(mixed, "bucket").join(marks, "doc_id"), "left", held)
+        pairs = settle(uncompared(left, tested, similar, most), "pairs", held)
+        if pairs.isEmpty():
             break
-        tested, links = tested.unionByName(pairs), links.unionByName(more)
+        more = settle(confirmed(pairs, texts, shingle, similar), "more", 20 * held)
+        tested, most = tested.unionByName(pairs), 8 * most
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            reached = components(links)
+        buckets = left.select("bucket", "doc_id")
     reached = members.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.coalesce("component", "rep").alias("component_id"))
     return (sets.select("doc_id", "n_shingles").join(reached, "doc_id", "left")
