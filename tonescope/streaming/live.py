@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tonescope.functions import measures as m
 from tonescope.operators.summaries import CELL_KEYS
-from tonescope.schema import STALL_LIMIT, STEP_CAP, TOKEN_BUDGET
+from tonescope.schema import STALL_LIMIT, STEP_CAP, TIMEOUT_SECONDS, TOKEN_BUDGET
 
 
 def live_cells(feedback: DataFrame, keys=CELL_KEYS) -> DataFrame:
@@ -49,53 +50,184 @@ def rater_counts(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("rater").agg(F.count("*").alias("n"))
 
 
-STATUS = T.StructType([
-    T.StructField("run_id", T.StringType()), T.StructField("steps", T.LongType()),
-    T.StructField("errors", T.LongType()), T.StructField("tokens", T.LongType()),
-    T.StructField("streak", T.LongType()), T.StructField("state", T.StringType())])
-_STATE = T.StructType([
-    T.StructField("steps", T.LongType()), T.StructField("errors", T.LongType()),
-    T.StructField("tokens", T.LongType()), T.StructField("streak", T.LongType()),
-    T.StructField("reply", T.StringType()), T.StructField("state", T.StringType())])
+STATUS = "run_id string, steps long, errors long, tokens long, streak long, state string"
+ENDS = ("submitted", "stalled", "step_cap", "timeout", "token_budget")
+_RUN = ("steps long, errors long, tokens long, elapsed_ms long, streak long, reply string, state string, "
+        "last_ms long, timer_ms long")
+_STEP = "tool string, status string, reply string, tokens long, latency_s double, ms long"
 
 
-def run_status(steps: DataFrame, step_cap: int = STEP_CAP, token_budget: int = TOKEN_BUDGET,
-               stall_limit: int = STALL_LIMIT) -> DataFrame:
-    """Live status of every run: steps, errors, tokens, stall streak and terminal state.
+class RunStatus(StatefulProcessor):
+    """Follows one run: its steps in order, an end by a rule or by silence, and the expiry of what is kept.
 
-    Steps of a run must arrive in order across batches (a run log is append-only); inside a batch
-    they are sorted. Once a run has ended its state no longer changes. The kept state is six values
-    per run; a batch is walked chunk by chunk.
+    The value state holds the run as far as its steps are complete; a step that comes before its predecessors waits in
+    a map under its number. The timer stands at the last step + `silence_ms` while the run is open and at its end +
+    `keep_ms` afterwards, when everything kept is cleared.
     """
-    def advance(key, chunks: Iterator[pd.DataFrame], kept: GroupState):
-        steps_, errors, tokens, streak, reply, state = (
-            kept.get if kept.exists else (0, 0, 0, 0, None, None))
-        rows = pd.concat(list(chunks)).sort_values("idx")
-        for tool, status, said, spent in zip(rows["tool"], rows["status"], rows["reply"],
-                                             rows["tokens"]):
-            if state is not None:
+
+    def __init__(self, step_cap: int, token_budget: int, stall_limit: int, timeout_s: float, silence_ms: int | None,
+                 keep_ms: int | None) -> None:
+        self.rules = step_cap, token_budget, stall_limit, int(timeout_s * 1000)
+        self.silence_ms, self.keep_ms = silence_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", _RUN)
+        self.waiting = handle.getMapState("waiting", "idx long", _STEP)
+
+    def _load(self) -> dict:
+        names = [f.split()[0] for f in _RUN.split(", ")]
+        kept = self.run.get() if self.run.exists() else (0, 0, 0, 0, 0, None, None, None, None)
+        return dict(zip(names, kept))
+
+    def _step(self, run: dict, tool, status, reply, tokens, latency_s, ms) -> None:
+        """One step of an open run; the rules are tried in their order."""
+        step_cap, token_budget, stall_limit, timeout_ms = self.rules
+        if self.silence_ms is not None and run["last_ms"] is not None and ms - run["last_ms"] > self.silence_ms:
+            run["state"] = "timeout"  # ended before this step
+            return
+        run["steps"] += 1
+        run["errors"] += int(status == "error")
+        run["tokens"] += 0 if pd.isna(tokens) else int(tokens)
+        run["elapsed_ms"] += 0 if pd.isna(latency_s) else math.floor(latency_s * 1000 + 0.5)
+        silent = tool is None or pd.isna(tool)
+        run["streak"] = run["streak"] + 1 if silent and run["streak"] and reply == run["reply"] else int(silent)
+        run["reply"] = reply if silent else None
+        run["last_ms"] = ms
+        if tool == "answer" and status == "ok":
+            run["state"] = "submitted"
+        elif run["streak"] >= stall_limit:
+            run["state"] = "stalled"
+        elif run["steps"] >= step_cap:
+            run["state"] = "step_cap"
+        elif run["elapsed_ms"] > timeout_ms:
+            run["state"] = "timeout"
+        elif run["tokens"] > token_budget:
+            run["state"] = "token_budget"
+
+    def _told(self, key, run: dict) -> pd.DataFrame:
+        return pd.DataFrame({"run_id": [key[0]], **{n: [run[n]] for n in ("steps", "errors", "tokens", "streak")},
+                             "state": [run["state"] or "running"]})
+
+    def _save(self, run: dict, now_ms: int) -> None:
+        if run["state"] is not None:
+            due = None if self.keep_ms is None else max(now_ms, run["last_ms"] or 0) + self.keep_ms
+        else:
+            last = now_ms if run["last_ms"] is None else run["last_ms"]
+            due = None if self.silence_ms is None else last + self.silence_ms + 1
+        if due != run["timer_ms"]:
+            if run["timer_ms"] is not None:
+                self.handle.deleteTimer(run["timer_ms"])
+            if due is not None:
+                self.handle.registerTimer(due)
+            run["timer_ms"] = due
+        self.run.update(tuple(run.values()))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        run = self._load()
+        if run["state"] is not None:
+            return  # the end of a run stands
+        early: dict[int, tuple] = {}
+        held = self.waiting.exists()
+        for chunk in rows:
+            for idx, *step in chunk[["idx", "tool", "status", "reply", "tokens", "latency_s", "ms"]].itertuples(
+                    index=False, name=None):
+                step[:3] = [None if pd.isna(x) else x for x in step[:3]]
+                early[int(idx)] = tuple(step)
+        moved = False
+        while run["state"] is None:
+            at = run["steps"]
+            if at in early:
+                step = early.pop(at)
+            elif held and self.waiting.containsKey((at,)):
+                step = self.waiting.getValue((at,))
+                self.waiting.removeKey((at,))
+            else:
                 break
-            steps_ += 1
-            errors += int(status == "error")
-            tokens += int(spent)
-            silent = tool is None or pd.isna(tool)
-            streak = (streak + 1 if silent and streak and said == reply else int(silent))
-            reply = said if silent else None
-            if tool == "answer" and status == "ok":
-                state = "submitted"
-            elif streak >= stall_limit:
-                state = "stalled"
-            elif steps_ >= step_cap:
-                state = "step_cap"
-            elif tokens > token_budget:
-                state = "token_budget"
-        kept.update((steps_, errors, tokens, streak, reply, state))
-        yield pd.DataFrame({"run_id": [key[0]], "steps": [steps_], "errors": [errors],
-                            "tokens": [tokens], "streak": [streak], "state": [state or "running"]})
-
-    slim = steps.select("run_id", "idx", "tool", "status", "reply", "tokens")
-    return slim.groupBy("run_id").applyInPandasWithState(
-        advance, STATUS, _STATE, "update", GroupStateTimeout.NoTimeout)
+            self._step(run, *step)
+            moved = True
+        if run["state"] is None:
+            for idx, step in early.items():
+                if idx > run["steps"]:  # a repeated step counts once
+                    self.waiting.updateValue((idx,), step)
+        elif held:
+            self.waiting.clear()
+        # Before the first step those that wait stand for it: a run whose first step never comes ends too.
+        self._save(run, max([timerValues.getCurrentWatermarkInMs(), *(step[-1] for step in early.values())]))
+        if moved:
+            yield self._told(key, run)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        run = self._load()
+        run["timer_ms"] = None  # it has just gone off
+        if run["state"] is not None:
+            self.run.clear()
+            self.waiting.clear()
+            return
+        run["state"] = "timeout"
+        self.waiting.clear()
+        self._save(run, timerValues.getCurrentWatermarkInMs())
+        yield self._told(key, run)
+
+    def close(self) -> None:
+        pass
+
+
+def run_status(steps: DataFrame, step_cap: int = STEP_CAP, token_budget: int = TOKEN_BUDGET,
+               stall_limit: int = STALL_LIMIT, timeout_s: float = TIMEOUT_SECONDS, silence_s: int | None = None,
+               keep_s: int | None = None, lateness: str = "1 day") -> DataFrame:
+    """Live status of every run: steps, errors, tokens, stall streak, and running or the state in which it ended.
+
+    Steps may come in any order, in any batches, and more than once; a run advances as far as its steps are complete.
+    A run ends by the first rule that fires. With `silence_s` it also times out where that much event time passes
+    after a step without another one, be it that the next step is that much later or that the watermark is. With
+    `keep_s` the state of an ended run is dropped that much event time later; steps that come after that start a run anew.
+    Steps older than the watermark are dropped. Needs run_id, idx, tool, status, reply, tokens, latency_s and ts.
+    """
+    with_state_store(steps.sparkSession)
+    slim = with_event_time(steps.select("run_id", "idx", "tool", "status", "reply", "tokens", "latency_s", "ts"), "ts")
+    ms = lambda s: None if s is None else 1000 * s
+    return (slim.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", lateness).groupBy("run_id")
+            .transformWithStateInPandas(RunStatus(step_cap, token_budget, stall_limit, timeout_s, ms(silence_s), ms(keep_s)),
+                                        STATUS, "update", "eventTime"))
+
+
+def with_state_store(spark: SparkSession) -> None:
+    """The state store that timers and several states per key need, unless the session names one of its own."""
+    if "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") or ""):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                       "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def route_late(stream: DataFrame, path: str, checkpoint: str, time: str, lateness: str, window: str | None = None):
+    """Write every row of a stream to the table at `path`, with `late` telling whether it came too late.
+
+    A row is late if its time - or, with `window`, the end of its tumbling window - lies before the watermark: the largest
+    time of all earlier batches less `lateness`. The table is partitioned by batch and late, so the side table of late rows is
+    a partition of it, counted without reading the rest. A repeated batch replaces its own folders.
+    """
+    def keep(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if not number:
+            mark = F.lit(None).cast("timestamp")
+        else:
+            # One row per batch.
+            tops = spark.read.schema("top timestamp, batch int").parquet(f"{path}/seen").where(F.col("batch") < number)
+            mark = F.lit(tops.agg(F.max("top")).first()[0]).cast("timestamp") - F.expr(f"INTERVAL {lateness}")
+        told = with_event_time(batch, time)
+        at = F.window(time, window)["end"] <= mark if window else F.col(time) < mark
+        told = told.withColumn("late", F.coalesce(at, F.lit(False)))
+        told.write.mode("overwrite").partitionBy("late").parquet(f"{path}/rows/batch={number}")
+        written = spark.read.schema(told.schema).parquet(f"{path}/rows/batch={number}")
+        written.agg(F.max(time).alias("top")).write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
+
+    return (stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def routed(spark: SparkSession, path: str) -> DataFrame:
+    """The table that `route_late` writes."""
+    return spark.read.parquet(f"{path}/rows").withColumn("late", F.col("late").cast("boolean"))
 
 
 def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "update"):
