@@ -342,15 +342,32 @@ def runs_usage_ledger(spark, folder):
 
 
 @query("runs_gold_leaks", "L-26", """
-    SELECT CAST(d.doc_id AS VARCHAR) AS task_id FROM documents d JOIN documents n ON n.doc_id = d.doc_id + 1
-    WHERE contains(d.text, split_part(n.text, ' ', 1))""")
+    SELECT DISTINCT 'task' || item_id AS task_id, 'task' || doc_id AS public_task, item_id = doc_id AS own
+    FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
 def runs_gold_leaks(spark, folder):
-    """Public texts against a gold text of the same task: here the first word of the next text."""
-    docs = derived.table(spark, folder, "documents").select("doc_id", "text")
-    task = F.col("doc_id").cast("string").alias("task_id")
-    public = docs.select(task, F.col("text").alias("public_text"))
-    gold = docs.select((F.col("doc_id") - 1).cast("string").alias("task_id"),
-                       F.split_part("text", F.lit(" "), F.lit(1)).alias("gold_text"))
+    """Every benchmark passage as a gold text, every document as the public text of a task."""
+    name = lambda c: F.concat(F.lit("task"), c).alias("task_id")
+    public = derived.table(spark, folder, "documents").select(name("doc_id"), F.col("text").alias("public_text"))
+    gold = derived.table(spark, folder, "benchmark").select(name("item_id"), F.col("text").alias("gold_text"))
+    return runlogs.leaks(public, gold)
+
+
+@query("runs_gold_label_leaks", "L-26", """
+    WITH g AS (SELECT 'b' || p_brand AS task_id, p_brand AS gold_text FROM part
+      UNION SELECT 'w' || item_id, split_part(text, ' ', 1) FROM benchmark
+      UNION SELECT 'x' || item_id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) FROM benchmark)
+    SELECT DISTINCT task_id, 'task' || doc_id AS public_task, FALSE AS own FROM g JOIN documents ON contains(text, gold_text)
+    WHERE gold_text <> ''""")
+def runs_gold_label_leaks(spark, folder):
+    """Short gold texts: topic names and the first words of each benchmark passage, in every document."""
+    first = lambda n: F.array_join(F.slice(F.split("text", " "), 1, n), " ")
+    items = derived.table(spark, folder, "benchmark")
+    gold = derived.table(spark, folder, "part").select(
+        F.concat(F.lit("b"), "p_brand").alias("task_id"), F.col("p_brand").alias("gold_text")).unionByName(
+        items.select(F.concat(F.lit("w"), "item_id").alias("task_id"), first(1).alias("gold_text"))).unionByName(
+        items.select(F.concat(F.lit("x"), "item_id").alias("task_id"), first(2).alias("gold_text")))
+    public = derived.table(spark, folder, "documents").select(
+        F.concat(F.lit("task"), "doc_id").alias("task_id"), F.col("text").alias("public_text"))
     return runlogs.leaks(public, gold)
 
 

@@ -290,9 +290,15 @@ def usage_ledger(steps: DataFrame, block: str, price_in: float, price_out: float
 
 
 def leaks(public: DataFrame, gold: DataFrame) -> DataFrame:
-    """Tasks whose public text contains their own gold text."""
-    joined = public.join(gold, "task_id")
-    return joined.where(F.contains("public_text", "gold_text")).select("task_id")
+    """(task_id, public_task, own): gold texts that stand whole in a public text, of their own task or another.
+
+    `public` holds task_id and public_text, `gold` task_id and gold_text; every gold text meets every public text.
+    """
+    from tonescope.operators.containment import contained
+    found = contained(gold.select(F.col("task_id").alias("id"), F.col("gold_text").alias("text")),
+                      public.select(F.col("task_id").alias("id"), F.col("public_text").alias("text")))
+    return found.select(F.col("needle_id").alias("task_id"), F.col("haystack_id").alias("public_task"),
+                        (F.col("needle_id") == F.col("haystack_id")).alias("own"))
 
 
 def event_streams(events: DataFrame) -> DataFrame:
