@@ -169,11 +169,13 @@ def test_missing_scores_fail_or_stay_open(spark):
 
 def test_payload_forms(spark):
     said = ['```json\n{"a": 1}\n```', 'sure: [1, {"b": 2}] ok', "it’s {'no'} but {\"x\": \"it's\"}",
-            "nothing", None, '{"cut": [1, 2', '{"text": "a { b"}']
+            "nothing", None, '{"cut": [1, 2', '{"text": "a { b"}', '{"answer": "use ```sql``` here"}',
+            '```python x=1 ``` Result: {"a":1}', '  12.5 ', '```\nnone\n```\n```JSON\n{"a":\n1}```', "```", ""]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string")
     got = {r.i: r.p for r in rows.select("i", payload.payload("t").alias("p")).collect()}
     assert got == {0: '{"a":1}', 1: '[1,{"b":2}]', 2: '{"x":"it\'s"}', 3: None, 4: None,
-                   5: "[1,2]" if False else None, 6: '{"text":"a { b"}'}
+                   5: None, 6: '{"text":"a { b"}', 7: '{"answer":"use ```sql``` here"}', 8: '{"a":1}', 9: "12.5",
+                   10: '{"a":1}', 11: None, 12: None}
 
 
 def test_first_json_among_prose_with_quotes_and_brackets():
@@ -188,13 +190,19 @@ def test_first_json_among_prose_with_quotes_and_brackets():
 def test_recovered_calls(spark):
     said = ['<tool_call>{"name": "filter", "arguments": {"org": "X"}}</tool_call>',
             'I do {"name": "rank", "arguments": {}} now', '-answer {"text": "No answer."}',
-            'paint {"text": "x"}', '<tool_call>{"name": "filter"', 'answer {"name": "x"}', ""]
+            'paint {"text": "x"}', '<tool_call>{"name": "filter"', 'answer {"name": "x"}', "",
+            'filter {"name":"x"} then rank {"ref":"t1"}', '{"action":"x","name":"rank","arguments":{"a":[1]}}',
+            '{"arguments":{"name":"x"},"z":1}', '{"name":"rank","arguments":"none"} rank {"by":1}',
+            '<tool_call>{"a":1}</tool_call> {"name":"rank","arguments":{}}', 'myrank {"a":1} rank {"b":2}',
+            'rank {bad} then {"c":3}', None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string")
     call = payload.recovered_call("t", ["filter", "rank", "answer"])
     got = {r.i: (r.c.tool, r.c.args) for r in rows.select("i", call.alias("c")).collect()}
     assert got[0] == ("filter", '{"org":"X"}') and got[1] == ("rank", "{}")
     assert got[2] == ("answer", '{"text":"No answer."}')
-    assert all(got[i] == (None, None) for i in (3, 4, 5, 6))
+    assert all(got[i] == (None, None) for i in (3, 4, 5, 6, 9, 14))
+    assert got[7] == ("rank", '{"ref":"t1"}') and got[8] == ("rank", '{"a":[1]}') and got[10] == ("rank", '{"by":1}')
+    assert got[11] == (None, None) and got[12] == ("rank", '{"b":2}') and got[13] == ("rank", '{"c":3}')
 
 
 def test_text_functions(spark):

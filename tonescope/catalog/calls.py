@@ -188,6 +188,26 @@ def reply_recovered_calls(spark, folder):
             .agg(F.count("*").alias("n")))
 
 
+AWKWARD = """WITH r AS (SELECT event_id, event_id % 8 AS form, json_extract_string(props, '$.k') AS k FROM events)"""
+
+
+@query("reply_awkward_payloads", "I-8 P-3", AWKWARD + """
+    SELECT event_id, CASE form WHEN 0 THEN '{"answer":"use ```sql``` here","k":' || k || '}' WHEN 1 THEN '{"a":' || k || '}'
+      WHEN 2 THEN '{"name":"x"}' WHEN 3 THEN '{"action":"x","arguments":{"top_k":' || k || '},"name":"rank"}'
+      WHEN 4 THEN '{"arguments":{"name":"x"},"z":' || k || '}' WHEN 5 THEN '{"b":' || k || '}'
+      WHEN 6 THEN '{"arguments":{"q":' || k || '},"name":5}' ELSE k END AS payload FROM r""")
+def reply_awkward_payloads(spark, folder):
+    return derived.awkward_replies(spark, folder).select("event_id", payload.payload("reply").alias("payload"))
+
+
+@query("reply_awkward_calls", "I-9 P-3", AWKWARD + """
+    SELECT event_id, CASE WHEN form IN (2, 3) THEN 'rank' END AS tool,
+      CASE form WHEN 2 THEN '{"ref":"t' || k || '"}' WHEN 3 THEN '{"top_k":' || k || '}' END AS args FROM r""")
+def reply_awkward_calls(spark, folder):
+    call = payload.recovered_call("reply", TOOL_ARGUMENTS)
+    return derived.awkward_replies(spark, folder).select("event_id", call.alias("c")).select("event_id", "c.tool", "c.args")
+
+
 @query("reply_markup", "I-6", REPLIES + """
     SELECT model, count(*) FILTER (k % 5 <> 3) AS leaking FROM replies GROUP BY model""")
 def reply_markup(spark, folder):

@@ -208,6 +208,18 @@ def model_replies(spark: SparkSession, folder: str) -> DataFrame:
         k.alias("k"), reply.alias("reply"))
 
 
+def awkward_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """One reply per event that is easily misread: fences inside and beside JSON, several named calls, odd key orders."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    forms = ['{"answer": "use ```sql``` here", "k": %d}', '```python\nx = {%d}\n```\nResult: {"a": %1$d}',
+             'filter {"name": "x"} then rank {"ref": "t%d"}', '{"action": "x", "name": "rank", "arguments": {"top_k": %d}}',
+             '{"arguments": {"name": "x"}, "z": %d}', '```json\n{"cut": \n```\n```json\n{"b": %d}\n```',
+             'answer {"name": 5, "arguments": {"q": %d}}', "%d"]
+    form = F.col("event_id") % len(forms)
+    reply = F.coalesce(*[F.when(form == i, F.format_string(said, k)) for i, said in enumerate(forms)])
+    return table(spark, folder, "events").select("event_id", form.alias("form"), k.alias("k"), reply.alias("reply"))
+
+
 def ratings(spark: SparkSession, folder: str) -> DataFrame:
     """Three raters per document on 0-5, with about one rating in eleven missing."""
     docs = table(spark, folder, "documents").select("doc_id")
