@@ -101,6 +101,21 @@ def cost_score_frontier(spark, folder):
     return inference.frontier(agents, "cost", "score")
 
 
+@query("volume_rate_frontier", "F-7 L-15", on_cells("""
+    , o AS (SELECT industry, org, sum(total_count)::BIGINT AS total_count, sum(neg_count) / sum(total_count)::DOUBLE AS neg_rate
+            FROM cells GROUP BY ALL),
+    b AS (SELECT industry, total_count, max(neg_rate) AS best FROM o GROUP BY ALL),
+    f AS (SELECT *, max(best) OVER (PARTITION BY industry ORDER BY total_count ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+            AS seen FROM b)
+    SELECT o.* FROM o JOIN f ON o.industry = f.industry AND o.total_count = f.total_count AND neg_rate = best
+    WHERE seen IS NULL OR best > seen"""))
+def volume_rate_frontier(spark, folder):
+    """Per industry the organisations that no organisation with as few labels matches in its negative rate."""
+    orgs = derived.feedback_cells(spark, folder).groupBy("industry", "org").agg(
+        F.sum("total_count").alias("total_count"), (F.sum("neg_count") / F.sum("total_count")).alias("neg_rate"))
+    return inference.frontier(orgs, "total_count", "neg_rate", ["industry"])
+
+
 @query("tokens_against_budget", "F-8", on_steps("""
     SELECT run_id, idx, sum(tokens) OVER (PARTITION BY run_id ORDER BY idx)::BIGINT AS spent,
       sum(tokens) OVER (PARTITION BY run_id ORDER BY idx) > 50000 AS over_budget FROM steps"""))

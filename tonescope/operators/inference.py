@@ -170,14 +170,25 @@ def spearman_table(df: DataFrame, keys, columns) -> DataFrame:
         correlation_p("r", F.col("n").cast("double")).alias("p_value"))
 
 
-def frontier(df: DataFrame, cost: str, score: str) -> DataFrame:
-    """Rows that no cheaper (or equally cheap, earlier) row matches on score.
+def frontier(df: DataFrame, cost: str, score: str, scope=(), most: int = 0) -> DataFrame:
+    """Rows that no cheaper (or equally cheap, earlier) row of their scope matches on score.
 
-    Ties on cost keep their best score only, so the running maximum sees one row per cost level.
-    The input holds one row per agent.
+    Two phases: ties on cost keep their best score, the cost levels are cut into ranges and each range keeps its own
+    frontier; a range's frontier then counts from the best score of all cheaper ranges. Rows without cost or score
+    are on no frontier.
     """
-    best = df.groupBy(cost).agg(F.max(score).alias("_best"))
-    cheaper = Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
-    kept = (best.withColumn("_seen", F.max("_best").over(cheaper))
-            .where(F.col("_seen").isNull() | (F.col("_best") > F.col("_seen"))))
-    return df.join(kept.select(cost, F.col("_best").alias(score)), [cost, score])
+    from tonescope.operators.ranking import in_buckets, null_safe_join
+    scope = list(scope)
+    known = df.where(F.col(cost).isNotNull() & F.col(score).isNotNull())
+    best, names = in_buckets(known.groupBy(*scope, cost).agg(F.max(score).alias("_best")), cost, scope, most)
+    keys = [*scope, *names]
+    # Without a scope and in one range, all cost levels (at most BUCKET) are one group.
+    cheaper = (Window.partitionBy(*keys or [F.lit(0)]).orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
+    local = best.withColumn("_seen", F.max("_best").over(cheaper)).where("_seen IS NULL OR _best > _seen")
+    if names:
+        before = (Window.partitionBy(*scope or [F.lit(0)]).orderBy(*names)
+                  .rowsBetween(Window.unboundedPreceding, -1))
+        tops = best.groupBy(*keys).agg(F.max("_best").alias("_top"))
+        tops = tops.select(*keys, F.max("_top").over(before).alias("_above"))
+        local = null_safe_join(local, tops, keys).where("_above IS NULL OR _best > _above")
+    return null_safe_join(df, local.select(*scope, cost, F.col("_best").alias(score)), [*scope, cost, score])

@@ -2,9 +2,9 @@
 
 Two forms of each rank. Where a scope holds one row per topic (a small vocabulary) a plain window
 does it. Where it may hold any number of rows (all organisations of an industry), ties are first
-collapsed to one row per distinct value in the map-side combine, the distinct values are cut into
-buckets at approximate quantiles, and a bucket's offset is added to the rank inside it. The cut
-points only balance the work; the ranks are exact.
+collapsed to one row per distinct value in the map-side combine, the distinct values are cut into as
+many ranges as their number needs, at approximate quantiles, and a range's offset is added to the rank
+inside it. The cut points only balance the work; the ranks are exact.
 """
 
 from __future__ import annotations
@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS = 256
+from tonescope.session import cut_lineage
+
+#: Distinct values that one task orders with ease, and the parts into which a round cuts a larger range.
+BUCKET, WAYS = 100_000, 256
 
 
 def _order(by: str, ascending: bool):
@@ -53,29 +56,50 @@ def _distinct_values(df: DataFrame, by: str, scope) -> DataFrame:
             .agg(F.count("*").alias("_n")))
 
 
-def cumulative_counts(df: DataFrame, by: str, scope, ascending: bool) -> DataFrame:
-    """(scope, value, _n, _before): how many rows come strictly before each distinct value."""
+def _largest(values: DataFrame, keys) -> int:
+    counted = values.groupBy(*keys).agg(F.count("*").alias("n")) if keys else values.agg(F.count("*").alias("n"))
+    return counted.agg(F.max("n")).first()[0] or 0
+
+
+def in_buckets(values: DataFrame, by: str, scope, most: int = 0) -> tuple[DataFrame, list[str]]:
+    """The distinct values of every scope cut into ranges of at most `most` values, and the columns that name a range.
+
+    A round cuts every range into up to WAYS parts at quantiles that come from a mergeable sketch, so the number of ranges
+    follows the data: none are cut where a scope is small, and each round takes WAYS times as many values. The names grow
+    with the values. `values` is written once a round.
+    """
+    most = most or BUCKET
+    placed, names = cut_lineage(values), []
+    points = [i / WAYS for i in range(1, WAYS)]
+    while _largest(placed, [*scope, *names]) > most:
+        keys = [*scope, *names]
+        cuts = F.percentile_approx(by, points, 8 * WAYS)
+        if keys:
+            placed = null_safe_join(placed, placed.groupBy(*keys).agg(cuts.alias("_cuts")), keys)
+        else:
+            placed = placed.withColumn("_cuts", placed.agg(cuts).scalar())
+        names = [*names, f"_range{len(names)}"]
+        placed = cut_lineage(placed.withColumn(names[-1], F.size(F.filter("_cuts", lambda c: c < F.col(by)))).drop("_cuts"))
+    return placed, names
+
+
+def cumulative_counts(df: DataFrame, by: str, scope, ascending: bool, most: int = 0) -> DataFrame:
+    """(scope, value, _n, _before): how many rows come strictly before each distinct value.
+
+    Inside a range of values a window counts; a range starts where the ranges before it end.
+    """
     scope = list(scope)
-    values = _distinct_values(df, by, scope)
-    points = [i / BUCKETS for i in range(1, BUCKETS)]
-    cuts = F.percentile_approx(by, points, 2000)
-    if scope:
-        edges = values.groupBy(*scope).agg(cuts.alias("_cuts"))
-        placed = null_safe_join(values, edges, scope)
-    else:
-        placed = values.withColumn("_cuts", values.agg(cuts).scalar())
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(by)))
-    placed = placed.withColumn("_bucket", below if ascending else -below).drop("_cuts")
-    sizes = placed.groupBy(*scope, "_bucket").agg(F.sum("_n").alias("_size"))
-    earlier = (Window.partitionBy(*scope).orderBy("_bucket")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(*scope, "_bucket",
-                           F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
-    inside = (Window.partitionBy(*scope, "_bucket").orderBy(_order(by, ascending))
+    placed, names = in_buckets(_distinct_values(df, by, scope), by, scope, most)
+    inside = (Window.partitionBy(*scope, *names).orderBy(_order(by, ascending))
               .rowsBetween(Window.unboundedPreceding, -1))
-    return (null_safe_join(placed, offsets, [*scope, "_bucket"])
-            .withColumn("_before", F.col("_offset")
-                        + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    told = F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    if not names:
+        return placed.withColumn("_before", told).select(*scope, by, "_n", "_before")
+    sizes = placed.groupBy(*scope, *names).agg(F.sum("_n").alias("_size"))
+    earlier = (Window.partitionBy(*scope).orderBy(*[_order(n, ascending) for n in names])
+               .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*scope, *names, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
+    return (null_safe_join(placed, offsets, [*scope, *names]).withColumn("_before", F.col("_offset") + told)
             .select(*scope, by, "_n", "_before"))
 
 
