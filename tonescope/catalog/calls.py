@@ -154,7 +154,7 @@ def calls_repeated(spark, folder):
 def json_path_reads(spark, folder):
     raw = F.try_parse_json("raw_response")
     cached = F.try_variant_get(raw, "$.usage.prompt_tokens_details.cached_tokens", "bigint")
-    return derived.tool_calls(spark, folder).groupBy("agent").agg(
+    return derived.call_facts(spark, folder).groupBy("agent").agg(
         F.coalesce(F.sum(cached), F.lit(0)).alias("cached_tokens"),
         F.count(cached).alias("reported"))
 

@@ -147,7 +147,7 @@ METRIC_SQL = """, runs AS (SELECT run_id, agent, count(*)::DOUBLE AS steps,
 
 
 def run_metrics(spark, folder):
-    return (derived.run_steps(spark, folder).groupBy("run_id", "agent")
+    return (derived.logged_steps(spark, folder).groupBy("run_id", "agent")
             .agg(F.count("*").cast("double").alias("steps"),
                  F.count_if(F.col("status") == "error").cast("double").alias("errors"),
                  F.sum("tokens").cast("double").alias("tokens")))
@@ -196,7 +196,7 @@ def spearman_with_p(spark, folder):
     SELECT agent, count(*) AS seeds, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd
     FROM s GROUP BY agent"""))
 def mean_and_spread_over_seeds(spark, folder):
-    seeds = (derived.run_steps(spark, folder).groupBy("agent", "seed")
+    seeds = (derived.logged_steps(spark, folder).groupBy("agent", "seed")
              .agg((F.sum("tokens").cast("double") / F.count("*")).alias("v")))
     return seeds.groupBy("agent").agg(F.count("*").alias("seeds"),
                                       F.round(F.avg("v"), 6).alias("mean"),

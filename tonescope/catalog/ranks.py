@@ -95,7 +95,7 @@ def rank_tied_scores(spark, folder):
     f AS (SELECT *, max(score) OVER (ORDER BY cost ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM a)
     SELECT agent, cost, score FROM f WHERE seen IS NULL OR score > seen"""))
 def cost_score_frontier(spark, folder):
-    steps = derived.run_steps(spark, folder)
+    steps = derived.logged_steps(spark, folder)
     agents = (steps.groupBy(F.concat_ws("-", "agent", "seed").alias("agent"))
               .agg(F.sum("tokens").alias("cost"), F.count_distinct("run_id").alias("score")))
     return inference.frontier(agents, "cost", "score")

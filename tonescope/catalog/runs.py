@@ -16,19 +16,28 @@ KIND = """CASE WHEN status = 'error' THEN coalesce(error_kind,
 STATES = ["submitted", "stalled", "step_cap", "timeout", "token_budget", "error"]
 
 
-def steps(spark, folder):
-    calls = derived.tool_calls(spark, folder)
+def _with_replies(calls):
     return calls.withColumns({
-        "answer_text": F.get_json_object("args", "$.text"),
         "reply": F.concat(F.lit("r"), (F.col("k") % 4).cast("string")),
         "tokens": F.col("tokens_in") + F.col("tokens_out")})
 
 
+def steps(spark, folder):
+    """The log in order. It comes from one written scan, so several readers of one such log share that."""
+    calls = derived.tool_calls(spark, folder)
+    return _with_replies(calls.withColumn("answer_text", F.get_json_object("args", "$.text")))
+
+
+def facts(spark, folder):
+    """The log in no order, for queries that only count."""
+    return _with_replies(derived.call_facts(spark, folder))
+
+
 @query("runs_error_kinds", "L-7 D-17", CALLS + f"""
     , e AS (SELECT run_id, {KIND} AS kind, count(*) AS n FROM calls WHERE status = 'error' GROUP BY ALL)
     SELECT run_id, string_agg(kind || ':' || n, ';' ORDER BY n DESC, kind) AS error_kinds FROM e GROUP BY run_id""")
 def runs_error_kinds(spark, folder):
-    return runlogs.error_text(steps(spark, folder), "run_id")
+    return runlogs.error_text(facts(spark, folder), "run_id")
 
 
 def prices(spark, folder):
@@ -52,7 +61,7 @@ COSTS = CALLS + """, p AS (SELECT 'agent' || a AS agent, (a + 1)::DOUBLE AS inpu
 @query("runs_costs", "L-8 L-9 I-14", COSTS + """
     SELECT *, coalesce(cost_reported, cost_list) AS cost_usd FROM c""")
 def runs_costs(spark, folder):
-    told = runlogs.run_costs(steps(spark, folder), prices(spark, folder), "run_id")
+    told = runlogs.run_costs(facts(spark, folder), prices(spark, folder), "run_id")
     return told.withColumn("cost_reported", F.round("cost_reported", 9)).withColumn(
         "cost_usd", F.coalesce("cost_reported", "cost_list"))
 
@@ -83,8 +92,9 @@ SCORED = CALLS + """, r AS (SELECT run_id, task_id, agent, seed, count(*) AS n_s
       (n_steps + seed) % 6 AS insight_score FROM g)"""
 
 
-def scored(spark, folder):
-    table = runlogs.score_runs(steps(spark, folder), gold_tasks(spark, folder))
+def scored(spark, folder, log=None):
+    log = facts(spark, folder) if log is None else log
+    table = runlogs.score_runs(log, gold_tasks(spark, folder))
     return table.withColumn("insight_score", (F.col("n_steps") + F.col("seed")) % 6)
 
 
@@ -109,10 +119,8 @@ STOP = CALLS + """, t AS (SELECT *, sum(tokens_in + tokens_out) OVER w AS spent,
       last_idx - coalesce(b.idx, last_idx) AS steps_after FROM l LEFT JOIN fired b ON b.run_id = l.run_id AND rn = 1)"""
 
 
-def stops(spark, folder):
-    # the rules read the log several times, so it is written once
-    log = cut_lineage(steps(spark, folder).select("run_id", "idx", "tool", "status", "reply",
-                                                  "tokens", "latency_s"))
+def stops(spark, folder, log=None):
+    log = steps(spark, folder) if log is None else log
     return runlogs.stopping_states(log, step_cap=12, token_budget=45_000,
                                    timeout_s=300, stall_limit=2)
 
@@ -129,7 +137,8 @@ def runs_stopping_audit(spark, folder):
       round(avg(n_steps::DOUBLE), 9) AS mean_steps, round(avg(n_errors::DOUBLE), 9) AS mean_errors
     FROM scored JOIN stops USING (run_id) GROUP BY agent""")
 def runs_agent_roll_up(spark, folder):
-    runs = scored(spark, folder).join(stops(spark, folder), "run_id").withColumn(
+    log = steps(spark, folder)
+    runs = scored(spark, folder, log).join(stops(spark, folder, log), "run_id").withColumn(
         "path_match", F.when(F.col("seed") != 1, F.col("work_steps") == 4))
     told = runlogs.agent_roll_up(runs, STATES)
     return told.select("agent", "runs", *STATES, *[F.round(c, 9).alias(c) for c in (
@@ -205,7 +214,7 @@ def runs_breakdown(spark, folder):
 @query("runs_all_ok", "D-16", CALLS + """
     SELECT task_id, bool_and(status = 'ok') AS all_ok FROM calls GROUP BY task_id""")
 def runs_all_ok(spark, folder):
-    return steps(spark, folder).groupBy("task_id").agg(
+    return facts(spark, folder).groupBy("task_id").agg(
         F.every(F.col("status") == "ok").alias("all_ok"))
 
 
@@ -215,7 +224,7 @@ def runs_all_ok(spark, folder):
       WHEN agent = 'agent2' THEN 'agent2_s' || seed ELSE 'dir' || seed END AS name FROM x""")
 def runs_identity(spark, folder):
     a = F.col("agent")
-    runs = steps(spark, folder).select("agent", "seed").distinct()
+    runs = facts(spark, folder).select("agent", "seed").distinct()
     labelled = runs.withColumns({
         "agent_id": F.when(a == "agent0", F.concat(F.lit("no-tool-x_s"), "seed"))
         .when(a != "agent3", F.concat(a, F.lit("_s"), "seed")),
@@ -230,7 +239,7 @@ def runs_identity(spark, folder):
       (count(*) FILTER (tool IS NULL))::DOUBLE / count(*) AS no_call_share
     FROM calls WHERE coalesce(tool <> 'answer', TRUE) GROUP BY agent""")
 def runs_report(spark, folder):
-    return runlogs.run_report(steps(spark, folder), "agent")
+    return runlogs.run_report(facts(spark, folder), "agent")
 
 
 @query("runs_violations", "L-16 L-7", CALLS + f"""
@@ -238,16 +247,17 @@ def runs_report(spark, folder):
     SELECT agent, kind, count(*) AS steps, CASE WHEN kind IN ('no_tool_call', 'unknown_tool') THEN 'yes' ELSE 'no' END
       AS protocol_violation FROM e GROUP BY agent, kind""")
 def runs_violations(spark, folder):
-    return runlogs.violation_table(steps(spark, folder), "agent")
+    return runlogs.violation_table(facts(spark, folder), "agent")
 
 
 @query("runs_tasks_by_state", "L-16 D-17", STOP + """
     SELECT state, string_agg(DISTINCT task_id, ',' ORDER BY task_id) AS tasks, count(DISTINCT task_id) AS n_tasks
     FROM stops JOIN (SELECT DISTINCT run_id, task_id FROM calls) USING (run_id) GROUP BY state""")
 def runs_tasks_by_state(spark, folder):
-    tasks = steps(spark, folder).select("run_id", "task_id").distinct()
+    log = steps(spark, folder)
+    tasks = log.select("run_id", "task_id").distinct()
     # task ids are a small vocabulary: the set per state is bounded by it
-    return stops(spark, folder).join(tasks, "run_id").groupBy("state").agg(
+    return stops(spark, folder, log).join(tasks, "run_id").groupBy("state").agg(
         F.array_join(F.array_sort(F.collect_set("task_id")), ",").alias("tasks"),
         F.count_distinct("task_id").alias("n_tasks"))
 
@@ -338,7 +348,7 @@ def runs_headline(spark, folder):
       FROM calls GROUP BY agent)
     SELECT *, (tokens_in * 0.3e0 + tokens_out * 2.5e0) / 1e6 AS cost_usd FROM s""")
 def runs_usage_ledger(spark, folder):
-    return runlogs.usage_ledger(steps(spark, folder), "agent", 0.30, 2.50)
+    return runlogs.usage_ledger(facts(spark, folder), "agent", 0.30, 2.50)
 
 
 @query("runs_gold_leaks", "L-26", """
@@ -398,4 +408,5 @@ def runs_event_streams(spark, folder):
     FROM calls JOIN stops USING (run_id)""")
 def runs_flat_log(spark, folder):
     from tonescope.sources.sinks import flat_log
-    return flat_log(runlogs.with_error_kind(steps(spark, folder)), stops(spark, folder))
+    log = steps(spark, folder)
+    return flat_log(runlogs.with_error_kind(log), stops(spark, folder, log))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tonescope.session import cut_lineage
+
 BLOCK = 100_000  # consecutive step numbers per slice
 
 
@@ -32,6 +34,39 @@ def number_rows(df: DataFrame, keys, slice_col: str, order, name: str) -> DataFr
                               .cast("bigint")).drop("_offset"))
 
 
+def scan(df: DataFrame, keys, slice_col: str, order, number: str, sums: dict[str, Column] | None = None,
+         latest: dict[str, Column] | None = None) -> DataFrame:
+    """Row numbers, running totals and the latest earlier row of a kind, all in one pass over `df`.
+
+    Adds `number` (1-based within `keys`), for each of `sums` its inclusive running total, and for each condition of `latest`
+    the number of the last earlier row that fulfils it (NULL if there is none). The rows are ordered once, inside their slice,
+    and written; a row per slice then carries count, totals and latest rows over to the next slice. `slice_col` must not
+    decrease along `order`.
+    """
+    sums, latest = sums or {}, latest or {}
+    inside = Window.partitionBy(*keys, slice_col).orderBy(*order)
+    so_far, before = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    placed = df.withColumns({number: F.row_number().over(inside).cast("bigint"), **{f"_add_{n}": v for n, v in sums.items()}})
+    placed = placed.withColumns({f"_hit_{n}": F.when(c, F.col(number)) for n, c in latest.items()})
+    placed = cut_lineage(placed.withColumns({
+        **{n: F.coalesce(F.sum(f"_add_{n}").over(so_far), F.lit(0)) for n in sums},
+        **{n: F.max(f"_hit_{n}").over(before) for n in latest}}))
+    slices = placed.groupBy(*keys, slice_col).agg(
+        F.count("*").alias("_size"), *[F.sum(f"_add_{n}").alias(f"_sum_{n}") for n in sums],
+        *[F.max(f"_hit_{n}").alias(f"_top_{n}") for n in latest])
+    earlier = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    carried = slices.select(
+        *keys, slice_col, "_offset", *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_sum_{n}") for n in sums],
+        *[F.max(F.col("_offset") + F.col(f"_top_{n}")).over(earlier).alias(f"_top_{n}") for n in latest])
+    told = placed.join(carried, [*keys, slice_col]).withColumns({
+        **{n: F.col(f"_sum_{n}") + F.col(n) for n in sums},
+        **{n: F.coalesce(F.col("_offset") + F.col(n), F.col(f"_top_{n}")) for n in latest}})
+    told = told.withColumn(number, F.col("_offset") + F.col(number))
+    return told.drop("_offset", *[f"{p}_{n}" for n in sums for p in ("_add", "_sum")],
+                     *[f"{p}_{n}" for n in latest for p in ("_hit", "_top")])
+
+
 def running_sums(df: DataFrame, keys, slice_col: str, order, values: dict[str, Column]):
     """Inclusive running totals within `keys`, several at once: one offset join serves them all."""
     sizes = df.groupBy(*keys, slice_col).agg(*[F.sum(v).alias(n) for n, v in values.items()])

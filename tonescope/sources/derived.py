@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonescope.operators.ordered import BLOCK, number_rows, running_max_before
+from tonescope.operators.ordered import scan
 from tonescope.session import cut_lineage
 
 NON_ACTIONABLE_TOPICS = ["Brand#1", "Brand#2", "Brand#3"]
@@ -121,14 +121,11 @@ def corpora(spark: SparkSession, folder: str) -> DataFrame:
             .where((F.col("corpus") == "real") | (topic % 7 != 0)))
 
 
-def run_steps(spark: SparkSession, folder: str) -> DataFrame:
-    """A step log over events: one run per user and week, steps in time order.
-
-    Steps are numbered hour by hour, so a run holding very many events is spread over its hours.
-    """
+def logged_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """A step log over events, in no order: one run per user and week. One scan, no shuffle."""
     events = table(spark, folder, "events")
     week = F.date_trunc("week", "ts")
-    keyed = events.select(
+    return events.select(
         F.concat(F.col("user_id").cast("string"), F.lit("-"),
                  week.cast("date").cast("string")).alias("run_id"),
         F.concat(F.lit("T"), (F.col("user_id") % 10 + 1).cast("string"), F.lit("-E"),
@@ -136,12 +133,43 @@ def run_steps(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("agent"), (F.col("user_id") % 4).cast("string")).alias("agent"),
         (F.col("user_id") % 5).alias("seed"), F.col("event_type").alias("tool"),
         F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"),
-        "event_id", "ts", F.col("value").alias("latency_s"), "props",
-        F.date_trunc("hour", "ts").alias("hour"))
-    numbered = number_rows(keyed, ["run_id"], "hour", ["ts", "event_id"], "position")
-    return (numbered.withColumn("idx", (F.col("position") - 1).cast("bigint"))
-            .withColumn("tokens", F.get_json_object("props", "$.k").cast("bigint") * 100)
-            .drop("position", "hour"))
+        "event_id", "ts", F.col("value").alias("latency_s"),
+        (F.get_json_object("props", "$.k").cast("bigint") * 100).alias("tokens"))
+
+
+def run_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """The step log with steps numbered in the order of time.
+
+    Steps are numbered hour by hour, so a run holding very many events is spread over its hours.
+    """
+    keyed = logged_steps(spark, folder).withColumn("hour", F.date_trunc("hour", "ts"))
+    return (scan(keyed, ["run_id"], "hour", ["ts", "event_id"], "position")
+            .withColumn("idx", F.col("position") - 1).drop("position", "hour"))
+
+
+def _said(steps: DataFrame) -> DataFrame:
+    """What a step says by itself: tool, error kind, tokens, usage, cost and the text of an answer."""
+    steps = steps.withColumn("k", F.expr("tokens div 100")).withColumnRenamed("tool", "event")
+    k, event = F.col("k"), F.col("event")
+    tool = (F.when(event == "view", "filter").when(event == "click", "summarise").when(event == "purchase", "rank")
+            .when(event == "signup", "answer").when(k % 2 == 1, "plot"))
+    kind = F.when((event == "error") & (k % 4 == 1), "unknown_tool")
+    cached = F.when(k % 5 > 0, k % 7 * 100)
+    usage = F.when(k % 5 > 0, F.format_string(
+        '{"usage": {"prompt_tokens_details": {"cached_tokens": %d}}}', cached)).otherwise(F.lit("{}"))
+    return steps.withColumns({
+        "tool": tool, "error_kind": kind, "tokens_in": F.col("tokens") + 600, "tokens_out": F.col("event_id") % 50,
+        "raw_response": usage, "cost_usd": F.when(F.col("agent") == "agent1", k / 100000),
+        "answer_text": F.when(event == "signup", F.format_string("answer %d", k))})
+
+
+FACTS = ["run_id", "task_id", "agent", "seed", "event", "tool", "status", "error_kind", "k", "tokens_in", "tokens_out",
+         "raw_response", "latency_s", "cost_usd", "event_id", "ts"]
+
+
+def call_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """The tool calls without order, handles and arguments, for questions that only count: one scan, no shuffle."""
+    return _said(logged_steps(spark, folder)).select(*FACTS, "answer_text")
 
 
 def tool_calls(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,49 +177,31 @@ def tool_calls(spark: SparkSession, folder: str) -> DataFrame:
 
     A view filters, a click summarises the last selection, a purchase ranks the last table, a
     signup answers; an error is a turn without a call or a call to a tool that does not exist.
+    Numbers and handles come from one scan: events are read once.
     """
-    steps = (run_steps(spark, folder).withColumn("k", (F.col("tokens") / 100).cast("bigint"))
-             .withColumn("_block", F.expr(f"idx div {BLOCK}")))
-
-    def last_of(df, event, name):
-        hit = F.when(F.col("tool") == event, F.col("idx"))
-        return running_max_before(df, ["run_id"], "_block", ["idx"], hit, name)
-
-    steps = last_of(last_of(steps, "view", "_sel"), "click", "_tab").withColumnRenamed(
-        "tool", "event")
-    k = F.col("k")
-    sel = F.concat(F.lit("s"), F.coalesce("_sel", F.lit(999)))
-    tab = F.concat(F.lit("t"), F.coalesce("_tab", F.lit(999)))
-    args = (F.when(F.col("event") == "view", F.format_string(
+    keyed = logged_steps(spark, folder).withColumn("hour", F.date_trunc("hour", "ts"))
+    steps = _said(scan(keyed, ["run_id"], "hour", ["ts", "event_id"], "position", latest={
+        "_sel": F.col("tool") == "view", "_tab": F.col("tool") == "click"}))
+    k, event = F.col("k"), F.col("event")
+    sel = F.concat(F.lit("s"), F.coalesce(F.col("_sel") - 1, F.lit(999)))
+    tab = F.concat(F.lit("t"), F.coalesce(F.col("_tab") - 1, F.lit(999)))
+    args = (F.when(event == "view", F.format_string(
                 '{"industry": %s, "aspect": ["Brand#%d", " Brand#3", "Brand#3"]}',
                 F.when(k % 2 == 0, '"ASIA "').otherwise('["EUROPE", "ASIA"]'), k % 25 + 1))
-            .when(F.col("event") == "click", F.format_string(
+            .when(event == "click", F.format_string(
                 '{"ref": "%s", "group_by": "%s", "min_n": %s, "min_n_column": "total_count"}', sel,
                 F.when(k % 10 == 0, "colour").otherwise("aspect"),
                 F.when(k % 3 == 0, '"30"').otherwise("30.0")))
-            .when(F.col("event") == "purchase", F.format_string(
+            .when(event == "purchase", F.format_string(
                 '{%s"by": "neg_rate", "ref": "%s", "exclude": "%s"}',
                 F.when(k % 7 == 0, "").otherwise('"top_k": 3, '), tab,
                 F.when(k % 2 == 0, "non_actionable").otherwise("email")))
-            .when(F.col("event") == "signup", F.format_string('{"text": "answer %d"}', k))
+            .when(event == "signup", F.format_string('{"text": "answer %d"}', k))
             .when(k % 2 == 1, F.lit("{}")))
-    tool = (F.when(F.col("event") == "view", "filter").when(F.col("event") == "click", "summarise")
-            .when(F.col("event") == "purchase", "rank").when(F.col("event") == "signup", "answer")
-            .when(k % 2 == 1, "plot"))
-    handle = (F.when(F.col("event") == "view", F.concat(F.lit("s"), "idx"))
-              .when(F.col("event").isin("click", "purchase"), F.concat(F.lit("t"), "idx")))
-    kind = F.when((F.col("event") == "error") & (k % 2 == 1),
-                  F.when(k % 4 == 1, "unknown_tool"))
-    cached = F.when(k % 5 > 0, k % 7 * 100)
-    usage = F.when(k % 5 > 0, F.format_string(
-        '{"usage": {"prompt_tokens_details": {"cached_tokens": %d}}}', cached)).otherwise(
-        F.lit("{}"))
-    return steps.select(
-        "run_id", "task_id", "agent", "seed", "idx", "event", tool.alias("tool"),
-        args.alias("args"), handle.alias("handle"), "status", kind.alias("error_kind"), "k",
-        (F.col("tokens") + 600).alias("tokens_in"), (F.col("event_id") % 50).alias("tokens_out"),
-        usage.alias("raw_response"), "latency_s",
-        F.when(F.col("agent") == "agent1", F.col("k") / 100000).alias("cost_usd"), "event_id", "ts")
+    steps = steps.withColumn("idx", F.col("position") - 1)
+    handle = (F.when(event == "view", F.concat(F.lit("s"), "idx"))
+              .when(event.isin("click", "purchase"), F.concat(F.lit("t"), "idx")))
+    return steps.select(*FACTS, "idx", args.alias("args"), handle.alias("handle"))
 
 
 def model_replies(spark: SparkSession, folder: str) -> DataFrame:
