@@ -46,7 +46,15 @@ def test_score_files_are_found_and_old_ones_left_out(spark, tmp_path):
         folder = tmp_path / name
         folder.mkdir(parents=True)
         (folder / "scores.csv").write_text(body)
-    got = {r.run_dir: r for r in readers.read_scores(spark, str(tmp_path)).collect()}
+    more = tmp_path / "quoted dir"
+    more.mkdir()
+    (more / "scores.csv").write_text('\ufeffnote,' + full + '\n"a, ""task_id"" b\nc",T2,0,1,0.5,0.5,1,2\n'
+                                     'task_id,T3,1,x,0.5,0.5,1,2\n', encoding="utf-8")
+    all_ = readers.read_scores(spark, str(tmp_path)).collect()
+    assert sorted((r.task_id, r.insight_score) for r in all_ if r.run_dir.startswith("quoted")) == [("T2", 1.0), ("T3", None)]
+    skipped = readers.score_files(spark, str(tmp_path)).where("size(lacking) > 0").collect()
+    assert [r.file.split("/")[-2] for r in skipped] == ["old"] and "insight_score" in skipped[0].lacking
+    got = {r.run_dir: r for r in all_ if not r.run_dir.startswith("quoted")}
     assert set(got) == {"m_s1", "m_s2"}
     assert got["m_s1"].cost_usd is None and got["m_s1"].latency_s == 3.5
     assert got["m_s2"].insight_score == 4.0 and got["m_s2"].latency_s == 2.5
@@ -149,6 +157,43 @@ def test_file_hashes(spark, tmp_path):
     assert row.sha256 == hashlib.sha256(b"abc").hexdigest() and row.length == 3
 
 
+def test_file_hashes_read_in_blocks(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from tonescope.sources import digests
+    body = bytes(range(256)) * 300_000     # several blocks
+    deep = tmp_path / "deep"
+    deep.mkdir()
+    (deep / "big.gz").write_bytes(body)    # whatever the name says, the bytes count
+    (tmp_path / "none").write_bytes(b"")
+    got = {r.file: (r.length, r.sha256) for r in readers.file_hashes(spark, str(tmp_path)).collect()}
+    assert got == {"big.gz": (len(body), hashlib.sha256(body).hexdigest()), "none": (0, hashlib.sha256(b"").hexdigest())}
+    assert readers.file_hashes(spark, str(deep / "big.gz")).count() == 1
+    assert len(body) > 8 * digests.BLOCK
+
+
+def test_store_replaces_partitions_and_prunes_by_run(spark, tmp_path):
+    at = str(tmp_path / "store")
+    line = lambda run, **rest: ("d" + run[0], run, json.dumps({"run_id": run, **rest}))
+    rows = [line(f"{d}{i}", type="run_start", task_id=f"T{i}", agent_id=d, seed=1) for d in "ab" for i in range(40)]
+    rows += [line(f"{d}{i}", type="step", idx=0, tool="filter", status="ok") for d in "ab" for i in range(40)]
+    shape = "run_dir string, run_id string, record string"
+    for _ in range(2):
+        traces.write_store(spark.createDataFrame(rows, shape), at)
+    assert traces.read_store(spark, at).count() == 160
+    again = [line("a7", type="run_start", task_id="new", agent_id="a", seed=2)]
+    slot = spark.createDataFrame(again, shape).select(traces.slot_of("run_id")).first()[0]
+    others = [r for r in rows if r[0] == "da" and r[1] != "a7"]
+    same = spark.createDataFrame(others, shape).where(traces.slot_of("run_id") == slot)
+    traces.write_store(spark.createDataFrame(again, shape).unionByName(same), at)
+    steps = traces.run_steps(traces.read_store(spark, at))
+    assert steps.count() == 79 and steps.where("run_id = 'b3'").first().task_id == "T3"
+    one = traces.read_store(spark, at, "a7")
+    assert [r.task_id for r in one.collect()] == ["new"]
+    assert {f.split("/")[-2] for f in one.inputFiles()} == {f"slot={slot}"} or "PartitionFilters: [isnotnull(slot" in (
+        one._jdf.queryExecution().executedPlan().toString())
+
+
 def test_agent_identity(spark):
     rows = spark.createDataFrame([("no-tool-x_s1", "big", "d"), ("y_s1", "big", "d"), ("y_s1", None, "d"),
                                   (None, None, "d")], "agent_id string, model string, run_dir string")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tonescope.catalog.base import query
 from tonescope.catalog.calls import CALLS
 from tonescope.functions import text
+from tonescope import schema
 from tonescope.operators import runlogs
-from tonescope.session import cut_lineage
+from tonescope.session import checkpoint_dir, cut_lineage
 from tonescope.sources import derived
 
 KIND = """CASE WHEN status = 'error' THEN coalesce(error_kind,
@@ -180,6 +183,69 @@ def runs_leaderboard(spark, folder):
     return told.select(*[c if c in plain else F.round(c, 6).alias(c) for c in told.columns])
 
 
+def trace_lines(spark, folder):
+    """The log as trace records: a start, the steps and an end per run, each one JSON object. The week plays the seed."""
+    log = derived.tool_calls(spark, folder)
+    week = F.to_date(F.expr("substr(run_id, instr(run_id, '-') + 1)"))
+    turn = (F.floor(F.date_diff(week, F.lit("2024-01-01").cast("date")) / 7) % 3).cast("bigint")
+    log = cut_lineage(log.withColumns({"turn": turn, "run_dir": F.concat("agent", F.lit("_s"), turn)}))
+    quiet = {"ignoreNullFields": "true"}
+    step = F.to_json(F.struct(F.lit("step").alias("type"), "run_id", "idx", "tool", F.try_parse_json("args").alias("args"), "handle",
+                              "status", "error_kind", "tokens_in", "tokens_out", "latency_s", "cost_usd",
+                              F.try_parse_json("raw_response").alias("raw_response")), quiet)
+    said = F.when((F.col("tool") == "answer") & (F.col("status") == "ok"), F.get_json_object("args", "$.text"))
+    runs = log.groupBy("run_dir", "run_id", "task_id", "agent", "turn").agg(
+        F.max_by(said, F.when(said.isNotNull(), F.col("idx"))).alias("text"), F.round(F.sum("latency_s"), 6).alias("wall_s"))
+    start = F.to_json(F.struct(F.lit("run_start").alias("type"), "run_id", "task_id", F.col("run_dir").alias("agent_id"),
+                               F.col("agent").alias("model"), F.col("turn").alias("seed")), quiet)
+    end = F.to_json(F.struct(F.lit("run_end").alias("type"), "run_id", F.lit("submitted").alias("terminal_state"),
+                             F.struct("text").alias("final_answer"), "wall_s"), quiet)
+    whole = runs.select("run_dir", "run_id", F.explode(F.array(start, end)).alias("record"))
+    return log.select("run_dir", "run_id", step.alias("record")).unionByName(whole)
+
+
+@query("runs_stored_leaderboard", "A-4 A-5 A-8 A-12 L-1 L-11", PASSED + """,
+    m AS (SELECT agent, seed, """ + ", ".join(f"avg({m}) AS {m}" for m in METRICS) + """ FROM seeded GROUP BY ALL),
+    t AS (SELECT agent, count(*) AS k_seeds, """ + ", ".join(
+    f"round(avg({m}), 6) AS {m}_mean, round(stddev_samp({m}), 6) AS {m}_std" for m in METRICS) + """ FROM m GROUP BY agent)
+    SELECT t.*, n_tasks, pass_k FROM t JOIN (SELECT agent, count(*) AS n_tasks, round(avg(passed::INT::DOUBLE), 6) AS pass_k
+      FROM passed GROUP BY agent) USING (agent)""")
+def runs_stored_leaderboard(spark, folder):
+    """Traces are stored, read and scored; the scores are stored by run folder, read again and ranked."""
+    from tonescope.plans.scoring import score_traces
+    from tonescope.sources import readers, sinks, traces
+    at = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    lines = trace_lines(spark, folder)
+    traces.write_store(lines, f"{at}/traces", 4)
+    traces.write_store(lines.where("run_dir = 'agent0_s0'"), f"{at}/traces", 4)   # stored twice, there once
+    gold = gold_tasks(spark, folder).select("task_id", F.col("gold_steps").alias("gold_num_steps"), F.to_json(F.transform(
+        "gold_tools", lambda t: F.struct(t.alias("tool")))).alias("gold_tool_path_json"))
+    records = traces.read_store(spark, f"{at}/traces")
+    made = score_traces(records, gold).join(traces.run_starts(records).select("run_id", "run_dir"), "run_id")
+    grade = (F.col("n_steps") + F.split_part("task_id", F.lit("-E"), F.lit(2)).cast("int") - 1) % 6
+    sinks.write_table(made.withColumn("insight_score", grade).select("run_dir", "task_id", *schema.METRICS),
+                      f"{at}/scores", ["run_dir"], "csv")
+    rows = readers.read_scores(spark, f"{at}/scores", "*.csv").select(
+        F.split_part("run_dir", F.lit("_s"), F.lit(1)).alias("agent"), text.template_of().alias("task_id"),
+        F.split_part("run_dir", F.lit("_s"), F.lit(2)).cast("bigint").alias("seed"), *METRICS)
+    told = runlogs.leaderboard(cut_lineage(rows.groupBy("agent", "seed", "task_id").agg(
+        *[F.max(m).alias(m) for m in METRICS])), METRICS, mark=3)
+    return told.select(*[c if c in {"agent", "k_seeds", "n_tasks"} else F.round(c, 6).alias(c) for c in told.columns])
+
+
+@query("runs_one_stored_trace", "A-10", CALLS + """
+    SELECT run_id, idx, tool, status FROM calls WHERE run_id = (SELECT min(run_id) FROM calls)""")
+def runs_one_stored_trace(spark, folder):
+    """The steps of one run, from the one slot of the store that holds it."""
+    from tonescope.sources import traces
+    at = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    lines = trace_lines(spark, folder)
+    traces.write_store(lines, at, 4)
+    first = lines.agg(F.min("run_id")).first()[0]
+    return traces.read_store(spark, at, first, 4).where("type = 'step'").select("run_id", F.col("idx").cast("bigint").alias("idx"),
+                                                                             "tool", "status")
+
+
 @query("runs_passed_tasks", "L-11 L-14 D-16", PASSED + " SELECT agent, task_id, passed FROM passed")
 def runs_passed_tasks(spark, folder):
     return runlogs.passed_tasks(seeded(spark, folder), mark=3)

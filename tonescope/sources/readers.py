@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,9 +24,12 @@ def _typed(df: DataFrame, struct: T.StructType, required) -> DataFrame:
     lacking = [c for c in required if c not in df.columns]
     if lacking:
         raise ValueError(f"missing columns {lacking}")
-    return df.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name)
-                       if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
-                       for f in struct.fields])
+    return df.select(*_cast(df, struct))
+
+
+def _cast(df: DataFrame, struct: T.StructType) -> list[Column]:
+    return [F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name)
+            if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in struct.fields]
 
 
 def read_feedback(spark: SparkSession, *paths: str, form: str = "csv") -> DataFrame:
@@ -69,36 +74,44 @@ def read_judge_scores(spark: SparkSession, path: str) -> DataFrame:
     return _typed(_csv(spark, path, True), schema.JUDGE_SCORE, ["task_id", "judge_score"])
 
 
+def score_files(spark: SparkSession, root: str, name: str = "scores.csv") -> DataFrame:
+    """(file, names, lacking) of every score file below a folder: its columns, and the required ones that it has not."""
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root)
+             .select("value", F.col("_metadata.file_path").alias("file"), F.input_file_block_start().alias("start"),
+                     F.monotonically_increasing_id().alias("nth")))
+    # Lines of a block have rising numbers, so the first line of a file is the lowest of its first block.
+    header = F.min_by("value", "nth")
+    cell = lambda c: F.btrim(F.replace(c, F.lit("\ufeff"), F.lit("")), F.lit(' "\r\t'))
+    first = lines.where("start = 0").groupBy("file").agg(header.alias("header"))
+    wanted = F.array(*[F.lit(w) for w in ("task_id", *schema.METRICS)])
+    told = first.withColumn("names", F.transform(F.split("header", ","), cell))
+    return told.select("file", "names", F.array_except(wanted, "names").alias("lacking"))
+
+
 def read_scores(spark: SparkSession, root: str, name: str = "scores.csv") -> DataFrame:
-    """Every score file below a folder as one table with `run_dir`; files of an older layout,
-    lacking a required column, are left out.
+    """Every score file below a folder as one table with `run_dir`; files of an older layout, lacking a required column,
+    are left out (`score_files` names them).
 
-    Files may order their columns differently: each line is read against its own file's header.
+    Files of one layout are read together by the CSV reader against their own header, so quoted commas and line breaks
+    survive; layouts are few, their tables are united by column name.
     """
-    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name)
-             .text(root).select("value", F.col("_metadata.file_path").alias("file")))
-    is_header = F.array_contains(F.split("value", ","), "task_id")
-    headers = (lines.where(is_header).groupBy("file")
-               .agg(F.split(F.min("value"), ",").alias("names")))
-    wanted = ["task_id", *schema.METRICS]
-    usable = headers.where(F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), "names"))
-                           == 0)
-    cells = F.map_from_arrays("names", F.split("value", ",", -1))
-    rows = (lines.where(~is_header & (F.trim("value") != "")).join(usable, "file")
-            .withColumn("_c", cells))
-    def cast(field):
-        text = F.nullif(F.trim(F.col("_c")[field.name]), F.lit(""))
-        return text.cast(field.dataType).alias(field.name)
-    run_dir = F.element_at(F.split("file", "/"), -2)
-    return rows.select(run_dir.alias("run_dir"), *[cast(f) for f in schema.SCORES.fields])
+    files = score_files(spark, root, name).where(F.size("lacking") == 0)
+    layouts = files.groupBy("names").agg(F.collect_list("file").alias("files")).collect()
+    run_dir = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "^run_dir=", "")
+    none = spark.createDataFrame([], T.StructType([T.StructField("run_dir", T.StringType()), *schema.SCORES.fields]))
+    for layout in sorted(layouts, key=lambda r: r.names):
+        shape = T.StructType([T.StructField(c, T.StringType()) for c in layout.names])
+        rows = (spark.read.schema(shape).option("header", True).option("escape", '"').option("multiLine", True)
+                .csv([unquote(f) for f in layout.files]).select("*", run_dir.alias("_dir")))
+        none = none.unionByName(rows.select(F.col("_dir").alias("run_dir"), *_cast(rows, schema.SCORES)))
+    return none
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sha256) of input files, for provenance. A file is hashed whole, so it must fit in
-    one record (2 GB); hash the parts of larger inputs."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length",
-                        F.sha2("content", 256).alias("sha256"))
+    """(file, length, sha256) of all files at or below a path, for provenance. A task reads a file block by block."""
+    from tonescope.sources.digests import FileDigests
+    spark.dataSource.register(FileDigests)
+    return spark.read.format("file_digests").load(path)
 
 
 def tasks_of(spark: SparkSession, valid_path: str) -> DataFrame:
