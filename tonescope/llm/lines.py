@@ -227,5 +227,5 @@ def without_repeated_lines(docs: DataFrame, shortest: int = SHORTEST, least: int
                 [batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()),
                  pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
 
-    return only(docs, "doc_id", "text").join(lost, "doc_id", "left").select("doc_id", "text", "dropped").mapInArrow(
+    return only(docs, "doc_id", "text").join(lost.hint("merge"), "doc_id", "left").select("doc_id", "text", "dropped").mapInArrow(
         run, "doc_id long, n_lines long, n_dropped long, kept string")
