@@ -4,11 +4,11 @@ A document's set holds its distinct 2-word shingles (words: runs of anything but
 per shingle is enough: its leading bits choose one of ROWS * BANDS bins, the smallest hash of a bin is its value. An empty bin
 borrows from the first full bin in a random order of its own, the same for all documents. BANDS groups of ROWS bins are
 the document's buckets. In a bucket each document is compared with the smallest doc_id only (a star), so a bucket of n
-gives n - 1 candidates. Candidates are confirmed on their full sets, as word pairs. Members of a bucket that are not
-connected after that are compared completely: all pairs of a bucket in different components that were not compared before
-and are not ruled out by their sizes and parity bits, the CENTRES smallest doc_ids for each larger one in the first round,
-eight times as many in each further one, until none is left. Parity bits give a lower bound of the shingles that only one
-of two sets has, so no similar pair is ruled out: each pair that shares a bucket is compared, connected or not similar.
+gives n - 1 candidates. Candidates are confirmed on their full sets, as word pairs. What its star leaves in different
+components is open: open documents are indexed by the rarest of their shingles, one of which any two similar sets share, and
+pairs that meet there, share a bucket, are not ruled out by sizes and parity bits and were not compared before are confirmed, the CENTRES
+smallest doc_ids for each larger one in the first round, eight times as many in each further one, as long as pairs of
+different components are left. So no similar pair of a bucket is missed, and documents that share only a template meet nowhere.
 
 Documents with equal sets are one class, represented by its smallest doc_id, and only representatives are compared. At
 similarity 0.8 a pair shares no bucket with probability below 1e-6.
@@ -167,29 +167,75 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similar: int) ->
     return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def uncompared(open_: DataFrame, tested: DataFrame, similar: int, most: int) -> DataFrame:
-    """Pairs (a, b), a < b, of different components in one of the buckets `open_` that are not tested and can be similar;
-    the `most` smallest a of each b.
+def shingles(texts: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, hash) for every distinct shingle."""
 
-    `open_` has bucket, doc_id, component, large (the bucket's most frequent component), n_shingles and parity. Pairs within
-    `large` need no comparison, so each pair has a member outside it.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            ids, found, size = [], [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found.append(shingle_hashes((text.as_py() or "").encode().lower().split(), hashes, shingle))
+                ids.append(np.full(len(found[-1]), doc, np.int64))
+                size += len(found[-1])
+                if size > 500_000:
+                    yield told(ids, found)
+                    ids, found, size = [], [], 0
+            yield told(ids, found)
+
+    def told(ids: list[np.ndarray], found: list[np.ndarray]) -> pa.RecordBatch:
+        none = np.empty(0, np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([none, *ids])), pa.array(np.concatenate([none, *(f.view(np.int64) for f in found)]))],
+            names=["doc_id", "hash"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, hash long")
+
+
+def uncompared(open_: DataFrame, texts: DataFrame, tested: DataFrame, shingle: int, similar: int) -> DataFrame:
+    """Pairs (a, b), a < b, of documents in different components that are not tested and can be similar.
+
+    `open_` has doc_id, component, n_shingles and parity. Two similar sets share one of the rarest shingles of each: of a set
+    of n, all but one less than the least common number may be missing in the other, so the n - least + 1 rarest hold a common
+    one, whatever order of rarity all sets use. Shingles of one document alone take up places of it and are not joined. Families
+    that share a template and differ by more than a fifth meet in no rare shingle, so they give no pairs.
     """
-    one = open_.where("component <> large").select(
-        "bucket", F.col("doc_id").alias("x"), F.col("component").alias("of_x"), F.col("n_shingles").alias("n_x"),
-        F.col("parity").alias("bits_x"))
-    two = open_.select(
-        F.col("bucket").alias("other"), F.col("doc_id").alias("y"), F.col("component").alias("of_y"), "large",
-        F.col("n_shingles").alias("n_y"), F.col("parity").alias("bits_y"))
+    rows = settle(shingles(texts.join(open_.select("doc_id"), "doc_id"), shingle), "shingles")
+    spread = rows.groupBy("hash").agg(F.count("*").alias("spread")).where("spread > 1")
+    shared = rows.join(spread, "hash")
+    rare = Window.partitionBy("doc_id").orderBy("spread", "hash")
+    placed = shared.withColumns({"nth": F.row_number().over(rare), "held": F.count("*").over(Window.partitionBy("doc_id"))})
+    least = F.ceil(F.col("n_shingles") * similar / 100)
+    first = placed.join(open_, "doc_id").where(
+        F.col("n_shingles") - F.col("held") + F.col("nth") <= F.col("n_shingles") - least + 1)
+    posts = settle(first.select("hash", "doc_id", "component", "n_shingles", "parity"), "posts")
+    # Only shingles of several components; in each the component of its smallest document needs no pair of its own.
+    met = posts.groupBy("hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    posts = posts.join(met.select("hash"), "hash", "left_semi")
+    one = posts.select("hash", F.col("doc_id").alias("x"), F.col("component").alias("of_x"), F.col("n_shingles").alias("n_x"),
+                       F.col("parity").alias("bits_x"))
+    two = posts.select(F.col("hash").alias("other"), F.col("doc_id").alias("y"), F.col("component").alias("of_y"),
+                       F.col("n_shingles").alias("n_y"), F.col("parity").alias("bits_y"))
     # 100 * common >= similar * all, as bounds of the sizes and of the shingles in one set only.
     sizes = 100 * F.least("n_x", "n_y") >= similar * F.greatest("n_x", "n_y")
     single = sum(F.bit_count(F.get("bits_x", F.lit(i)).bitwiseXOR(F.get("bits_y", F.lit(i)))) for i in range(PARITY))
     near = single * (100 + similar) <= (F.col("n_x") + F.col("n_y")) * (100 - similar)
-    once = (F.col("of_y") == F.col("large")) | (F.col("x") < F.col("y"))
-    found = one.join(two, (F.col("bucket") == F.col("other")) & (F.col("of_x") != F.col("of_y")) & once & sizes & near)
-    pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(
-        tested, ["a", "b"], "left_anti")
-    nth = F.row_number().over(Window.partitionBy("b").orderBy("a"))
-    return pairs.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+    found = one.join(two, (F.col("hash") == F.col("other")) & (F.col("of_x") != F.col("of_y"))
+                     & (F.col("x") < F.col("y")) & sizes & near)
+    return found.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+
+
+def sharing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that share a bucket: these are the candidates, whatever else the index finds."""
+    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("bands").alias(f"bands_{c}")).dropDuplicates([c])
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(F.arrays_overlap("bands_a", "bands_b")).select("a", "b")
+
+
+def apart(pairs: DataFrame, reached: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    of = lambda c: reached.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(
+        F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, similar: int = SIMILAR, rows: int = ROWS,
@@ -210,26 +256,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, similar: int = SIMILAR, r
     involved = buckets.select("doc_id").distinct()
     texts = settle(only(docs, "doc_id", "text").join(involved, "doc_id").dropDuplicates(["doc_id"]), "texts")
     links = settle(confirmed(pairs, texts, shingle, similar), "links", 20 * held)
-    tested, reached, most = pairs, components(links), CENTRES
-    # What is left of the buckets after their first star is compared completely.
-    marks = settle(sets.select("doc_id", "n_shingles", "parity").join(involved, "doc_id").dropDuplicates(["doc_id"]), "marks")
-    buckets = buckets.where("doc_id <> centre").select("bucket", "doc_id")
-    while True:
-        left = buckets.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-            "component", F.coalesce("component", "doc_id"))
-        mixed = left.groupBy("bucket", "component").count().groupBy("bucket").agg(
-            F.max_by("component", F.struct("count", "component")).alias("large"), F.count("*").alias("n")).where(
-            "n > 1").drop("n")
-        left = settle(left.join(mixed, "bucket").join(marks, "doc_id"), "left", held)
-        pairs = settle(uncompared(left, tested, similar, most), "pairs", held)
-        if pairs.isEmpty():
-            break
-        more = settle(confirmed(pairs, texts, shingle, similar), "more", 20 * held)
-        tested, most = tested.unionByName(pairs), 8 * most
+    reached = components(links)
+    # Members of a bucket that its star has left in different components.
+    held_by = buckets.select("bucket", "doc_id").join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = held_by.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    open_ = held_by.join(mixed, "bucket", "left_semi").select("doc_id", "component").distinct()
+    marks = sets.select("doc_id", "n_shingles", "parity").dropDuplicates(["doc_id"])
+    open_ = settle(open_.join(marks, "doc_id"), "open", held)
+    found = settle(uncompared(open_, texts, pairs, shingle, similar), "found")
+    members_of = sets.join(open_.select("doc_id"), "doc_id", "left_semi")
+    waiting, most = settle(sharing(found, members_of), "waiting"), CENTRES
+    while not waiting.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+        turns = waiting.withColumn("nth", nth)
+        more = settle(confirmed(turns.where(F.col("nth") <= most).drop("nth"), texts, shingle, similar), "more")
         if not more.isEmpty():
             links = links.unionByName(more)
             reached = components(links)
-        buckets = left.select("bucket", "doc_id")
+        waiting = settle(apart(turns.where(F.col("nth") > most).drop("nth"), reached), "waiting")
+        most *= 8
     reached = members.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.coalesce("component", "rep").alias("component_id"))
     return (sets.select("doc_id", "n_shingles").join(reached, "doc_id", "left")
