@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, folder), works on all that its predecessor kept and, but for the last, returns the columns
 of documents; it is written as Parquet and read again as the next one's docs.
+
+Documents are followed by their doc_id. Rows without one belong to no document and go, in whatever stage they come. Rows
+that repeat a doc_id are one document: the stages that need texts once keep one of them. Columns that documents have besides
+are carried along, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,38 +24,60 @@ SHINGLE, SIMILAR = 5, 80
 SHARDS = 16
 
 
+def beside(docs: DataFrame, facts: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`facts` under column names that `docs` has not, and those names by the old ones."""
+    names = {c: c for c in facts.columns}
+    for c in names:
+        while names[c] in docs.columns:
+            names[c] = f"its_{names[c]}"
+    return facts.withColumnsRenamed(names), names
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go: those whose draw is too small, and those without a word (null, empty)."""
     judged = resample(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     return docs.join(judged.where("kept").select("doc_id"), "doc_id", "left_semi")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each group of near copies (rows repeated whole included) the one of smallest doc_id stays."""
+    """Of each group of near copies (rows that repeat a doc_id included) the one of smallest doc_id stays.
+
+    Texts without a word are near copies of nothing and stay.
+    """
     kept = near_duplicates(docs, SHINGLE, SIMILAR).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Passages that stand earlier are cut from the texts; documents of which nothing stays go."""
-    cut = removed(docs, with_text=True).where("n_removed = 0 or kept <> ''").select(
-        F.col("doc_id").alias("_doc"), F.col("kept").alias("_kept"))
-    joined = docs.drop("text", "n_chars").join(cut, F.col("doc_id") == F.col("_doc"))
-    return (joined.withColumn("text", F.col("_kept")).withColumn("n_chars", F.char_length("_kept").cast("long"))
-            .select(*docs.columns))
+    """Passages that stand earlier are cut from the texts; documents of which nothing stays go.
+
+    Texts of which nothing is cut stay as they are, also null and empty ones; n_chars follows the new text. Rows that repeat a
+    doc_id are dropped first.
+    """
+    docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    cut = removed(docs, with_text=True).where("n_removed = 0 or kept <> ''").select("doc_id", "n_removed", "kept")
+    cut, name = beside(docs, cut)
+    changed = F.col(name["n_removed"]) > 0
+    return docs.join(cut, docs["doc_id"] == cut[name["doc_id"]]).withColumns({
+        "text": F.when(changed, F.col(name["kept"])).otherwise(F.col("text")),
+        "n_chars": F.when(changed, F.char_length(name["kept"]).cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """A row for each time that the mix takes a document; a partition holds one shard, shuffled."""
-    taken = settle(mix(docs, SHARDS).select(F.col("doc_id").alias("_doc"), F.col("shard").alias("_shard"),
-                                            F.col("order").alias("_order")), "taken")
-    shards = 1 + (taken.agg(F.max("_shard")).first()[0] or 0)
-    return (docs.join(taken, F.col("doc_id") == F.col("_doc")).repartitionByRange(shards, "_shard")
-            .sortWithinPartitions("_shard", "_order", "doc_id").select(*docs.columns))
+    """A row for each time that the mix takes a document; a partition holds one shard, shuffled.
+
+    Documents without a word have size 0 and are taken with their source. Ties of the shuffle go by doc_id.
+    """
+    docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    taken, name = beside(docs, settle(mix(docs, SHARDS).select("doc_id", "shard", "order"), "taken"))
+    shard = name["shard"]
+    shards = 1 + (taken.agg(F.max(shard)).first()[0] or 0)
+    return (docs.join(taken, docs["doc_id"] == taken[name["doc_id"]]).repartitionByRange(shards, shard)
+            .sortWithinPartitions(shard, name["order"], docs["doc_id"]).select(*docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Token pieces and their places in training sequences."""
+    """Token pieces and their places in training sequences; null and empty texts are their end mark alone."""
     return pack(docs)
 
 
