@@ -39,3 +39,35 @@ def test_run(spark, folder):
     out = pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert out.count() > 0
+
+
+def test_stages_keep_one_row_a_document_whatever_the_columns_are_called(spark, folder):
+    """Repeated rows, rows without doc_id, empty texts, ties and names that the stages use themselves."""
+    from tests.llm.conftest import words
+    passage = words(40, 60)
+    own = {1: words(41, 80) + "A " + passage, 2: words(42, 80) + "B " + passage + " " + words(43, 30), 3: words(44, 90), 4: "", 5: None}
+    rows = [(i, t, len(t or "")) for i, t in own.items()] + [(3, own[3], len(own[3]))] * 2 + [(None, own[1], len(own[1]))]
+    clash = ["_doc", "_kept", "_shard", "_order", "kept", "n_removed", "shard", "order", "its_kept", "draw"]
+    docs = spark.createDataFrame([(i, t, "en", "s", n, *range(len(clash))) for i, t, n in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, "
+                                 + ", ".join(f"`{c}` int" for c in clash)).repartition(3)
+    beside = tuple(range(len(clash)))
+
+    def told(out):
+        assert out.columns == docs.columns
+        return sorted((tuple(r) for r in out.collect()), key=str)
+
+    def row(i, text):
+        return (i, text, "en", "s", len(text or ""), *beside)
+
+    assert told(pipeline.without_near_copies(spark, docs, folder)) == sorted([row(i, t) for i, t in own.items()], key=str)
+    cut = told(pipeline.without_repeats(spark, docs, folder))
+    second = own[2].replace(" " + passage, "")
+    assert cut == sorted([row(i, second if i == 2 else t) for i, t in own.items()], key=str)
+    # One source, whose target is its size: each document is taken once.
+    assert told(pipeline.mixed(spark, docs, folder)) == sorted([row(i, t) for i, t in own.items()], key=str)
+    good = told(pipeline.good_quality(spark, docs, folder))
+    assert len(good) == len([r for r in good if r[0] in (1, 2, 3)]) and all(r[5:] == beside for r in good)
+    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    pieces = pipeline.packed(spark, once, folder).collect()
+    assert sorted(r["doc_id"] for r in pieces) == [1, 2, 3, 4, 5]
