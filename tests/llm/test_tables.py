@@ -262,6 +262,23 @@ def test_search_edges(spark):
     assert [r["vec_id"] for r in few] and {r["vec_id"] for r in few} == {70, 80}
 
 
+def test_small_tables_are_answered_whole_whatever_the_partitions(spark):
+    """All five nearest of 20 vectors and their exact scores, with more partitions than vectors."""
+    draw = np.random.default_rng(2)
+    rows = {i: draw.normal(size=6) for i in range(40, 60)}
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        got = neighbours.search(table, table["vec_id"] % 50 == 0).orderBy("rank").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    cosine = {i: float(rows[50] @ v / np.linalg.norm(rows[50]) / np.linalg.norm(v)) for i, v in rows.items() if i != 50}
+    want = sorted(cosine, key=lambda i: (-cosine[i], i))[:5]
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(50, n, i) for n, i in enumerate(want, 1)]
+    assert np.allclose([r["score"] for r in got], [cosine[i] for i in want], rtol=0, atol=1e-14)
+
+
 def test_repeated_rows_leave_room_for_other_ids(spark):
     same = [1.0, 2.0, 3.0, 4.0]
     rows = [(0, same)] * 20 + [(i, same) for i in range(1, 8)]

@@ -26,6 +26,8 @@ from tonescope.llm.common import only, pick_parts, settle
 DEGREE = 32
 REVERSE = 16
 TABLES, LEAF, LEAF_LINKS = 4, 64, 16
+#: Rows of a range of the random orders, a row per node and order; ranges are cut into leaves.
+RANGE = 8192
 OFFERS = 8
 ROUNDS, SETTLED = 8, 0.03
 BEAM = 128
@@ -182,7 +184,9 @@ def descend(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> Dat
             yield _edges(*found)
             held = held.slice(stop)
 
-    graph = settle(best_edges(leaf_edges(nodes, parts), parts, degree), "graph")
+    # Ranges hold many leaves each, whatever the session's partitions, so that no leaf is cut short by its range.
+    ranges = min(parts, 1 + TABLES * nodes.count() // RANGE)
+    graph = settle(best_edges(leaf_edges(nodes, ranges), parts, degree), "graph")
     links = graph.count()
     for _ in range(rounds):
         worst = graph.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("near")).select(
