@@ -51,16 +51,18 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> Da
 def without_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Passages that stand earlier are cut from the texts; documents of which nothing stays go.
 
-    Texts of which nothing is cut stay as they are, also null and empty ones; n_chars follows the new text. Rows that repeat a
-    doc_id are dropped first.
+    Texts of which nothing is cut stay as they are, also null and empty ones; n_chars follows the new text. Of rows that
+    repeat a doc_id one stays.
     """
-    docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     cut = removed(docs, with_text=True).where("n_removed = 0 or kept <> ''").select("doc_id", "n_removed", "kept")
-    cut, name = beside(docs, cut)
-    changed = F.col(name["n_removed"]) > 0
-    return docs.join(cut, docs["doc_id"] == cut[name["doc_id"]]).withColumns({
-        "text": F.when(changed, F.col(name["kept"])).otherwise(F.col("text")),
-        "n_chars": F.when(changed, F.char_length(name["kept"]).cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    cut, name = beside(docs, cut.dropDuplicates(["doc_id"]))
+    # The texts come from the operator; the rows themselves bring all other columns.
+    rest = docs.withColumn("text", F.col("text").isNotNull()).dropDuplicates(["doc_id"])
+    joined = rest.join(cut, rest["doc_id"] == cut[name["doc_id"]])
+    return joined.withColumns({
+        "text": F.when(F.col("text"), F.col(name["kept"])),
+        "n_chars": F.when(F.col(name["n_removed"]) > 0, F.char_length(name["kept"]).cast("long")).otherwise(
+            F.col("n_chars"))}).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
