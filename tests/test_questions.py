@@ -100,7 +100,8 @@ def test_question_text_and_declared_distribution(spark):
         "task_id string, template string, a string, b string, aspect string, sentiment string")
     told = {r.task_id: r.question for r in answerability.question_text(params).collect()}
     assert told["T1-1"] == "What proportion of Bank reviews that mention speed are negative?"
-    assert told["T7-1"] == "What is the biggest driver of dissatisfaction at Bank?"
+    assert told["T7-1"] == ("What is the biggest driver of dissatisfaction at Bank? Rank topics by negative sentiment rate"
+                            " and ignore any topics with less than 30 mentions.")
     assert answerability.distribution_gaps(params, params, ["template"]).count() == 0
     assert answerability.distribution_gaps(params, params.limit(1), ["template"]).count() == 1
 

@@ -249,3 +249,56 @@ def test_thinning_spares_protected_cells_and_repeats(spark):
     share = kept.where("cast(org AS int) >= 100").count() / 1900
     assert 0.87 < share < 0.93
     assert kept.exceptAll(profiling.thin(cells.repartition(9), 0.1, F.col("org").cast("int") < 100)).count() == 0
+
+
+def test_recorded_ends_against_the_rules(spark):
+    stops = spark.createDataFrame([("a", 3, "submitted", 0), ("b", 2, "stalled", 0), ("c", 5, "timeout", 2), ("d", 1, "error", 0)],
+                                  "run_id string, stop_idx long, state string, steps_after long")
+    recorded = spark.createDataFrame([("a", "submitted"), ("a", "submitted"), ("b", "step_cap"), ("c", "timeout"), ("x", "error")],
+                                     "run_id string, terminal_state string")
+    got = {r.run_id: (r.expected, r.recorded, r.agrees) for r in runlogs.stopping_audit(stops, recorded).collect()}
+    assert got == {"a": ("submitted", "submitted", True), "b": ("stalled", "step_cap", False), "c": ("timeout", "timeout", False),
+                   "d": ("error", "missing_run_end", False), "x": (None, "error", False)}
+
+
+def test_one_read_of_the_events_a_query(spark, monkeypatch):
+    """Counting queries scan the events once; ordered ones scan them once, write, and read what was written."""
+    from tonescope.operators import ordered
+    from tonescope.sources import derived
+    folder = "/root/testdata/sf0.001"
+
+    def scans(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("events.parquet")
+
+    assert scans(derived.call_facts(spark, folder)) == 1
+    written = []
+    plain = ordered.cut_lineage
+    monkeypatch.setattr(ordered, "cut_lineage", lambda df: (written.append(scans(df)), plain(df))[1])
+    log = derived.tool_calls(spark, folder)
+    assert written == [1] and scans(log) == 0
+
+
+def test_scan_equals_plain_windows(spark):
+    import random
+    draw = random.Random(3)
+    rows = [("hot" if draw.random() < 0.6 else draw.choice("ab"), i // 7, i, draw.randrange(5), draw.random() < 0.2)
+            for i in range(400)]
+    table = spark.createDataFrame(rows, "g string, s long, o long, v long, hit boolean").repartition(5)
+    from tonescope.operators import ordered
+    got = {(r.g, r.o): (r.n, r.total, r.last) for r in ordered.scan(
+        table, ["g"], "s", ["o"], "n", {"total": F.col("v")}, {"last": F.col("hit")}).collect()}
+    count, total, last = {}, {}, {}
+    for g, _, o, v, hit in rows:
+        count[g], total[g] = count.get(g, 0) + 1, total.get(g, 0) + v
+        assert got[g, o] == (count[g], total[g], last.get(g))
+        if hit:
+            last[g] = count[g]
+    assert len(got) == len(rows)
+
+
+def test_tools_in_order_without_repeats(spark):
+    rows = [("r", 0, "filter", '{"a": 1}'), ("r", 1, None, None), ("r", 2, "filter", '{"a": 1}'), ("r", 3, "rank", "{}"),
+            ("r", 4, "filter", '{"a": 2}'), ("q", 0, "rank", "{}")]
+    steps = spark.createDataFrame(rows, "run_id string, idx long, tool string, args string")
+    got = sorted((r.run_id, r.position, r.tool) for r in runlogs.tools_in_order(steps).collect())
+    assert got == [("q", 1, "rank"), ("r", 1, "filter"), ("r", 2, "rank"), ("r", 3, "filter")]

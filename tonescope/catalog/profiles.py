@@ -236,14 +236,13 @@ def drift_variation_distance(spark, folder):
 
 
 @query("profile_null_pairs", "N-15", on_cells("""
-    , t AS (SELECT parent_aspect, aspect, org, neg_count FROM cells WHERE CAST(substr(org, 10) AS BIGINT) % 50 < 1
-      AND industry IN ('AMERICA', 'ASIA', 'AFRICA', 'EUROPE', 'MIDDLE EAST'))
-    SELECT aspect, count(DISTINCT org) AS orgs, count(DISTINCT neg_count) AS rates FROM t GROUP BY aspect
+    , t AS (SELECT 'pair' || (CAST(substr(org, 10) AS BIGINT) // 2) AS pair, aspect, org, neg_count FROM cells)
+    SELECT pair, aspect, count(DISTINCT org) AS orgs, count(DISTINCT neg_count) AS rates FROM t GROUP BY pair, aspect
     HAVING count(DISTINCT org) = 2 AND count(DISTINCT neg_count) = 1"""))
 def profile_null_pairs(spark, folder):
-    pair = derived.feedback_cells(spark, folder).where(
-        "cast(substr(org, 10) AS bigint) % 50 < 1")
-    return profiling.null_pairs(pair, ["aspect"], "neg_count")
+    """All organisations, two and two by number, on every topic."""
+    pair = F.concat(F.lit("pair"), F.expr("cast(substr(org, 10) AS bigint) div 2"))
+    return profiling.null_pairs(derived.feedback_cells(spark, folder).withColumn("pair", pair), ["pair", "aspect"], "neg_count")
 
 
 @query("profile_group_summary", "N-16 D-12 D-13", on_cells("""
@@ -352,6 +351,16 @@ def quality_org_in_one_industry(spark, folder):
                                                                       "source")))
 
 
+@query("quality_home_of_organisations", "N-19", on_feedback("""
+    , f AS (SELECT CASE WHEN l_orderkey % 1000 = 7 THEN 'ASIA' ELSE industry END AS industry, org FROM feedback)
+    SELECT org, count(DISTINCT industry) AS industries FROM f GROUP BY 1 HAVING count(DISTINCT industry) > 1"""))
+def quality_home_of_organisations(spark, folder):
+    """Organisations whose labels name several industries, where one order in a thousand names a wrong one."""
+    wrong = F.split_part("review_id", F.lit("-"), F.lit(1)).cast("bigint") % 1000 == 7
+    rows = derived.feedback(spark, folder).withColumn("industry", F.when(wrong, "ASIA").otherwise(F.col("industry")))
+    return profiling.homeless_orgs(rows)
+
+
 @query("first_review_per_sentiment", "N-20", on_feedback("""
     SELECT sentiment, industry, org, aspect, source FROM (SELECT *, row_number() OVER (PARTITION BY sentiment
       ORDER BY l_orderkey || '-' || l_linenumber || '-' || l_suppkey, aspect, org, industry, source) AS rn FROM feedback)

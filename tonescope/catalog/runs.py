@@ -148,6 +148,37 @@ def runs_agent_roll_up(spark, folder):
         "path_match_rate", "mean_steps", "mean_errors")])
 
 
+@query("runs_recorded_ends", "L-17", STOP + """, ends AS (SELECT run_id, arg_max({'tool': tool, 'status': status}, idx) AS e, count(*) AS n, sum(latency_s) AS spent
+      FROM t GROUP BY run_id),
+    last AS (SELECT run_id, e.tool AS tool, e.status AS status, n, spent FROM ends),
+    recorded AS (SELECT run_id, CASE WHEN tool = 'answer' AND status = 'ok' THEN 'submitted' WHEN n >= 12 THEN 'step_cap'
+      WHEN round(spent, 6) > 300 THEN 'timeout' ELSE 'error' END AS terminal_state FROM last WHERE tool IS NOT NULL)
+    SELECT run_id, state AS expected, coalesce(terminal_state, 'missing_run_end') AS recorded, stop_idx, steps_after,
+      coalesce(state = terminal_state AND steps_after = 0, FALSE) AS agrees FROM stops LEFT JOIN recorded USING (run_id)""")
+def runs_recorded_ends(spark, folder):
+    """The rules against ends as a harness records that looks at the last step only, and loses runs without a last call."""
+    log = steps(spark, folder)
+    end = log.groupBy("run_id").agg(F.max_by(F.struct("tool", "status"), "idx").alias("e"), F.count("*").alias("n"),
+                                    F.round(F.sum("latency_s"), 6).alias("spent"))
+    state = (F.when((F.col("e.tool") == "answer") & (F.col("e.status") == "ok"), "submitted").when(F.col("n") >= 12, "step_cap")
+             .when(F.col("spent") > 300, "timeout").otherwise("error"))
+    recorded = end.where("e.tool IS NOT NULL").select("run_id", state.alias("terminal_state"))
+    return runlogs.stopping_audit(stops(spark, folder, log), recorded)
+
+
+@query("runs_agent_totals", "L-10", COSTS + f""",
+    v AS (SELECT run_id, count(*) FILTER ({KIND} IN ('no_tool_call', 'unknown_tool')) AS broken FROM calls GROUP BY run_id)
+    SELECT agent, sum(broken)::BIGINT AS protocol_violations, round(avg(tokens_out::DOUBLE), 6) AS mean_tokens_out,
+      round(sum(cost_list), 6) AS cost_list, round(sum(coalesce(cost_reported, cost_list)), 6) AS cost_usd
+    FROM c JOIN v USING (run_id) GROUP BY agent""")
+def runs_agent_totals(spark, folder):
+    log = facts(spark, folder)
+    broken = runlogs.with_error_kind(log).groupBy("run_id").agg(
+        F.count_if(F.col("kind").isin("no_tool_call", "unknown_tool")).alias("n_protocol_violations"))
+    told = runlogs.agent_totals(runlogs.run_costs(log, prices(spark, folder), "run_id").join(broken, "run_id"))
+    return told.withColumns({c: F.round(c, 6) for c in ("mean_tokens_out", "cost_list", "cost_usd")})
+
+
 # one row per (agent, seed, task): the week's number modulo 3 plays the seed
 SEEDED = SCORED + """, rows AS (SELECT agent, split_part(task_id, '-', 1) AS task_id,
       CAST(date_diff('day', DATE '2024-01-01', CAST(substr(run_id, strpos(run_id, '-') + 1) AS DATE)) // 7 % 3 AS BIGINT) AS seed,
@@ -398,6 +429,23 @@ def runs_first_generation(spark, folder):
     return first_generation(spark, folder)
 
 
+@query("runs_tools_in_order", "L-20", FIRST[:FIRST.index("lo AS (")] + """
+    n AS (SELECT run_id, idx, tool, row_number() OVER (PARTITION BY run_id, tool, a ORDER BY idx) AS turn FROM raw)
+    SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY idx) AS position, tool FROM n WHERE turn = 1""")
+def runs_tools_in_order(spark, folder):
+    return runlogs.tools_in_order(steps(spark, folder))
+
+
+@query("runs_states_of_tasks", "L-16", STOP + """
+    SELECT state, task_id, count(*) AS runs FROM stops JOIN (SELECT DISTINCT run_id, task_id FROM calls) USING (run_id)
+    GROUP BY state, task_id""")
+def runs_states_of_tasks(spark, folder):
+    """One row per state and task, however many tasks a state has."""
+    log = steps(spark, folder)
+    return stops(spark, folder, log).join(log.select("run_id", "task_id").distinct(), "run_id").groupBy("state", "task_id").agg(
+        F.count("*").alias("runs"))
+
+
 @query("runs_headline", "L-21", FIRST + """
     SELECT question_type, count(*) AS questions, round(avg(skill_correct::INT::DOUBLE), 9) AS skill_correct,
       round(avg(path_efficient::INT::DOUBLE), 9) AS path_efficient, 0e0 AS answer_has_markup,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonescope.operators.ordered import BLOCK, previous_row, running_sum, running_sums
+from tonescope.operators.ordered import BLOCK, number_rows, previous_row, running_sum, running_sums
 
 def _blocked(steps: DataFrame) -> DataFrame:
     return steps.withColumn("_block", F.expr(f"idx div {BLOCK}"))
@@ -126,6 +126,32 @@ def stopping_states(steps: DataFrame, step_cap: int, token_budget: int, timeout_
                         "steps_after")))
 
 
+def stopping_audit(stops: DataFrame, recorded: DataFrame) -> DataFrame:
+    """The state in which the rules end each run against the one that its log records.
+
+    `recorded` holds run_id and terminal_state; a run without a record has none ('missing_run_end'), and neither side
+    drops a run of the other. A run agrees if both states are equal and no step follows the end.
+    """
+    states = recorded.select("run_id", "terminal_state").dropDuplicates(["run_id"])
+    told = stops.withColumnRenamed("state", "expected").join(states, "run_id", "full")
+    found = F.coalesce("terminal_state", F.lit("missing_run_end"))
+    same = (F.col("expected") == found) & (F.col("steps_after") == 0)
+    return told.select("run_id", "expected", found.alias("recorded"), "stop_idx", "steps_after",
+                       F.coalesce(same, F.lit(False)).alias("agrees"))
+
+
+def tools_in_order(steps: DataFrame) -> DataFrame:
+    """(run_id, position, tool): the calls of every run in order, without those that repeat an earlier call.
+
+    One row per call, so a run of any length is never gathered into one value.
+    """
+    from tonescope.operators.paths import repeated_calls
+    calls = steps.where("tool IS NOT NULL")
+    fresh = calls.join(repeated_calls(steps).select("run_id", "idx"), ["run_id", "idx"], "left_anti")
+    numbered = number_rows(_blocked(fresh.select("run_id", "idx", "tool")), ["run_id"], "_block", ["idx"], "position")
+    return numbered.select("run_id", "position", "tool")
+
+
 def score_runs(steps: DataFrame, gold: DataFrame) -> DataFrame:
     """One score row per run: completion, tool recall, path efficiency, errors, latency.
 

@@ -17,11 +17,17 @@ TEMPLATES = {
     "T4": "Looking only at reviews about {aspect}, is the {sentiment} sentiment rate higher in "
           "{a} or {b}?",
     "T5": "Do {a} and {b} have significantly different {sentiment} sentiment rates for {aspect}?",
-    "T6": "How do individual organisations in {a} compare to the industry average on {aspect}?",
-    "T7": "What is the biggest driver of dissatisfaction at {a}?",
-    "T8": "Which 2 issues should {a} address first?",
+    "T6": "How do individual organisations in {a} compare to the industry average on {aspect}?"
+          " Give me each organisation's negative sentiment rate and ignore any organisations with less than"
+          " 30 mentions about {aspect}.",
+    "T7": "What is the biggest driver of dissatisfaction at {a}? Rank topics by negative sentiment rate"
+          " and ignore any topics with less than 30 mentions.",
+    "T8": "Which 2 issues should {a} address first? Rank aspects using this formula: priority score = aspect prevalence"
+          " x aspect negative rate. Ignore any aspects with less than 30 negative reviews.",
     "T9": "Why does {a} have a higher complaint rate than {b}? What should {a} improve first?",
-    "T10": "Write a CX report for {a}.",
+    "T10": "Write a CX report for {a}. Cover overall sentiment, the top 3 issues ranked by negative sentiment rate, and how"
+           " the top issue compares with the industry average using a statistical significance test. Also give me an"
+           " improvement roadmap.",
 }
 
 
