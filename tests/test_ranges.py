@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tonescope.operators import inference, ranking
+from tonescope.operators import frames, inference, ranking
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +50,27 @@ def test_frontier_equals_comparison_of_all(values, most, scope):
     want = {i for s, i, c, p in known if not any(
         (t == s or not scope) and (d < c and q >= p or d == c and q > p) for t, _, d, q in known)}
     assert got == want
+
+
+def test_holes_equal_a_frame_of_all_combinations(spark):
+    draw = random.Random(9)
+    rows = [(draw.choice("abcd"), draw.choice("uvwxyz"), draw.choice(["r", "m", None])) for _ in range(30)]
+    rows += [("e", None, "r"), (None, "t", "m"), ("a", "s", None)]
+    table = spark.createDataFrame(rows, "k string, label string, corpus string").repartition(3)
+    keys, labels = {k for k, _, _ in rows if k}, {x for _, x, _ in rows if x}
+    seen = {c: {(k, x) for k, x, d in rows if d == c and k and x} for c in "rm"}
+    told = frames.holes(table, "k", "label", {c: F.col("corpus") == c for c in "rm"}).first()
+    assert told.groups == len(keys) * len(labels)
+    assert (told.present_r, told.present_m, told.same_holes) == (len(seen["r"]), len(seen["m"]), seen["r"] == seen["m"])
+    both = frames.holes(table, "k", "label", {"x": F.col("corpus") == "r", "y": F.col("corpus") == "r"}).first()
+    assert both.same_holes is True
+    gone = {tuple(r) for r in frames.lacking(table, "k", "label", F.col("corpus") == "m").collect()}
+    assert gone == {(k, x) for k in keys for x in labels} - seen["m"]
+
+
+def test_holes_read_the_labels_once(spark):
+    from tonescope.catalog import profiles, slices
+    folder = "/root/testdata/sf0.001"
+    for query in (slices.set_same_holes, profiles.drift_presence):
+        plan = query(spark, folder)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("lineitem.parquet") == 1

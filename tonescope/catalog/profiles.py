@@ -29,7 +29,7 @@ def profile_grid(spark, folder):
 
 def sparse_counts(spark, folder):
     """Cells of organisations with holes: topic 7 missing everywhere but one industry."""
-    cells = derived.feedback_cells(spark, folder).where(
+    cells = derived.settled_cells(spark, folder).where(
         "aspect <> 'Brand#7' OR industry = 'ASIA'")
     return cells.select(F.col("org").alias("industry"), "aspect", "total_count", "neg_count",
                         "neu_count", "pos_count")
@@ -210,9 +210,8 @@ def drift_rank_correlation(spark, folder):
     FROM frame f LEFT JOIN (SELECT DISTINCT industry, aspect FROM corpora WHERE corpus = 'made') c
       ON c.industry = f.industry AND c.aspect = f.aspect"""))
 def drift_presence(spark, folder):
-    frame = frames.full_frame(derived.feedback(spark, folder), "industry", "aspect")
-    made = derived.corpora(spark, folder).where("corpus = 'made'")
-    return frames.presence(frame, made, ["industry", "aspect"])
+    told = frames.holes(derived.feedback(spark, folder), "industry", "aspect", {"made": derived.corpus_marks()["made"]})
+    return told.select(F.col("present_made").alias("present"), "groups", (F.col("present_made") / F.col("groups")).alias("share_present"))
 
 
 @query("profile_thin_share", "N-13", on_cells("""

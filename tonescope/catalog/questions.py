@@ -42,7 +42,7 @@ def settled_segments(spark, folder):
       total_count < 30 AS abstain, CASE WHEN total_count = 0 THEN '{questions.ABSENT}'
         WHEN total_count < 30 THEN '{questions.THIN}' END AS reason FROM f"""))
 def question_single_rate(spark, folder):
-    return questions.single_rate(segments(spark, folder))
+    return questions.single_rate(settled_segments(spark, folder))
 
 
 @query("question_distribution", "M-2 D-7", on_cells(SEGS + f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tonescope.catalog.base import on_cells, on_feedback, on_ratings, query
 from tonescope.functions import measures as m
 from tonescope.operators import agreement, frames, slices, summaries
+from tonescope.session import cut_lineage
 from tonescope.sources import derived
 
 INDUSTRY = "ASIA"
@@ -196,13 +197,11 @@ def join_aligned_shares(spark, folder):
       AND NOT (CAST(substr(f.aspect, 7) AS INT) % 7 = 0 AND f.source = 'F') AND f.sentiment = 'neutral'
     GROUP BY ALL"""))
 def join_full_frame(spark, folder):
-    rows = derived.feedback(spark, folder)
-    frame = frames.full_frame(rows, "industry", "aspect")
     topic = F.substring("aspect", 7, 9).cast("int")
-    present = (rows.where(~((topic % 7 == 0) & (F.col("source") == "F")))
-               .where("sentiment = 'neutral'").groupBy("industry", "aspect")
-               .agg(F.count("*").alias("n")))
-    return frames.reindexed(frame, present, ["industry", "aspect"], ["n"])
+    counted = ~((topic % 7 == 0) & (F.col("source") == "F")) & (F.col("sentiment") == "neutral")
+    # The labels are read once; the frame and what stands on it come from the counted cells.
+    cells = cut_lineage(derived.feedback(spark, folder).groupBy("industry", "aspect").agg(F.count_if(counted).alias("n")))
+    return frames.reindexed(frames.full_frame(cells, "industry", "aspect"), cells, ["industry", "aspect"], ["n"])
 
 
 @query("join_rater_pairs", "C-8", on_ratings("""
@@ -235,9 +234,8 @@ def set_union_levels(spark, folder):
              UNION ALL (SELECT * FROM made EXCEPT SELECT * FROM real))) = 0 AS same_holes
     """))
 def set_same_holes(spark, folder):
-    rows = derived.corpora(spark, folder)
-    frame = frames.full_frame(derived.feedback(spark, folder), "industry", "aspect")
-    return frames.same_holes(frame, rows, ["industry", "aspect"], "corpus", "real", "made")
+    told = frames.holes(derived.feedback(spark, folder), "industry", "aspect", derived.corpus_marks())
+    return told.select(*[(F.col("groups") - F.col(f"present_{n}")).alias(f"holes_{n}") for n in ("real", "made")], "same_holes")
 
 
 @query("set_distinct_pairs", "H-5", on_feedback("""
@@ -253,8 +251,6 @@ def set_distinct_pairs(spark, folder):
     WHERE CAST(substr(aspect, 7) AS INT) % 7 <> 0"""))
 def set_absent_groups(spark, folder):
     rows = derived.feedback(spark, folder)
-    frame = frames.full_frame(rows, "industry", "aspect")
-    present = rows.where(F.substring("aspect", 7, 9).cast("int") % 7 != 0)
-    return frames.absent(frame, present, ["industry", "aspect"])
+    return frames.lacking(rows, "industry", "aspect", F.substring("aspect", 7, 9).cast("int") % 7 != 0)
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonescope.functions.measures import rate
+from tonescope.session import cut_lineage
 
 VOCABULARY_LIMIT = 10_000
 
@@ -40,32 +40,44 @@ def absent(frame: DataFrame, present: DataFrame, keys) -> DataFrame:
     return frame.join(present.select(*keys).distinct(), keys, "left_anti").select(*keys)
 
 
+def lacking(rows: DataFrame, key: str, column: str, present: Column) -> DataFrame:
+    """(key, label) combinations without a row that is `present`; keys and labels are those of all rows.
+
+    One pass over the rows: each key keeps the set of labels that it has (at most a vocabulary), and only what it lacks is
+    exploded.
+    """
+    here = F.when(present, F.col(column))
+    cells = cut_lineage(rows.groupBy(key, column).agg(F.max(here).alias("_here")))
+    held = cells.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_set("_here").alias("_held"))
+    return held.select(key, F.explode(F.array_except(vocabulary(cells, column), "_held")).alias(column))
+
+
+def holes(rows: DataFrame, key: str, column: str, corpora: dict[str, Column]) -> DataFrame:
+    """One row: all (key, label) combinations, those present in each corpus, and whether all corpora lack the same ones.
+
+    `corpora` names conditions on the rows; keys and labels are those of all rows. The combinations are counted as keys times
+    labels and none is made: what no corpus has is lacking everywhere, so corpora differ only where one has a row. One pass, any
+    number of keys and labels.
+    """
+    seen = rows.groupBy(key, column).agg(*[F.max(F.coalesce(c, F.lit(False))).alias(f"_in_{n}") for n, c in corpora.items()])
+    whole = F.col(key).isNotNull() & F.col(column).isNotNull()
+    first, *others = [F.col(f"_in_{n}") for n in corpora]
+    same = F.lit(True)
+    for other in others:
+        same = same & (first == other)
+    return seen.agg((F.count_distinct(key) * F.count_distinct(column)).alias("groups"),
+                    *[F.count_if(whole & F.col(f"_in_{n}")).alias(f"present_{n}") for n in corpora],
+                    F.coalesce(F.every(same | ~whole), F.lit(True)).alias("same_holes"))
+
+
 def aligned(series: DataFrame, index: str, name: str, names, value: str) -> DataFrame:
     """One column per named series on the union of their indexes, 0 where a series has no entry."""
     wide = series.groupBy(index).pivot(name, names).agg(F.first(value))
     return wide.na.fill(0).select(index, *[F.col(n).alias(f"{value}_{n}") for n in names])
 
 
-def same_holes(frame: DataFrame, rows: DataFrame, keys, corpus: str, a: str, b: str) -> DataFrame:
-    """How many frame groups each corpus lacks, and whether they are the same ones."""
-    seen = rows.groupBy(*keys).agg(F.max(F.col(corpus) == a).alias("in_a"),
-                                   F.max(F.col(corpus) == b).alias("in_b"))
-    placed = frame.join(seen, keys, "left").na.fill(False, ["in_a", "in_b"])
-    return placed.agg(F.count_if(~F.col("in_a")).alias(f"holes_{a}"),
-                      F.count_if(~F.col("in_b")).alias(f"holes_{b}"),
-                      F.every(F.col("in_a") == F.col("in_b")).alias("same_holes"))
-
-
 def variation_distance(shares: DataFrame, index: str, within, corpus: str, a: str, b: str):
     """Total-variation distance between two corpora per slice: half the summed share gaps."""
     wide = (shares.groupBy(*within, index).pivot(corpus, [a, b]).agg(F.first("share"))
             .na.fill(0.0))
     return wide.groupBy(*within).agg((F.sum(F.abs(F.col(a) - F.col(b))) / 2).alias("distance"))
-
-
-def presence(frame: DataFrame, rows: DataFrame, keys) -> DataFrame:
-    """Groups of the frame that occur, out of all."""
-    seen = rows.select(*keys).distinct().withColumn("_here", F.lit(True))
-    placed = frame.join(seen, keys, "left")
-    return placed.agg(F.count("_here").alias("present"), F.count("*").alias("groups"),
-                      rate(F.count("_here"), F.count("*")).alias("share_present"))

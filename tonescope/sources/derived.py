@@ -115,10 +115,15 @@ def offsets(spark: SparkSession, folder: str) -> DataFrame:
 
 def corpora(spark: SparkSession, folder: str) -> DataFrame:
     """Two corpora for drift: `real` = source O, `made` = source F without topics 7, 14 and 21."""
-    rows = feedback(spark, folder)
-    topic = F.substring("aspect", 7, 9).cast("int")
-    return (rows.withColumn("corpus", F.when(F.col("source") == "O", "real").otherwise("made"))
-            .where((F.col("corpus") == "real") | (topic % 7 != 0)))
+    marks = corpus_marks()
+    corpus = F.when(marks["real"], "real").when(marks["made"], "made")
+    return feedback(spark, folder).withColumn("corpus", corpus).where(F.col("corpus").isNotNull())
+
+
+def corpus_marks():
+    """Which labels belong to which of the two corpora."""
+    real, topic = F.coalesce(F.col("source") == "O", F.lit(False)), F.substring("aspect", 7, 9).cast("int")
+    return {"real": real, "made": ~real & (topic % 7 != 0)}
 
 
 def logged_steps(spark: SparkSession, folder: str) -> DataFrame:
