@@ -1,11 +1,15 @@
-"""Approximate nearest neighbours by NN-descent: a neighbour graph from joins of neighbours of neighbours, greedy search.
+"""Approximate nearest neighbours by NN-descent: a neighbour graph from neighbours of neighbours, greedy search.
 
 Equal vectors are one node, with the smallest vec_ids that can be asked for. Nodes start with neighbours from leaves: in
-each of TABLES random orders, by the signs of random projections, nodes that stand together are compared. A round joins
-each node with its list, the nodes that list it (at most REVERSE, chosen by hash) and itself, and compares these with each
-other; a node takes over what is nearer than the last of its DEGREE neighbours. Rounds end when less than SETTLED of the
-lists changes. A query starts at its own node, goes on from the nearest of the BEAM best nodes that it hasn't gone on from,
-and ends when there is none. For all this vectors are rounded to bytes; the BEAM best are then compared by exact cosines.
+each of TABLES random orders, by the signs of random projections, nodes that stand together are compared. The graph has a
+row per node: the node, its DEGREE nearest and at most REVERSE of the nodes that list it (chosen by hash), each as a record
+with its vector. A round is one exchange: each node takes what it was told into its list, compares its neighbours with each
+other where one is new, tells each of those that are nearer than the last of its list, and tells those that it lists anew
+who lists them. Messages to a node are combined within a task before they travel, so that a node in the midst of many lists
+gets a bounded number from each. Rounds end when less than SETTLED of the entries are new; a round's table is deleted when
+the next is written. A query starts at its own node and goes on from all of the BEAM best nodes that it hasn't gone on from,
+until there is none: the front meets the graph, and what is near enough goes back to the query by one exchange. For all this
+vectors are rounded to bytes; the BEAM best are then compared by exact cosines.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose length isn't the most
 frequent one. Repeated rows of one vec_id are one row if equal; a query is never its own answer. With fewer than k
@@ -21,17 +25,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonescope.llm.common import only, pick_parts, settle
+from tonescope.llm.common import discard, only, pick_parts, settle
 
 DEGREE = 32
 REVERSE = 16
-TABLES, LEAF, LEAF_LINKS = 4, 64, 16
+TABLES, LEAF, LEAF_LINKS = 6, 256, 8
 #: Rows of a range of the random orders, a row per node and order; ranges are cut into leaves.
 RANGE = 8192
-OFFERS = 8
+OFFERS = 3
 ROUNDS, SETTLED = 8, 0.03
 BEAM = 128
-EDGES = "u long, w long, near float"
+#: How a node knows another: it is the node itself, it was listed, it was known to list the node, it now lists it, it is offered.
+SELF, LISTED, BACKED, BACK, OFFER = range(5)
+#: What a query has gone on from, and what it hasn't.
+DONE, OPEN = range(2)
+#: Groups compared at once, and records of one node held at once, in a task.
+AT_ONCE, HELD = 1024, 20_000
+MIXER = 0x9E3779B97F4A7C15
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -70,175 +80,296 @@ def _matrix(flat: np.ndarray, rows: int) -> np.ndarray:
     return flat.reshape(rows, -1) if rows else flat.reshape(0, 1)
 
 
-def _units(column: list[bytes]) -> np.ndarray:
-    vecs = np.frombuffer(b"".join(column), dtype=np.int8).reshape(len(column), -1).astype(np.float32)
-    return vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
-
-
-def _edges(u: list[np.ndarray], w: list[np.ndarray], near: list[np.ndarray]) -> pa.RecordBatch:
-    none = np.empty(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *u])), pa.array(np.concatenate([none, *w])),
-                                       pa.array(np.concatenate([none.astype(np.float32), *near]))],
-                                      names=["u", "w", "near"])
-
-
-def _nearest(ids: np.ndarray, near: np.ndarray, most: int, least: np.ndarray | float = -2.0) -> tuple[np.ndarray, ...]:
-    """Of a square of likenesses, for each row the `most` nearest others that are nearer than `least`."""
-    np.fill_diagonal(near, -3)
-    most = min(most, len(ids) - 1)
-    if most < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
-    at = np.argpartition(-near, most - 1, axis=1)[:, :most]
-    value = np.take_along_axis(near, at, axis=1)
-    good = value > np.broadcast_to(np.reshape(least, (-1, 1)), value.shape)
-    return np.broadcast_to(ids[:, None], value.shape)[good], ids[at][good], value[good]
-
-
-def leaf_edges(nodes: DataFrame, parts: int, seed: int = 0) -> DataFrame:
-    """First candidates: the nearest in each leaf of each random order."""
+def record(size: int) -> np.dtype:
+    """What one node knows of another: its id, their likeness, what it takes to enter its list, and its vector."""
+    return np.dtype([("id", "<i8"), ("near", "<f4"), ("least", "<f4"), ("kind", "i1"), ("vec", "i1", (size,))])
+
+
+def _units(vecs: np.ndarray) -> np.ndarray:
+    vecs = vecs.astype(np.float32)
+    return vecs / np.linalg.norm(vecs, axis=-1, keepdims=True)
+
+
+def _unpack(batch: pa.RecordBatch, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The records of all rows of (node, data), and the node of each."""
+    data = batch.column(1).to_pylist()
+    counts = [len(d) // kind.itemsize for d in data]
+    return np.repeat(batch.column(0).to_numpy(), counts), np.frombuffer(b"".join(data), kind)
+
+
+def _packed(owner: np.ndarray, recs: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(node, data): records that lie together by owner, a row for each owner."""
+    cuts = np.flatnonzero(np.diff(owner, prepend=owner[:1] - 1)) if len(owner) else np.empty(0, np.int64)
+    ends = np.concatenate([cuts, [len(owner)]]).astype(np.int32) * recs.dtype.itemsize
+    data = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(ends.astype(np.int32).tobytes()),
+                                                          pa.py_buffer(recs.tobytes())])
+    return pa.array(owner[cuts], pa.int64()), data
+
+
+def _rank(owner: np.ndarray) -> np.ndarray:
+    """The number of each row among the rows of its owner, which lie together."""
+    at = np.arange(len(owner))
+    first = np.diff(owner, prepend=owner[:1] - 1) != 0
+    return at - np.maximum.accumulate(np.where(first, at, 0))
+
+
+def _once(owner: np.ndarray, recs: np.ndarray) -> np.ndarray:
+    """Places of the records that stay when each owner keeps one of every id: that of the least kind."""
+    order = np.lexsort((recs["kind"], recs["id"], owner))
+    o, i = owner[order], recs["id"][order]
+    return order[(np.diff(o, prepend=o[:1] - 1) != 0) | (np.diff(i, prepend=i[:1] - 1) != 0)]
+
+
+def _nearest(owner: np.ndarray, recs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places by owner and likeness, and whether each is among the `most` nearest of its owner."""
+    order = np.lexsort((recs["id"], -recs["near"], owner))
+    return order, _rank(owner[order]) < most
+
+
+def _known(owner: np.ndarray, recs: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of each owner's list, of the nodes kept that list it, and of itself; each lies by owner."""
+    once = np.sort(_once(owner, recs))
+    own = once[recs["kind"][once] == SELF]
+    others = once[recs["kind"][once] != SELF]
+    others = others[recs["id"][others] != owner[others]]
+    order, good = _nearest(owner[others], recs[others], degree)
+    listed, rest = others[order[good]], others[order[~good]]
+    rest = rest[(recs["kind"][rest] == BACKED) | (recs["kind"][rest] == BACK)]
+    # Chosen by a hash of both ids, whatever the order in which they come.
+    mixed = (recs["id"][rest].astype(np.uint64) ^ (owner[rest].astype(np.uint64) << np.uint64(17))) * np.uint64(MIXER)
+    order = np.lexsort((recs["id"][rest], mixed >> np.uint64(20), owner[rest]))
+    return listed, rest[order[_rank(owner[rest][order]) < REVERSE]], own
+
+
+def _offers(recs: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Who is told of whom: within each group start..stop of records, pairs of which one is new."""
+    to, told = [np.empty(0, np.int64)], [recs[:0]]
+    for a in range(0, len(start), AT_ONCE):
+        first, size = start[a:a + AT_ONCE], (stop - start)[a:a + AT_ONCE]
+        wide = np.arange(max(2, size.max()))
+        there = wide < size[:, None]
+        at = np.where(there, first[:, None] + wide, 0)
+        vecs = _units(recs["vec"][at])
+        near = vecs @ vecs.transpose(0, 2, 1)
+        new = (recs["kind"][at] >= BACK) & there
+        bad = ~(there[:, :, None] & there[:, None, :] & (new[:, :, None] | new[:, None, :]))
+        bad |= near <= recs["least"][at][:, :, None]
+        near[bad] = -3
+        near[:, wide, wide] = -3
+        few = min(OFFERS, len(wide) - 1)
+        best = np.argpartition(-near, few - 1, axis=2)[:, :, :few]
+        value = np.take_along_axis(near, best, axis=2)
+        g, i, j = np.nonzero(value > -3)
+        out = recs[at[g, best[g, i, j]]]
+        out["near"], out["kind"] = value[g, i, j], OFFER
+        to.append(recs["id"][at[g, i]])
+        told.append(out)
+    return np.concatenate(to), np.concatenate(told)
+
+
+def _messages(to: np.ndarray, recs: np.ndarray, degree: int) -> tuple[pa.Array, pa.Array]:
+    """Messages of a task, combined: every node that is told of gets each id once, and at most `degree` offers."""
+    once = _once(to, recs)
+    to, recs = to[once], recs[once]
+    order, good = _nearest(to, recs, degree)
+    keep = order[good | (recs["kind"][order] == BACK)]
+    return _packed(to[keep], recs[keep])
+
+
+def first_messages(nodes: DataFrame, size: int, ranges: int, seed: int = 0) -> DataFrame:
+    """Each node tells of itself; in each leaf of each random order the nearest are told of each other."""
+    kind = record(size)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = batch.column(1).to_pylist()
-            vecs = _units(packed) if packed else np.empty((0, 1))
+            vecs = _units(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int8).reshape(-1, size))
             draw = np.random.default_rng(seed)
             for table in range(TABLES):
-                signs = vecs @ draw.normal(size=(vecs.shape[1], 60)) > 0
-                code = signs @ (np.int64(1) << np.arange(60, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([table] * len(packed), pa.int32()), pa.array(code), *batch.columns],
-                    names=["table", "code", "node", "bytes"])
+                signs = vecs @ draw.normal(size=(size, 60)) > 0
+                code = signs @ (np.int64(1) << np.arange(59, -1, -1, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([table] * len(vecs), pa.int32()), pa.array(code), *batch.columns],
+                                                 names=["table", "code", "node", "bytes"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table, node, packed = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_pylist()
-            found = [[], [], []]
+            table, node = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            recs = np.zeros(len(node), kind)
+            recs["id"], recs["least"], recs["kind"] = node, -2, OFFER
+            recs["vec"] = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int8).reshape(-1, size)
+            to, told = [np.empty(0, np.int64)], [recs[:0]]
             for t in np.unique(table):
                 rows = np.flatnonzero(table == t)
                 for at in np.array_split(rows, max(1, len(rows) // LEAF)):
-                    vecs = _units([packed[i] for i in at])
-                    for out, got in zip(found, _nearest(node[at], vecs @ vecs.T, LEAF_LINKS)):
-                        out.append(got)
-            yield _edges(*found)
-
-    return (nodes.select("node", "bytes").mapInArrow(coded, "table int, code long, node long, bytes binary")
-            .repartitionByRange(parts, "table", "code", "node").sortWithinPartitions("table", "code", "node")
-            .mapInArrow(leaves, EDGES))
-
-
-def best_edges(edges: DataFrame, parts: int, most: int) -> DataFrame:
-    """The `most` nearest different w of each u."""
+                    vecs = _units(recs["vec"][at])
+                    near = vecs @ vecs.T
+                    np.fill_diagonal(near, -3)
+                    few = min(LEAF_LINKS, len(at) - 1)
+                    if few < 1:
+                        continue
+                    best = np.argpartition(-near, few - 1, axis=1)[:, :few]
+                    out = recs[at[best]]
+                    out["near"] = np.take_along_axis(near, best, axis=1)
+                    to.append(np.repeat(node[at], few))
+                    told.append(out.reshape(-1))
+            yield pa.RecordBatch.from_arrays([*_messages(np.concatenate(to), np.concatenate(told), DEGREE)],
+                                             names=["node", "data"])
+
+    def selves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            recs = np.zeros(batch.num_rows, kind)
+            recs["id"], recs["near"], recs["least"], recs["kind"] = batch.column(0).to_numpy(), 1, -2, SELF
+            recs["vec"] = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int8).reshape(-1, size)
+            yield pa.RecordBatch.from_arrays([*_packed(recs["id"], recs)], names=["node", "data"])
+
+    spread = (nodes.select("node", "bytes").mapInArrow(coded, "table int, code long, node long, bytes binary")
+              .repartitionByRange(ranges, "table", "code", "node").sortWithinPartitions("table", "code", "node"))
+    told = spread.mapInArrow(leaves, "node long, data binary")
+    return told.unionByName(nodes.select("node", "bytes").mapInArrow(selves, "node long, data binary"))
+
+
+def step(rows: DataFrame, size: int, degree: int, parts: int) -> DataFrame:
+    """One round: (node, data, fresh) of every node and its messages, which have no `fresh` (new ones in the list)."""
+    kind = record(size)
+
+    def emit(owner: np.ndarray, recs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        listed, backs, own = _known(owner, recs, degree)
+        full = _rank(owner[listed]) == degree - 1
+        least = np.full(len(own), -2, np.float32)
+        least[np.searchsorted(owner[own], owner[listed][full])] = recs["near"][listed][full]
+        place = np.concatenate([own, listed, backs])
+        by = np.argsort(owner[place], kind="stable")
+        place, part = place[by], np.repeat([SELF, LISTED, BACKED], [len(own), len(listed), len(backs)])[by]
+        members = recs[place]  # of each node: itself, its list, those that list it
+        member_of = owner[place]
+        now = members.copy()
+        now["kind"] = part
+        now["least"][part == SELF] = least
+        fresh = np.bincount(np.searchsorted(owner[own], member_of),
+                            (part == LISTED) & (members["kind"] >= BACK), len(own)).astype(np.int64)
+        node, data = _packed(member_of, now)
+        yield pa.RecordBatch.from_arrays([node, data, pa.array(fresh)], names=["node", "data", "fresh"])
+        start = np.flatnonzero(part == SELF)
+        stop = np.append(start[1:], len(part))
+        busy = np.add.reduceat(members["kind"] >= BACK, start) > 0 if len(start) else np.empty(0, bool)
+        to, told = _offers(members, start[busy] + 1, stop[busy])
+        # Those newly listed learn who lists them.
+        new = np.flatnonzero((part == LISTED) & (members["kind"] >= BACK))
+        back = now[part == SELF][np.searchsorted(owner[own], member_of[new])]
+        back["near"], back["kind"] = members["near"][new], BACK
+        node, data = _messages(np.concatenate([to, members["id"][new]]), np.concatenate([told, back]), degree)
+        yield pa.RecordBatch.from_arrays([node, data, pa.nulls(len(node), pa.int64())], names=["node", "data", "fresh"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_u, last_w, count = None, None, 0  # of the row before this batch
+        owner, recs = np.empty(0, np.int64), np.empty(0, kind)
         for batch in batches:
-            u, w, near = (batch.column(i).to_numpy() for i in range(3))
-            if not len(u):
-                continue
-            same = np.concatenate([[u[0] == last_u and w[0] == last_w], (u[1:] == u[:-1]) & (w[1:] == w[:-1])])
-            last_w = w[-1]
-            u, w, near = u[~same], w[~same], near[~same]
-            if not len(u):
-                continue
-            first = np.concatenate([[True], u[1:] != u[:-1]])
-            at = np.arange(len(u))
-            rank = at - np.maximum.accumulate(np.where(first, at, 0))
-            if u[0] == last_u:
-                rank[u == last_u] += count
-            last_u, count = u[-1], int(rank[-1]) + 1
-            keep = rank < most
-            yield _edges([u[keep]], [w[keep]], [near[keep]])
-
-    return (edges.repartition(parts, "u").sortWithinPartitions("u", F.desc("near"), "w").mapInArrow(run, EDGES))
-
-
-def both_ways(graph: DataFrame, reverse: int) -> DataFrame:
-    """(u, w): the lists, and for each u at most `reverse` nodes that list it."""
-    order = Window.partitionBy("w").orderBy(F.xxhash64("u", "w"), "u")
-    back = (graph.select("u", "w").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= reverse)
-            .select(F.col("w").alias("u"), F.col("u").alias("w")))
-    return graph.select("u", "w").unionByName(back).distinct()
-
-
-def descend(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """The neighbour graph (u, w, near)."""
+            more_owner, more = _unpack(batch, kind)
+            owner, recs = np.concatenate([owner, more_owner]), np.concatenate([recs, more])
+            # The last node's rows may go on in the next batch; of a node in the midst of many lists the best are held.
+            stop = int(np.searchsorted(owner, owner[-1])) if len(owner) else 0
+            if stop:
+                yield from emit(owner[:stop], recs[:stop])
+                owner, recs = owner[stop:], recs[stop:]
+            if len(owner) > HELD:
+                keep = np.concatenate(_known(owner, recs, degree))
+                owner, recs = owner[keep], recs[keep]
+        if len(owner):
+            yield from emit(owner, recs)
+
+    return (rows.repartition(parts, "node").sortWithinPartitions("node")
+            .mapInArrow(run, "node long, data binary, fresh long"))
+
+
+def descend(nodes: DataFrame, size: int, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
+    """The neighbour graph: (node, data), the records of the node itself, its list and some nodes that list it."""
     parts = pick_parts(nodes.sparkSession)
-    packed = nodes.select(F.col("node").alias("w"), "bytes")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in chain_end(batches):
-            if batch is not None:
-                held = batch if held is None else pa.concat_batches([held, batch])
-            if held is None or not held.num_rows:
-                continue
-            at = held.column(0).to_numpy()
-            # The last node's members may go on in the next batch.
-            stop = len(at) if batch is None else int(np.searchsorted(at, at[-1]))
-            ids, least, data = held.column(1).to_numpy(), held.column(2).to_numpy(), held.column(3).to_pylist()
-            vecs = _units(data[:stop]) if stop else None
-            found, cuts = [[], [], []], np.flatnonzero(np.diff(at[:stop])) + 1
-            for a, b in zip([0, *cuts], [*cuts, stop] if stop else []):
-                for out, got in zip(found, _nearest(ids[a:b], vecs[a:b] @ vecs[a:b].T, OFFERS, least[a:b])):
-                    out.append(got)
-            yield _edges(*found)
-            held = held.slice(stop)
-
+    count = nodes.count()
     # Ranges hold many leaves each, whatever the session's partitions, so that no leaf is cut short by its range.
-    ranges = min(parts, 1 + TABLES * nodes.count() // RANGE)
-    graph = settle(best_edges(leaf_edges(nodes, ranges), parts, degree), "graph")
-    links = graph.count()
-    for _ in range(rounds):
-        worst = graph.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("near")).select(
-            F.col("u").alias("w"), F.when(F.col("n") < degree, F.lit(-2.0)).otherwise(F.col("near")).cast("float")
-            .alias("least"))
-        itself = nodes.select(F.col("node").alias("u"), F.col("node").alias("w"))
-        members = (both_ways(graph, REVERSE).unionByName(itself).join(packed.join(worst, "w", "left"), "w")
-                   .select("u", "w", F.coalesce("least", F.lit(-2.0).cast("float")).alias("least"), "bytes"))
-        offers = members.repartition(parts, "u").sortWithinPartitions("u").mapInArrow(compare, EDGES)
-        better = settle(best_edges(graph.unionByName(offers), parts, degree), "graph")
-        changed = better.join(graph, ["u", "w"], "left_anti").count()
-        graph = better
-        if changed <= SETTLED * links:
+    rows = first_messages(nodes, size, min(parts, 1 + TABLES * count // RANGE))
+    for nth in range(rounds):
+        before, rows = rows, settle(step(rows.select("node", "data"), size, degree, parts), "round")
+        if nth:
+            discard(before)
+        if (rows.agg(F.sum("fresh")).first()[0] or 0) <= SETTLED * degree * count:
             break
-    return graph
-
-
-def chain_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+    return rows.where("fresh is not null").select("node", "data")
 
 
-def greedy(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = BEAM) -> DataFrame:
+def greedy(queries: DataFrame, graph: DataFrame, size: int, beam: int = BEAM) -> DataFrame:
     """(query, node): the best nodes found. queries: (query, start, bytes)."""
-    parts = pick_parts(nodes.sparkSession)
-    links = settle(both_ways(graph, REVERSE), "links")
-    packed = nodes.select(F.col("node").alias("w"), F.col("bytes").alias("found"))
+    parts = pick_parts(graph.sparkSession)
+    kind = record(size)
+    found = np.dtype([("id", "<i8"), ("near", "<f4"), ("kind", "i1")])
+    schema = "query long, data binary, bytes binary, front array<long>, least float"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of (query, data, bytes, least): the nodes of data that are near enough to enter the query's beam."""
+        for batch in batches:
+            nth, recs = _unpack(pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(1)],
+                                                           names=["nth", "data"]), kind)
+            asked = _units(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int8).reshape(-1, size))
+            near = np.einsum("ij,ij->i", _units(recs["vec"]), asked[nth])
+            good = near > batch.column(3).to_numpy()[nth]
+            out = np.zeros(good.sum(), found)
+            out["id"], out["near"], out["kind"] = recs["id"][good], near[good], OPEN
+            owner = batch.column(0).to_numpy()[nth[good]]
+            by = np.argsort(owner, kind="stable")
+            owner, out = owner[by], out[by]
+            keep = _once(owner, out)
+            node, data = _packed(owner[keep], out[keep])
+            none = len(node)
+            yield pa.RecordBatch.from_arrays([node, data, pa.nulls(none, pa.binary())], names=["query", "data", "bytes"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query's beam with what was found; the nodes in it that it hasn't gone on from are the front."""
+
+        def emit(query: int, recs: np.ndarray, vec: bytes) -> tuple:
+            owner = np.zeros(len(recs), np.int64)
+            once = _once(owner, recs)
+            order, good = _nearest(owner[once], recs[once], beam)
+            best = recs[once][order[good]].copy()
+            front = best["id"][best["kind"] == OPEN].tolist()
+            best["kind"] = DONE
+            return query, best.tobytes(), vec, front, float(best["near"][-1]) if len(best) == beam else -2.0
+
+        last, recs, vec = None, np.empty(0, found), b""
         for batch in batches:
-            if batch.num_rows:
-                a, b = (_units(batch.column(i).to_pylist()) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", a, b))], names=["u", "w", "near"])
-
-    asked = queries.select(F.col("query").alias("u"), "bytes")
-    front = queries.select(F.col("query").alias("u"), F.col("start").alias("w"))
-    pool = settle(front.select("u", "w", F.lit(1.0).cast("float").alias("near"), F.lit(True).alias("done")), "pool")
-    seen = front
+            out = []
+            for query, data, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if query != last:
+                    if last is not None:
+                        out.append(emit(last, recs, vec))
+                    last, recs, vec = query, np.empty(0, found), b""
+                recs, vec = np.concatenate([recs, np.frombuffer(data, found)]), own or vec
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+        if last is not None:
+            out = zip(*[emit(last, recs, vec)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+
+    names = ["query", "data", "bytes", "front", "least"]
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.float32()]
+    pool = queries.select("query", F.lit(b"").alias("data"), "bytes", F.array("start").alias("front"),
+                          F.lit(-2.0).cast("float").alias("least"))
+    first = True
     while True:
-        fresh = (front.withColumnRenamed("w", "at").join(links.select(F.col("u").alias("at"), "w"), "at")
-                 .select("u", "w").distinct().join(seen, ["u", "w"], "left_anti"))
-        scored = settle(fresh.join(packed, "w").join(asked, "u").select("u", "w", "found", "bytes")
-                        .mapInArrow(score, EDGES), "scored")
-        order = Window.partitionBy("u").orderBy(F.desc("near"), "w")
-        pool = settle(pool.unionByName(scored.withColumn("done", F.lit(False)))
-                      .withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= beam).drop("nth"), "pool")
-        front = pool.where("not done").select("u", "w")
-        if front.isEmpty():
-            return pool.select(F.col("u").alias("query"), F.col("w").alias("node"))
-        seen = seen.unionByName(scored.select("u", "w"))
-        pool = pool.withColumn("done", F.lit(True))
+        # The start itself is among the records of its own node.
+        front = pool.select("query", "bytes", "least", F.explode("front").alias("node"))
+        scored = front.join(graph, "node").select("query", "data", "bytes", "least").mapInArrow(
+            score, "query long, data binary, bytes binary")
+        before, pool = pool, settle(pool.select("query", "data", "bytes").unionByName(scored).repartition(parts, "query")
+                                    .sortWithinPartitions("query").mapInArrow(merge, schema), "beam")
+        if not first:
+            discard(before)
+        first = False
+        if pool.where(F.size("front") > 0).isEmpty():
+            break
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            query, recs = _unpack(batch, found)
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(recs["id"])], names=["query", "node"])
+
+    return pool.select("query", "data").mapInArrow(ids, "query long, node long")
 
 
 def _cosine(a: str, b: str) -> Column:
@@ -250,10 +381,12 @@ def search(vectors: DataFrame, asked: Column, k: int = 5, degree: int = DEGREE,
     """query_id, rank, vec_id, score: the k nearest found of every vector for which `asked` (of vec_id) holds."""
     rows = usable(vectors)
     nodes = settle(nodes_of(rows, k + 1), "nodes")
-    graph = descend(nodes, degree)
+    width = nodes.select(F.octet_length("bytes")).first()
+    size = width[0] if width else 1
+    graph = descend(nodes, size, degree)
     queries = rows.where(asked).select(F.col("vec_id").alias("query"), "vec").distinct()
     queries = settle(queries.join(nodes.select("vec", F.col("node").alias("start"), "bytes"), "vec"), "queries")
-    found = greedy(queries, nodes, graph, beam)
+    found = greedy(queries, graph, size, beam)
     pairs = (found.join(queries.select("query", F.col("vec").alias("asked")), "query")
              .join(nodes.select("node", "vec", "members"), "node")
              .withColumn("score", _cosine("asked", "vec")).select("query", "score", F.explode("members").alias("vec_id"))
