@@ -5,8 +5,8 @@ each of TABLES random orders, by the signs of random projections, nodes that sta
 row per node: the node, its DEGREE nearest and at most REVERSE of the nodes that list it (chosen by hash), each as a record
 with its vector. A round is one exchange: each node takes what it was told into its list, compares its neighbours with each
 other where one is new, tells each of those that are nearer than the last of its list, and tells those that it lists anew
-who lists them. Messages to a node are combined within a task before they travel, so that a node in the midst of many lists
-gets a bounded number from each. Rounds end when less than SETTLED of the entries are new; a round's table is deleted when
+who lists them. Of what a node is told only what can matter of a task's batch travels, so that a node in the midst of many lists gets
+a bounded number from each. Rounds end when less than SETTLED of the entries are new; a round's table is deleted when
 the next is written. A query starts at its own node and goes on from all of the BEAM best nodes that it hasn't gone on from,
 until there is none: the front meets the graph, and what is near enough goes back to the query by one exchange. For all this
 vectors are rounded to bytes; the BEAM best are then compared by exact cosines.
@@ -97,9 +97,12 @@ def _unpack(batch: pa.RecordBatch, kind: np.dtype) -> tuple[np.ndarray, np.ndarr
     return np.repeat(batch.column(0).to_numpy(), counts), np.frombuffer(b"".join(data), kind)
 
 
-def _packed(owner: np.ndarray, recs: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """(node, data): records that lie together by owner, a row for each owner."""
-    cuts = np.flatnonzero(np.diff(owner, prepend=owner[:1] - 1)) if len(owner) else np.empty(0, np.int64)
+def _packed(owner: np.ndarray, recs: np.ndarray, sender: np.ndarray | None = None) -> tuple[pa.Array, pa.Array]:
+    """(node, data): records that lie together by owner (and sender), a row for each."""
+    new = np.diff(owner, prepend=owner[:1] - 1) != 0
+    if sender is not None:
+        new |= np.diff(sender, prepend=sender[:1]) != 0
+    cuts = np.flatnonzero(new)
     ends = np.concatenate([cuts, [len(owner)]]).astype(np.int32) * recs.dtype.itemsize
     data = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(ends.astype(np.int32).tobytes()),
                                                           pa.py_buffer(recs.tobytes())])
@@ -126,6 +129,14 @@ def _nearest(owner: np.ndarray, recs: np.ndarray, most: int) -> tuple[np.ndarray
     return order, _rank(owner[order]) < most
 
 
+def _drawn(owner: np.ndarray, recs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Of `places`, REVERSE of each owner's nodes that list it: by a hash of both ids, whatever the order they come in."""
+    at = places[(recs["kind"][places] == BACKED) | (recs["kind"][places] == BACK)]
+    mixed = (recs["id"][at].astype(np.uint64) ^ (owner[at].astype(np.uint64) << np.uint64(17))) * np.uint64(MIXER)
+    order = np.lexsort((recs["id"][at], mixed >> np.uint64(20), owner[at]))
+    return at[order[_rank(owner[at][order]) < REVERSE]]
+
+
 def _known(owner: np.ndarray, recs: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of each owner's list, of the nodes kept that list it, and of itself; each lies by owner."""
     once = np.sort(_once(owner, recs))
@@ -134,16 +145,12 @@ def _known(owner: np.ndarray, recs: np.ndarray, degree: int) -> tuple[np.ndarray
     others = others[recs["id"][others] != owner[others]]
     order, good = _nearest(owner[others], recs[others], degree)
     listed, rest = others[order[good]], others[order[~good]]
-    rest = rest[(recs["kind"][rest] == BACKED) | (recs["kind"][rest] == BACK)]
-    # Chosen by a hash of both ids, whatever the order in which they come.
-    mixed = (recs["id"][rest].astype(np.uint64) ^ (owner[rest].astype(np.uint64) << np.uint64(17))) * np.uint64(MIXER)
-    order = np.lexsort((recs["id"][rest], mixed >> np.uint64(20), owner[rest]))
-    return listed, rest[order[_rank(owner[rest][order]) < REVERSE]], own
+    return listed, _drawn(owner, recs, rest), own
 
 
-def _offers(recs: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Who is told of whom: within each group start..stop of records, pairs of which one is new."""
-    to, told = [np.empty(0, np.int64)], [recs[:0]]
+def _offers(recs: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Who is told of whom, and in which group: within each group start..stop of records, pairs of which one is new."""
+    to, told, group = [np.empty(0, np.int64)], [recs[:0]], [np.empty(0, np.int64)]
     for a in range(0, len(start), AT_ONCE):
         first, size = start[a:a + AT_ONCE], (stop - start)[a:a + AT_ONCE]
         wide = np.arange(max(2, size.max()))
@@ -164,16 +171,19 @@ def _offers(recs: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.n
         out["near"], out["kind"] = value[g, i, j], OFFER
         to.append(recs["id"][at[g, i]])
         told.append(out)
-    return np.concatenate(to), np.concatenate(told)
+        group.append(a + g)
+    return np.concatenate(to), np.concatenate(told), np.concatenate(group)
 
 
-def _messages(to: np.ndarray, recs: np.ndarray, degree: int) -> tuple[pa.Array, pa.Array]:
-    """Messages of a task, combined: every node that is told of gets each id once, and at most `degree` offers."""
+def _messages(to: np.ndarray, recs: np.ndarray, sender: np.ndarray, degree: int) -> tuple[pa.Array, pa.Array]:
+    """Messages, a row for each sender and receiver; who is told of by many is told each id once, and of the
+    `degree` nearest and the REVERSE drawn."""
     once = _once(to, recs)
-    to, recs = to[once], recs[once]
+    to, recs, sender = to[once], recs[once], sender[once]
     order, good = _nearest(to, recs, degree)
-    keep = order[good | (recs["kind"][order] == BACK)]
-    return _packed(to[keep], recs[keep])
+    keep = np.union1d(order[good], _drawn(to, recs, order[~good]))
+    keep = keep[np.lexsort((sender[keep], to[keep]))]
+    return _packed(to[keep], recs[keep], sender[keep])
 
 
 def first_messages(nodes: DataFrame, size: int, ranges: int, seed: int = 0) -> DataFrame:
@@ -211,7 +221,8 @@ def first_messages(nodes: DataFrame, size: int, ranges: int, seed: int = 0) -> D
                     out["near"] = np.take_along_axis(near, best, axis=1)
                     to.append(np.repeat(node[at], few))
                     told.append(out.reshape(-1))
-            yield pa.RecordBatch.from_arrays([*_messages(np.concatenate(to), np.concatenate(told), DEGREE)],
+            to, told = np.concatenate(to), np.concatenate(told)
+            yield pa.RecordBatch.from_arrays([*_messages(to, told, np.zeros(len(to), np.int64), TABLES * LEAF_LINKS)],
                                              names=["node", "data"])
 
     def selves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,12 +262,13 @@ def step(rows: DataFrame, size: int, degree: int, parts: int) -> DataFrame:
         start = np.flatnonzero(part == SELF)
         stop = np.append(start[1:], len(part))
         busy = np.add.reduceat(members["kind"] >= BACK, start) > 0 if len(start) else np.empty(0, bool)
-        to, told = _offers(members, start[busy] + 1, stop[busy])
+        to, told, group = _offers(members, start[busy] + 1, stop[busy])
         # Those newly listed learn who lists them.
         new = np.flatnonzero((part == LISTED) & (members["kind"] >= BACK))
         back = now[part == SELF][np.searchsorted(owner[own], member_of[new])]
         back["near"], back["kind"] = members["near"][new], BACK
-        node, data = _messages(np.concatenate([to, members["id"][new]]), np.concatenate([told, back]), degree)
+        node, data = _messages(np.concatenate([to, members["id"][new]]), np.concatenate([told, back]),
+                               np.concatenate([owner[own][busy][group], member_of[new]]), degree)
         yield pa.RecordBatch.from_arrays([node, data, pa.nulls(len(node), pa.int64())], names=["node", "data", "fresh"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
