@@ -134,6 +134,67 @@ def test_consensuality_against_brute_force(spark):
         assert abs(got[f"r{i + 1}"] - (spread(i) - spread(None))) < 1e-12
 
 
-def test_a_rater_table_has_a_limit(full):
-    with pytest.raises(ValueError):
-        agreement.rater_pairs(full, [f"r{i}" for i in range(65)])
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """100 raters, 300 units, most ratings missing, some without a score, one unit rated by all, one pair without a common unit."""
+    draw = np.random.default_rng(11)
+    table = {(u, r): int(draw.integers(0, 6)) for u in range(300) for r in range(100)
+             if u == 7 or draw.random() < 0.08}
+    table = {(u, r): s for (u, r), s in table.items() if r < 98 or u % 2 == r % 2}
+    rows = [(f"u{u}", f"r{r:02d}", s) for (u, r), s in table.items()]
+    rows += [rows[0][:2] + (-1,), ("u5", "r00", None), ("alone", None, 3)]   # repeated, without score, without rater
+    judge = {u: int(draw.integers(0, 6)) for u in range(300) if u % 10}
+    return (table, spark.createDataFrame(rows, "unit string, rater string, score int"), judge,
+            spark.createDataFrame([(f"u{u}", j) for u, j in judge.items()], "unit string, judge_score int"))
+
+
+@pytest.mark.parametrize("tile", [256, 7])
+def test_pairs_of_100_raters(crowd, tile, monkeypatch):
+    monkeypatch.setattr(agreement, "TILE", tile)
+    monkeypatch.setattr(agreement, "UNITS", 64)
+    table, ratings, _, _ = crowd
+    units = ratings.select("unit").distinct().count()
+    names = [f"r{i:02d}" for i in range(100)]
+    got = {(p.rater_a, p.rater_b): p for p in agreement.rater_pairs(ratings, names).collect()}
+    assert len(got) == 100 * 99 // 2
+    met = {(p.rater_a, p.rater_b): p for p in agreement.rater_pairs(ratings).collect()}
+    assert met == {k: p for k, p in got.items() if p.n_both}
+    by = [{u: s for (u, r), s in table.items() if r == k} for k in range(100)]
+    for a in range(100):
+        for b in range(a + 1, 100):
+            gaps = [by[a][u] - by[b][u] for u in by[a].keys() & by[b].keys()]
+            p = got[f"r{a:02d}", f"r{b:02d}"]
+            assert (p.n_both, p.n_equal) == (len(gaps), gaps.count(0))
+            assert abs(p.within_1 - sum(abs(g) <= 1 for g in gaps) / units) < 1e-12
+            assert p.mse is None if not gaps else abs(p.mse - np.mean(np.square(gaps))) < 1e-12
+    assert got["r98", "r99"].n_both == 0 and got["r98", "r99"].exact == 0
+
+
+def test_judge_against_100_raters(crowd):
+    table, ratings, judge, judged = crowd
+    got = {r.reference: r for r in agreement.judge_references(ratings, judged, [f"r{i:02d}" for i in range(100)])
+           .collect()}
+    assert len(got) == 100 + 100 * 99 // 2 + 2
+    of = {}
+    for (u, r), s in table.items():
+        if u in judge:
+            of.setdefault(u, {})[r] = s
+
+    def check(name, names):
+        gaps = [judge[u] - np.mean([s for r, s in own.items() if r in names]) for u, own in of.items() if names & own.keys()]
+        assert got[name].n == len(gaps) and abs(got[name].mse - np.mean(np.square(gaps))) < 1e-9
+
+    check("r03", {3})
+    check("mean(r03, r70)", {3, 70})
+    check("mean(r98, r99)", {98, 99})
+    check("mean(all)", set(range(100)))
+    row = agreement.judge_agreement(ratings, judged).first()
+    hits = [abs(judge[u] - s) for (u, _), s in table.items() if u in judge]
+    assert abs(row.pairwise_exact - hits.count(0) / (100 * row.n_units)) < 1e-12
+    assert abs(row.pairwise_within_1 - sum(h <= 1 for h in hits) / (100 * row.n_units)) < 1e-12
+
+
+def test_pairs_of_nothing(spark, full):
+    empty = full.where("false")
+    assert agreement.rater_pairs(empty).count() == 0
+    assert [p.n_both for p in agreement.rater_pairs(empty, ["r1", "r2"]).collect()] == [0]

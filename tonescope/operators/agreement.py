@@ -10,6 +10,8 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,10 @@ from tonescope.functions.measures import rate
 from tonescope.schema import SPREAD_CUT
 
 SCALE = [0, 1, 2, 3, 4, 5]
-RATER_LIMIT = 64
+#: Units and raters of one dense table in a task.
+UNITS, TILE = 1024, 256
+#: Of the units that both rated: their number, equal values, values at most 1 apart, squares of each, products.
+PAIR_SUMS = ["n_both", "n_equal", "n_near", "square_a", "square_b", "product"]
 REPLICATE_BATCH = 50
 
 
@@ -119,34 +124,108 @@ def bootstrap_interval(boot: DataFrame, thresholds=(0.67, 0.80)) -> DataFrame:
                     F.percentile("alpha", 0.975).alias("high"), *reach)
 
 
-def by_rater(ratings: DataFrame, raters) -> DataFrame:
-    """Units x raters, one column per named rater (others are left out); of repeated ratings the highest counts.
-
-    Output is R wide, so R is checked.
+def one_rating(ratings: DataFrame) -> DataFrame:
+    """(unit, rater, score): of repeated ratings of a unit by a rater the highest; none without a score."""
+    return (ratings.where(F.col("score").isNotNull() & F.col("rater").isNotNull())
+            .groupBy("unit", "rater").agg(F.max("score").alias("score")))
+
+
+def panel(ratings: DataFrame, raters=None) -> DataFrame:
+    """(rater, place): the named raters in their order, or all that rate, by name. Any number of them."""
+    if raters is None:
+        return ratings.where(F.col("rater").isNotNull()).select("rater", F.col("rater").alias("place")).distinct()
+    return ratings.sparkSession.createDataFrame([(r, f"{i:09d}") for i, r in enumerate(raters)],
+                                                "rater string, place string")
+
+
+def _tiles(place: np.ndarray, unit: np.ndarray, value: np.ndarray, levels: bool):
+    """Rows of PAIR_SUMS from the ratings of some units, raters taken TILE at a time."""
+    names, who = np.unique(place, return_inverse=True)
+    scale = np.unique(value) if levels else []
+    rows = int(unit.max()) + 1
+
+    def dense(start, weight):
+        here = (who >= start) & (who < start + TILE)
+        table = np.zeros((rows, min(TILE, len(names) - start)))
+        table[unit[here], who[here] - start] = weight[here]
+        return table
+
+    ones = np.ones(len(value))
+    for i in range(0, len(names), TILE):
+        left = [dense(i, w) for w in (ones, value, value * value)]
+        for j in range(i, len(names), TILE):
+            right = [dense(j, w) for w in (ones, value, value * value)]
+            both = left[0].T @ right[0]
+            a, b = np.nonzero(both)
+            a, b = a[a + i < b + j], b[a + i < b + j]
+            equal, near = np.zeros_like(both), np.zeros_like(both)
+            for level in scale:
+                at = dense(i, (value == level) * 1.0).T
+                equal += at @ dense(j, (value == level) * 1.0)
+                near += at @ dense(j, (np.abs(value - level) <= 1) * 1.0)
+            sums = [both, equal, near, left[2].T @ right[0], left[0].T @ right[2], left[1].T @ right[1]]
+            yield [names[a + i], names[b + j], *(m[a, b] for m in sums)]
+
+
+def pair_sums(values: DataFrame, levels: bool = True) -> DataFrame:
+    """Per pair of raters with common units, from (unit, place, value): PAIR_SUMS over the units of both.
+
+    A unit is one row with its ratings; tables of units x raters are multiplied, some units and TILE raters at a time, and
+    the sums of tasks are added. No pair of ratings becomes a row, and memory depends neither on the number of units nor on
+    that of raters. `levels` counts equal values and those at most 1 apart too; values must be on a scale of some levels.
     """
-    if len(raters) > RATER_LIMIT:
-        raise ValueError(f"a rater-by-rater table is limited to {RATER_LIMIT} raters")
-    return ratings.groupBy("unit").pivot("rater", list(raters)).agg(F.max("score"))
-
-
-def rater_pairs(ratings: DataFrame, raters) -> DataFrame:
-    """Per rater pair: exact and within-one agreement and mean squared difference.
-
-    A missing rating counts as a disagreement in the agreement shares and is left out of the MSE.
-    One pass over the unit table; pairs are columns of the aggregate, not rows.
+    units = values.groupBy("unit").agg(F.collect_list("place").alias("places"),
+                                       F.collect_list(F.col("value").cast("double")).alias("values"))
+
+    def multiply(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, UNITS):
+                part = batch.slice(first, UNITS)
+                unit = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(0)).to_numpy())
+                place = part.column(0).flatten().to_numpy(zero_copy_only=False)
+                for columns in _tiles(place, unit, part.column(1).flatten().to_numpy(), levels):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, pa.string() if n < 2 else pa.float64()) for n, c in enumerate(columns)],
+                        names=["a", "b", *PAIR_SUMS])
+
+    made = units.where(F.size("places") > 1).select("places", "values").mapInArrow(
+        multiply, "a string, b string, " + ", ".join(f"{c} double" for c in PAIR_SUMS))
+    return made.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in PAIR_SUMS])
+
+
+def _placed(ratings: DataFrame, raters) -> tuple[DataFrame, DataFrame]:
+    """The panel, and one rating per unit and rater of it, with the rater's place."""
+    listed = panel(ratings, raters)
+    return listed, one_rating(ratings).join(listed, "rater")
+
+
+def _all_pairs(listed: DataFrame, sums: DataFrame, raters) -> DataFrame:
+    """Every two named raters once, in their order, with their sums (NULL without units); of all raters, those with units."""
+    if raters is None:
+        return sums.withColumns({"rater_a": F.col("a"), "rater_b": F.col("b")})
+    later = F.sequence(F.col("place").cast("int") + 1, F.lit(len(raters) - 1))
+    frame = (listed.where(F.col("place").cast("int") < len(raters) - 1)
+             .select(F.col("rater").alias("rater_a"), F.col("place").alias("a"), F.explode(later).alias("nth"))
+             .withColumn("b", F.lpad(F.col("nth").cast("string"), 9, "0")))
+    names = listed.select(F.col("rater").alias("rater_b"), F.col("place").alias("b"))
+    return frame.join(names, "b").join(sums, ["a", "b"], "left")
+
+
+def rater_pairs(ratings: DataFrame, raters=None) -> DataFrame:
+    """Per rater pair: exact and within-one agreement and mean squared difference, for any number of raters.
+
+    A missing rating counts as a disagreement in the agreement shares and is left out of the MSE. Without `raters` the
+    pairs are all those that rated a unit in common.
     """
-    wide = by_rater(ratings, raters)
-    parts = []
-    for a, b in combinations(raters, 2):
-        gap = F.col(a) - F.col(b)
-        both = gap.isNotNull()
-        parts.append(F.struct(
-            F.lit(a).alias("rater_a"), F.lit(b).alias("rater_b"),
-            F.count_if(both).alias("n_both"), F.count_if(gap == 0).alias("n_equal"),
-            rate(F.count_if(gap == 0), F.count("*")).alias("exact"),
-            rate(F.count_if(F.abs(gap) <= 1), F.count("*")).alias("within_1"),
-            rate(F.sum(gap * gap), F.count_if(both)).alias("mse")))
-    return wide.agg(F.array(*parts).alias("p")).select(F.inline("p"))
+    listed, own = _placed(ratings, raters)
+    sums = pair_sums(own.select("unit", "place", F.col("score").alias("value")))
+    total = ratings.select("unit").distinct().agg(F.count("*")).scalar()
+    n = {c: F.coalesce(c, F.lit(0.0)) for c in PAIR_SUMS}
+    square = n["square_a"] + n["square_b"] - 2 * n["product"]
+    return (_all_pairs(listed, sums, raters).withColumn("units", total)
+            .select("rater_a", "rater_b", n["n_both"].cast("long").alias("n_both"), n["n_equal"].cast("long").alias("n_equal"),
+                    rate(n["n_equal"], F.col("units")).alias("exact"), rate(n["n_near"], F.col("units")).alias("within_1"),
+                    rate(square, n["n_both"]).alias("mse")))
 
 
 def mean_pair_agreement(pairs: DataFrame) -> DataFrame:
@@ -187,20 +266,22 @@ def without_wide_spread(ratings: DataFrame, cut: int = SPREAD_CUT) -> DataFrame:
     return ratings.join(wide_spread(ratings, cut), "unit", "left_anti")
 
 
-def judge_agreement(ratings: DataFrame, judge: DataFrame, raters) -> DataFrame:
-    """An automated judge against each rater and against the unit median."""
-    wide = by_rater(ratings, raters).join(unit_consensus(ratings), "unit")
-    joined = wide.join(judge.select("unit", "judge_score"), "unit", "left")
-    j = F.col("judge_score")
-    total = F.count("*")
-    exact = sum((rate(F.count_if(j == F.col(r)), total) for r in raters), F.lit(0.0))
-    near = sum((rate(F.count_if(F.abs(j - F.col(r)) <= 1), total) for r in raters), F.lit(0.0))
-    return joined.agg(
+def judge_agreement(ratings: DataFrame, judge: DataFrame, raters=None) -> DataFrame:
+    """An automated judge against each rater (any number of them) and against the unit median."""
+    listed, own = _placed(ratings, raters)
+    judged = judge.select("unit", "judge_score")
+    gap = F.abs(F.col("judge_score") - F.col("score"))
+    hits = own.join(judged, "unit").agg(F.struct(F.count_if(gap == 0).alias("equal"), F.count_if(gap <= 1).alias("near")))
+    joined = unit_consensus(ratings).join(judged, "unit", "left")
+    j, total = F.col("judge_score"), F.count("*")
+    facts = joined.agg(
         total.alias("n_units"), F.avg(j.cast("double")).alias("mean_score"),
-        (exact / len(raters)).alias("pairwise_exact"),
-        (near / len(raters)).alias("pairwise_within_1"),
         rate(F.count_if(j == F.col("median")), total).alias("median_exact"),
         rate(F.count_if(F.abs(j - F.col("median")) <= 1), total).alias("median_within_1"))
+    asked = F.col("n_units") * F.col("raters")
+    return (facts.withColumns({"hits": hits.scalar(), "raters": listed.agg(F.count("*")).scalar()})
+            .select("n_units", "mean_score", rate(F.col("hits.equal"), asked).alias("pairwise_exact"),
+                    rate(F.col("hits.near"), asked).alias("pairwise_within_1"), "median_exact", "median_within_1"))
 
 
 def judge_against_median(ratings: DataFrame, judge: DataFrame) -> DataFrame:
@@ -211,25 +292,36 @@ def judge_against_median(ratings: DataFrame, judge: DataFrame) -> DataFrame:
     return alpha(two, [i / 2 for i in range(11)])
 
 
-def judge_references(ratings: DataFrame, judge: DataFrame, raters) -> DataFrame:
-    """Judge MSE against each rater, each pair mean, the panel mean and the median."""
-    wide = (by_rater(ratings, raters).join(unit_consensus(ratings).select("unit", "median"), "unit")
-            .join(judge.select("unit", "judge_score"), "unit"))
-
-    def mean_of(names):
-        present = F.filter(F.array(*[F.col(n) for n in names]), lambda x: x.isNotNull())
-        total = F.aggregate(present, F.lit(0), lambda acc, x: acc + x)
-        return F.try_divide(total.cast("double"), F.size(present).cast("double"))
-
-    refs = [(r, F.col(r).cast("double")) for r in raters]
-    refs += [(f"mean({a}, {b})", mean_of([a, b])) for a, b in combinations(raters, 2)]
-    refs += [("mean(all)", mean_of(raters)), ("median", F.col("median"))]
-    parts = []
-    for name, ref in refs:
-        gap = F.col("judge_score") - ref
-        parts.append(F.struct(F.lit(name).alias("reference"), F.avg(gap * gap).alias("mse"),
-                              F.count(gap).alias("n")))
-    return wide.agg(F.array(*parts).alias("p")).select(F.inline("p"))
+def judge_references(ratings: DataFrame, judge: DataFrame, raters=None) -> DataFrame:
+    """Judge MSE against each rater, each pair mean, the panel mean and the median, for any number of raters.
+
+    Without `raters` the pairs are all those with a judged unit in common. The mean of a pair is over those of the two that rated the unit, so its sum is that of each rater's units alone, less the
+    common ones, plus the common ones' squared mean distance: all from sums per rater and per pair.
+    """
+    listed, own = _placed(ratings, raters)
+    judged = judge.where(F.col("judge_score").isNotNull()).select("unit", "judge_score")
+    gaps = own.join(judged, "unit").withColumn("value", (F.col("judge_score") - F.col("score")).cast("double"))
+    square = F.col("value") * F.col("value")
+    alone = listed.join(gaps.groupBy("place").agg(F.sum(square).alias("s"), F.count("*").alias("n")), "place", "left")
+    alone = alone.select("place", "rater", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("n", F.lit(0)).alias("n"))
+    a, b = (alone.select(F.col("place").alias(x), F.col("s").alias(f"s_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    pairs = _all_pairs(listed, pair_sums(gaps.select("unit", "place", "value"), levels=False), raters).join(a, "a").join(b, "b")
+    z = {c: F.coalesce(c, F.lit(0.0)) for c in PAIR_SUMS}
+    common = (z["square_a"] + z["square_b"] + 2 * z["product"]) / 4
+    total = F.col("s_a") + F.col("s_b") - z["square_a"] - z["square_b"] + common
+    count = F.col("n_a") + F.col("n_b") - z["n_both"].cast("long")
+    paired = pairs.select(F.concat(F.lit("mean("), "rater_a", F.lit(", "), "rater_b", F.lit(")")).alias("reference"),
+                          rate(total, count).alias("mse"), count.alias("n"))
+    # The mean of the gaps is the gap to the mean.
+    means = gaps.groupBy("unit").agg(F.avg("value").alias("gap"))
+    middle = unit_consensus(ratings).join(judged, "unit").select((F.col("judge_score") - F.col("median")).alias("gap"))
+
+    def whole(gap: DataFrame, name: str) -> DataFrame:
+        return gap.agg(F.avg(F.col("gap") * F.col("gap")).alias("mse"), F.count("gap").alias("n")).select(
+            F.lit(name).alias("reference"), "mse", "n")
+
+    return (alone.select(F.col("rater").alias("reference"), rate(F.col("s"), F.col("n")).alias("mse"), "n")
+            .unionByName(paired).unionByName(whole(means, "mean(all)")).unionByName(whole(middle, "median")))
 
 
 def judge_bias(ratings: DataFrame, judge: DataFrame, *keys) -> DataFrame:
