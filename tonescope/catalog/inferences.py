@@ -78,9 +78,9 @@ def test_requested_pairs(spark, folder):
 @query("test_one_sided", "J-1", on_cells(REST + TESTED + """
     SELECT org, aspect, z, round(CASE WHEN z >= 0 THEN p / 2 ELSE 1 - p / 2 END, 9) AS p_larger,
       round(CASE WHEN z <= 0 THEN p / 2 ELSE 1 - p / 2 END, 9) AS p_smaller
-    FROM judged WHERE z IS NOT NULL"""))
+    FROM judged"""))
 def test_one_sided(spark, folder):
-    tested = inference.against_rest(derived.feedback_cells(spark, folder)).where("z IS NOT NULL")
+    tested = inference.against_rest(derived.feedback_cells(spark, folder))
     both = with_p_values(with_p_values(tested, "z", "larger", "p_larger"), "z", "smaller",
                          "p_smaller")
     return both.select("org", "aspect", "z", F.round("p_larger", 9).alias("p_larger"),
@@ -88,15 +88,17 @@ def test_one_sided(spark, folder):
 
 
 @query("test_older_contract", "J-2 M-18", on_cells(PAIRS.format(k="pos_count") + TESTED + f"""
-    SELECT a, b, aspect, neg_a::DOUBLE / total_a AS p1, neg_b::DOUBLE / total_b AS p2,
-      coalesce(z, 0e0) AS z, round(coalesce(p, 1e0), 9) AS p_value, coalesce(p, 1e0) < 0.05e0 AS significant,
-      CASE WHEN neg_a::DOUBLE / total_a > neg_b::DOUBLE / total_b THEN 'a' ELSE 'b' END AS higher
-    FROM judged WHERE total_a > 0 AND total_b > 0"""))
+    , full_sides AS (SELECT *, total_a > 0 AND total_b > 0 AS ok FROM judged)
+    SELECT a, b, aspect, NOT ok AS failed, neg_a::DOUBLE / nullif(total_a, 0) AS p1, neg_b::DOUBLE / nullif(total_b, 0) AS p2,
+      CASE WHEN ok THEN coalesce(z, 0e0) END AS z, CASE WHEN ok THEN round(coalesce(p, 1e0), 9) END AS p_value,
+      CASE WHEN ok THEN coalesce(p, 1e0) < 0.05e0 END AS significant,
+      CASE WHEN NOT ok THEN NULL WHEN neg_a::DOUBLE / total_a > neg_b::DOUBLE / total_b THEN 'a' ELSE 'b' END AS higher
+    FROM full_sides"""))
 def test_older_contract(spark, folder):
     sides = inference.pair_sides(requested_pairs(spark, folder),
                                  derived.feedback_cells(spark, folder), positive="pos_count")
-    tested = inference.older_proportions_test(sides).where("error IS NULL")
-    return tested.select("a", "b", "aspect", F.col("rate_a").alias("p1"),
+    tested = inference.older_proportions_test(sides)
+    return tested.select("a", "b", "aspect", F.col("error").isNotNull().alias("failed"), F.col("rate_a").alias("p1"),
                          F.col("rate_b").alias("p2"), "z",
                          F.round("p_value", 9).alias("p_value"), "significant", "higher")
 
@@ -131,13 +133,13 @@ def three_way_sides(spark, folder):
 
 
 @query("test_chi_squared", "J-6 M-22", on_cells(PAIRS.format(k="neg_count") + f"""
-    , t AS (SELECT *, {' + '.join(CHI)} AS chi2 FROM sides WHERE total_a > 0 AND total_b > 0
-      AND na + nb > 0 AND ua + ub > 0 AND pa + pb > 0)
-    SELECT a, b, aspect, total_a AS n_a, total_b AS n_b, chi2, round(exp(-chi2 / 2), 9) AS p_value,
+    , f AS (SELECT *, NOT (total_a > 0 AND total_b > 0 AND na + nb > 0 AND ua + ub > 0 AND pa + pb > 0) AS failed FROM sides),
+    t AS (SELECT *, CASE WHEN NOT failed THEN {' + '.join(CHI)} END AS chi2 FROM f)
+    SELECT a, b, aspect, failed, total_a AS n_a, total_b AS n_b, chi2, round(exp(-chi2 / 2), 9) AS p_value,
       exp(-chi2 / 2) < 0.05e0 AS significant FROM t"""))
 def test_chi_squared(spark, folder):
-    tested = inference.chi_squared(three_way_sides(spark, folder)).where("error IS NULL")
-    return tested.select("a", "b", "aspect", "n_a", "n_b", "chi2",
+    tested = inference.chi_squared(three_way_sides(spark, folder))
+    return tested.select("a", "b", "aspect", F.col("error").isNotNull().alias("failed"), "n_a", "n_b", "chi2",
                          F.round("p_value", 9).alias("p_value"), "significant")
 
 
