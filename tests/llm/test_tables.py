@@ -2,12 +2,14 @@
 
 import collections
 import html
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tonescope.llm import importance, mixing, neighbours, packing, pagetext, sharding, urlfilter
 from tonescope.llm.queries import ORACLES, QUERIES, URL_RULES
@@ -139,6 +141,49 @@ def test_classifier_on_held_out_labels(spark, folder):
     assert sum(r["kept"] for r in rows.values()) == sum((r["log_weight"] or 0) > 0 for r in rows.values())
 
 
+def test_classifier_against_brute_force(spark, folder):
+    """Counts, ratios, scores, scale, noise and choice, one document and one n-gram after the other."""
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["doc_id"]: r for r in importance.resample(docs, labels).collect()}
+    half = importance.BUCKETS
+    grams = {r["doc_id"]: importance._grams(r["text"], importance._Hashes(), half).tolist() for r in docs.collect()}
+    key = {r["doc_id"]: r["key"] for r in labels.select("doc_id", F.xxhash64(F.lit("label"), "doc_id").alias("key")).collect()}
+    per = collections.defaultdict(list)
+    for r in labels.collect():
+        per[r["doc_id"]].append((r["quality"], r["toxic"]))
+    good = {d for d, own in per.items() if min(q for q, _ in own) == 1 and not max(t for _, t in own)}
+    bad = {d for d, own in per.items() if min(q for q, _ in own) == 0}
+    raw, target = collections.Counter(), collections.Counter()
+    for d, own in grams.items():
+        raw.update(own)
+        if d in good and key[d] % 2 == 0:
+            target.update(own)
+    total = [[sum(n for g, n in c.items() if g // half == part) for part in (0, 1)] for c in (raw, target)]
+
+    def ratio(g):
+        share = (raw[g] + 0.5) / (total[0][g // half] + 0.5 * half)
+        goal = (target[g] + importance.SMOOTHING * share) / (total[1][g // half] + importance.SMOOTHING)
+        return math.log(goal / share)
+
+    score = {d: sum(map(ratio, own)) / len(own) for d, own in grams.items() if own}
+    assert {d for d, r in got.items() if r["score"] is not None} == set(score)
+    assert all(abs(got[d]["score"] - v) < 1e-9 for d, v in score.items())
+    fine = sorted(v for d, v in score.items() if d in good and key[d] % 2)
+    poor = [v for d, v in score.items() if d in bad and key[d] % 2]
+    zero, cuts = np.quantile(fine, 0.01), sorted({*fine, *poor})
+    if poor:
+        costs = [importance.COST * sum(v < c for v in fine) / len(fine) + sum(v >= c for v in poor) / len(poor) for c in cuts]
+        best = min(range(len(cuts)), key=lambda i: (round(costs[i], 12), i))
+        zero = (cuts[best] + cuts[max(best - 1, 0)]) / 2
+    weight = {d: (v - zero) * 10 / max(np.median(fine) - zero, 1e-9) for d, v in score.items()}
+    assert all(abs(got[d]["log_weight"] - v) < 1e-6 for d, v in weight.items())
+    hashed = docs.select("doc_id", F.xxhash64(F.lit(0), F.lit("gumbel"), "doc_id").alias("h")).collect()
+    even = {r["doc_id"]: (r["h"] % (1 << 52) + 0.5) / (1 << 52) for r in hashed}
+    draw = {d: v - math.log(-math.log(even[d])) for d, v in weight.items()}
+    k = sum(v > 0 for v in weight.values())
+    assert {d for d, r in got.items() if r["kept"]} == set(sorted(draw, key=draw.get, reverse=True)[:k])
+
+
 def test_classifier_edges(spark, nasty, nothing):
     labels = spark.createDataFrame([(10, 1, 0), (None, 1, 0), (11, None, None), (99, 0, 1), (10, 1, None)],
                                    "doc_id long, quality int, toxic int")
