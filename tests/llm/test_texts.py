@@ -1,8 +1,10 @@
 """Near copies, repeated substrings, fingerprints: against brute force."""
 
 import hashlib
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tonescope.llm import neardup, substrings, winnowing
 from tonescope.llm.graphs import components
@@ -196,7 +198,19 @@ def test_kept_text_has_whole_characters(spark):
 
 
 def by_hand(text, k, w):
-    own = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if x]
+    own, word = [], ""
+    for c in text or "":
+        alone = any(a <= ord(c) <= b for a, b in (
+            (0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF),
+            (0x20000, 0x3FFFF)))
+        if word and (alone or c in " \t\n\v\f\r" or len(word) == winnowing.PIECE):
+            own.append(word)
+            word = ""
+        if alone:
+            own.append(c)
+        elif c not in " \t\n\v\f\r":
+            word += c
+    own += [word] if word else []
     return [(i, tuple(own[i:i + k])) for i in range(max(len(own) - k + 1, min(1, len(own))))]
 
 
@@ -226,6 +240,45 @@ def test_winnowing_keeps_the_guarantee_and_the_edited_text(nasty, small):
             assert bool(places) == bool(grams) and (not grams or len(grams) - last <= winnowing.W)
 
 
+def test_fingerprints_and_likeness_against_brute_force(spark, nasty):
+    """Every gram hashed one by one, every window looked through; texts without spaces are found again in part."""
+    draw = random.Random(4)
+    plain = "".join(chr(0x4E00 + draw.randrange(3000)) for _ in range(480))
+    more = [(100, plain), (101, "other words that follow here " * 20), (102, "q" + "xyz0123456789" * 60), (103, None)]
+    docs = nasty.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(
+        spark.createDataFrame(more, "doc_id long, text string"))
+    rows = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    ids = sorted(rows)
+    follower = {a: rows[b] for a, b in zip(ids, ids[1:] + ids[:1])}
+    halves = {i: t[:len(t) - len(t) // 2] + follower[i][:len(t) // 2] for i, t in rows.items()}
+    k, w = winnowing.K, winnowing.W
+    grams = {t: [g for _, g in by_hand(t, k, w)] for t in {*rows.values(), *halves.values()}}
+    every = sorted({g for own in grams.values() for g in own})
+    table = spark.createDataFrame([(i, list(g)) for i, g in enumerate(every)], "i int, g array<string>")
+    value = {every[r["i"]]: (r["h"] % (1 << 64)) >> 29 for r in table.select("i", F.xxhash64("g").alias("h")).collect()}
+
+    def kept(text):
+        hashed = [value[g] for g in grams[text]]
+        out = []
+        for a in range(max(1, len(hashed) - w + 1) if hashed else 0):
+            at = min(range(a, min(a + w, len(hashed))), key=lambda i: (hashed[i], -i))
+            if at not in out[-1:]:
+                out.append(at)
+        return " ".join(f"{i}:{hashed[i]:x}" for i in sorted(set(out)))
+
+    def like(x, y):
+        x, y = ({p.split(":")[1] for p in v.split()} for v in (x, y))
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    got = {r["doc_id"]: r for r in winnowing.edited(docs).collect()}
+    for i in ids:
+        own, half, after = kept(rows[i]), kept(halves[i]), kept(follower[i])
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (own, half)
+        assert abs(got[i]["near_edited"] - like(own, half)) < 1e-12
+        assert abs(got[i]["near_next"] - like(own, after)) < 1e-12
+    assert got[100]["near_edited"] > 0.25 and got[102]["near_edited"] > 0.25
+
+
 def test_winnowing_takes_the_rightmost_of_equal_hashes(spark):
     docs = spark.createDataFrame([(1, "a " * 40)], "doc_id long, text string")
     places = [int(p.split(":")[0]) for p in winnowing.edited(docs).first()["fingerprint"].split()]

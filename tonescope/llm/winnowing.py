@@ -1,12 +1,14 @@
-"""Document fingerprints by winnowing: hashes of k words, the minimum of each window, rightmost on ties, with positions.
+"""Document fingerprints by winnowing: hashes of k pieces, the minimum of each window, rightmost on ties, with positions.
 
-Words are runs of anything but ASCII white space. A text of n >= 1 words has max(1, n - k + 1) grams (a shorter text is
-one gram) and each window of w grams (all of them, if fewer) keeps its smallest hash, on ties the rightmost. So two texts
-that share k + w - 1 words in a row share a fingerprint hash. The gram's hash and its place are packed in one long, hash
-first and place negated, so that the plain minimum of longs is the rightmost smallest hash.
+Pieces are the words (runs of anything but ASCII white space), cut where they have no limit: code points of scripts written
+without spaces are pieces of their own, and longer words fall into pieces of PIECE code points, counted from the word's
+start. A text of n >= 1 pieces has max(1, n - k + 1) grams (a shorter text is one gram) and each window of w grams (all of
+them, if fewer) keeps its smallest hash, on ties the rightmost. So two texts that share k + w - 1 pieces in a row share a
+fingerprint hash; a text of fewer pieces has one window, so its likeness to another is mostly 0 or 1. The gram's hash and its
+place are packed in one long, hash first and place negated, so that the plain minimum of longs is the rightmost smallest hash.
 
-Null text counts as empty; an empty text has no hashes and an empty fingerprint, and two empty fingerprints have
-likeness 1. Rows of equal doc_id are ordered by their text. Other columns of the input are ignored.
+Null text counts as empty; an empty text, or one of white space alone, has no hashes and an empty fingerprint, and two empty
+fingerprints have likeness 1. Rows of equal doc_id are ordered by their text. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +19,10 @@ from pyspark.sql import functions as F
 from tonescope.llm.common import bounds_search, lookup, only
 
 K, W = 4, 8
+#: Scripts without spaces between words: Thai to Tibetan, Myanmar, Khmer, kana, ideographs.
+UNSPACED = r"\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
+PIECE = 24
+PIECES = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]{{1,{PIECE}}}"
 #: Place of a gram within a text: 28 bits; its hash: 35 bits.
 PLACES = 1 << 28
 ROWS_PER_RANGE = 4_000
@@ -25,7 +31,7 @@ MOST_RANGES = 20_000
 
 def packed(text: Column, k: int = K, w: int = W) -> Column:
     """array<long>: the packed minima of all windows, in text order, each once."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    words = F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
     top = lambda ws: F.greatest(F.size(ws) - F.lit(k - 1), F.least(F.size(ws), F.lit(1)))
 
     def grams(ws: Column) -> Column:
