@@ -121,3 +121,11 @@ def test_composite_components(make):
            for r in older.composite(segs, homes).collect() if r.component != "overview"}
     assert got["A", "org_drivers", 1] == ("x", 0.5)
     assert got["B", "industry_drivers", 1] == ("x", 0.5)
+
+
+def test_composite_components_are_written_apart(make):
+    """The branches of a union may share tasks: none may still have to sort, rank or aggregate."""
+    segs = questions.segment_cells(cells_of(make, ("I", "A", "x", 5, 10), ("I", "B", "y", 1, 10)))
+    homes = segs.where("kind = 'org'").select("segment", "industry").distinct()
+    plan = older.composite(segs, homes)._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Window", "Sort", "Aggregate", "Exchange"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tonescope.functions import measures as m
 from tonescope.operators import inference, ranking, slices, summaries
+from tonescope.session import cut_lineage
 
 DRIVER_FLOOR = 5
 
@@ -48,16 +49,16 @@ def compare_shares(pairs: DataFrame, cells: DataFrame, sentiment_column: str = "
                         higher.alias("higher"))
 
 
-def drivers(cells: DataFrame, k: int = 3, floor: int = DRIVER_FLOOR) -> DataFrame:
-    """Topics by negative share with a small volume guard, cut to k per segment."""
-    guarded = slices.min_volume(_wide(cells, "segment", "aspect"), floor)
+def drivers(cells: DataFrame, k: int = 3, floor: int = DRIVER_FLOOR, table: DataFrame | None = None) -> DataFrame:
+    """Topics by negative share with a small volume guard, cut to k per segment. `table`: their split, where there is one."""
+    guarded = slices.min_volume(_wide(cells, "segment", "aspect") if table is None else table, floor)
     return ranking.top_cut_within(guarded, "neg_share", k, ["segment"], ["aspect"]).select(
         "segment", "aspect", "neg_share", "total", "position")
 
 
-def prioritised(cells: DataFrame, k: int = 3) -> DataFrame:
-    """Topics by min-max volume plus min-max negative share inside each segment."""
-    scored = summaries.add_priority(_wide(cells, "segment", "aspect"), ["segment"])
+def prioritised(cells: DataFrame, k: int = 3, table: DataFrame | None = None) -> DataFrame:
+    """Topics by min-max volume plus min-max negative share inside each segment. `table`: as for `drivers`."""
+    scored = summaries.add_priority(_wide(cells, "segment", "aspect") if table is None else table, ["segment"])
     return ranking.top_cut_within(scored, "priority", k, ["segment"], ["aspect"]).select(
         "segment", "aspect", "priority", "position")
 
@@ -71,28 +72,33 @@ def composite(cells: DataFrame, homes: DataFrame, kinds=("compare", "recommend",
     own = homes.select("segment").distinct()
 
     def part(name, df, label, value, position=None):
+        # Each component is written by itself: the branches of a union may share tasks, which would hold the sorts of all.
         place = F.lit(1).cast("bigint") if position is None else F.col(position)
-        return df.select("segment", F.lit(name).alias("component"), place.alias("position"),
-                         label.alias("label"), value.cast("double").alias("value"))
+        return cut_lineage(df.select("segment", F.lit(name).alias("component"), place.alias("position"),
+                                     label.alias("label"), value.cast("double").alias("value")))
 
     parts = []
+    cells, own = cut_lineage(cells), cut_lineage(own)
     of_org = cells.join(own, "segment", "left_semi")
+    table = cut_lineage(_wide(cells, "segment", "aspect"))
     if "compare" in kinds:
-        parts.append(part("org_drivers", drivers(of_org), F.col("aspect"), F.col("neg_share"),
-                          "position"))
-        industry = (drivers(cells).withColumnRenamed("segment", "industry")
-                    .join(homes, "industry").drop("industry"))
-        parts.append(part("industry_drivers", industry, F.col("aspect"), F.col("neg_share"),
+        driven = cut_lineage(drivers(cells, table=table))
+        parts.append(part("org_drivers", driven.join(own, "segment", "left_semi"), F.col("aspect"), F.col("neg_share"),
                           "position"))
+        # A few rows per industry, written so that their size is known and the homes aren't dealt by industry.
+        industry = cut_lineage(driven.withColumnRenamed("segment", "industry")
+                               .join(homes.select("industry").distinct(), "industry", "left_semi"))
+        parts.append(part("industry_drivers", homes.join(industry, "industry").drop("industry"), F.col("aspect"),
+                          F.col("neg_share"), "position"))
     if "recommend" in kinds or "report" in kinds:
-        overview = split(of_org, "segment")
+        overview = cut_lineage(split(of_org, "segment"))
         for s in ("pos_share", "neg_share", "neu_share"):
             parts.append(part("overview", overview, F.lit(s), F.col(s)))
     if "report" in kinds:
         parts.append(part("top_complaints", top_topics(of_org, 3), F.col("aspect"),
                           F.col("count"), "position"))
-        parts.append(part("priorities", prioritised(of_org), F.col("aspect"), F.col("priority"),
-                          "position"))
+        parts.append(part("priorities", prioritised(of_org, table=table.join(own, "segment", "left_semi")),
+                          F.col("aspect"), F.col("priority"), "position"))
     return reduce(DataFrame.unionByName, parts)
 
 
