@@ -187,6 +187,17 @@ def test_first_json_among_prose_with_quotes_and_brackets():
     assert payload.first_json('[1] {"a": 2}', "{") == {"a": 2}
 
 
+def test_recovered_calls_are_worked_out_once(spark):
+    """However often a call's fields are read, each of the three Python scans is asked once a row."""
+    replies = spark.createDataFrame([("m", 'filter {"a": 1}'), ("m", '{"name": "rank", "arguments": {}}'), ("n", "no call")],
+                                    "model string, reply string")
+    told = payload.with_calls(replies, ["filter", "rank"]).where("call.tool IS NOT NULL").groupBy("model", "call.tool").count()
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    evaluated = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert sum(line.split("], [")[0].count("scan(") for line in evaluated) == 3
+    assert {tuple(r) for r in told.collect()} == {("m", "filter", 1), ("m", "rank", 1)}
+
+
 def test_recovered_calls(spark):
     said = ['<tool_call>{"name": "filter", "arguments": {"org": "X"}}</tool_call>',
             'I do {"name": "rank", "arguments": {}} now', '-answer {"text": "No answer."}',

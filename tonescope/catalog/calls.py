@@ -182,8 +182,7 @@ def reply_failure_rates(spark, folder):
     SELECT model, CASE k % 5 WHEN 1 THEN 'answer' ELSE 'filter' END AS tool, count(*) AS n FROM replies
     WHERE k % 5 IN (1, 2) GROUP BY ALL""")
 def reply_recovered_calls(spark, folder):
-    call = payload.recovered_call("reply", TOOL_ARGUMENTS)
-    found = derived.model_replies(spark, folder).withColumn("call", call)
+    found = payload.with_calls(derived.model_replies(spark, folder), TOOL_ARGUMENTS)
     return (found.where("call.tool IS NOT NULL").groupBy("model", F.col("call.tool").alias("tool"))
             .agg(F.count("*").alias("n")))
 
@@ -204,8 +203,8 @@ def reply_awkward_payloads(spark, folder):
     SELECT event_id, CASE WHEN form IN (2, 3) THEN 'rank' END AS tool,
       CASE form WHEN 2 THEN '{"ref":"t' || k || '"}' WHEN 3 THEN '{"top_k":' || k || '}' END AS args FROM r""")
 def reply_awkward_calls(spark, folder):
-    call = payload.recovered_call("reply", TOOL_ARGUMENTS)
-    return derived.awkward_replies(spark, folder).select("event_id", call.alias("c")).select("event_id", "c.tool", "c.args")
+    found = payload.with_calls(derived.awkward_replies(spark, folder), TOOL_ARGUMENTS)
+    return found.select("event_id", "call.tool", "call.args")
 
 
 @query("reply_markup", "I-6", REPLIES + """
