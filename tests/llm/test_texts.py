@@ -63,6 +63,22 @@ def test_stars_go_on_where_the_first_centre_resembles_neither(spark):
         i: c for i, (_, c) in want.items()}
 
 
+def test_members_of_a_template_make_no_pairs(spark):
+    """Long texts that share three quarters are told apart where they meet; those that are similar are still found."""
+    common, own = [f"c{i}" for i in range(500)], lambda k, n: [f"u{k}x{i}" for i in range(n)]
+    rows = [(k, " ".join(common + own(k, 83))) for k in range(1, 30)]
+    rows += [(40, " ".join(own("z", 40) + common)), (41, " ".join(own("y", 40) + common))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = neardup.signatures(docs, 1)
+    open_ = sets.select("doc_id", F.col("doc_id").alias("component"), "n_shingles", "parity")
+    none = spark.createDataFrame([], "a long, b long")
+    found = {tuple(r) for r in neardup.uncompared(open_, docs, none, 1, 80).collect()}
+    words = {i: set(t.split()) for i, t in rows}
+    near = {(a, b) for a in words for b in words if a < b and 100 * len(words[a] & words[b]) >= 80 * len(words[a] | words[b])}
+    assert near == found == {(40, 41)} | {(k, z) for k in range(1, 30) for z in (40, 41)
+                                          if 100 * 500 >= 80 * len(words[k] | words[z])}
+
+
 def test_the_third_and_fourth_member_of_every_shared_bucket_are_found(spark):
     """With one bin all texts with the smallest of all shingles share one bucket; its first two members resemble none."""
     hashes = neardup._Hashes()

@@ -199,6 +199,10 @@ def uncompared(open_: DataFrame, texts: DataFrame, tested: DataFrame, shingle: i
     of n, all but one less than the least common number may be missing in the other, so the n - least + 1 rarest hold a common
     one, whatever order of rarity all sets use. Shingles of one document alone take up places of it and are not joined. Families
     that share a template and differ by more than a fifth meet in no rare shingle, so they give no pairs.
+
+    Two sets hold nothing in common before the first shingle in which they meet, so what follows it in the shorter rest must
+    make up the whole overlap that similar sets need. A meeting that leaves too little is no pair: similar sets that differ in
+    few rare shingles meet early, and the further shingles they share, like the pairs of a template, make no rows.
     """
     rows = settle(shingles(texts.join(open_.select("doc_id"), "doc_id"), shingle), "shingles")
     spread = rows.groupBy("hash").agg(F.count("*").alias("spread")).where("spread > 1")
@@ -206,22 +210,24 @@ def uncompared(open_: DataFrame, texts: DataFrame, tested: DataFrame, shingle: i
     rare = Window.partitionBy("doc_id").orderBy("spread", "hash")
     placed = shared.withColumns({"nth": F.row_number().over(rare), "held": F.count("*").over(Window.partitionBy("doc_id"))})
     least = F.ceil(F.col("n_shingles") * similar / 100)
-    first = placed.join(open_, "doc_id").where(
-        F.col("n_shingles") - F.col("held") + F.col("nth") <= F.col("n_shingles") - least + 1)
-    posts = settle(first.select("hash", "doc_id", "component", "n_shingles", "parity"), "posts")
+    # Shingles from the post on, itself included.
+    rest = F.col("held") - F.col("nth") + 1
+    first = placed.join(open_, "doc_id").withColumn("rest", rest).where(F.col("rest") >= least)
+    posts = settle(first.select("hash", "doc_id", "component", "n_shingles", "parity", "rest"), "posts")
     # Only shingles of several components; in each the component of its smallest document needs no pair of its own.
     met = posts.groupBy("hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     posts = posts.join(met.select("hash"), "hash", "left_semi")
     one = posts.select("hash", F.col("doc_id").alias("x"), F.col("component").alias("of_x"), F.col("n_shingles").alias("n_x"),
-                       F.col("parity").alias("bits_x"))
+                       F.col("parity").alias("bits_x"), F.col("rest").alias("rest_x"))
     two = posts.select(F.col("hash").alias("other"), F.col("doc_id").alias("y"), F.col("component").alias("of_y"),
-                       F.col("n_shingles").alias("n_y"), F.col("parity").alias("bits_y"))
+                       F.col("n_shingles").alias("n_y"), F.col("parity").alias("bits_y"), F.col("rest").alias("rest_y"))
     # 100 * common >= similar * all, as bounds of the sizes and of the shingles in one set only.
     sizes = 100 * F.least("n_x", "n_y") >= similar * F.greatest("n_x", "n_y")
     single = sum(F.bit_count(F.get("bits_x", F.lit(i)).bitwiseXOR(F.get("bits_y", F.lit(i)))) for i in range(PARITY))
     near = single * (100 + similar) <= (F.col("n_x") + F.col("n_y")) * (100 - similar)
+    enough = F.least("rest_x", "rest_y") * (100 + similar) >= similar * (F.col("n_x") + F.col("n_y"))
     found = one.join(two, (F.col("hash") == F.col("other")) & (F.col("of_x") != F.col("of_y"))
-                     & (F.col("x") < F.col("y")) & sizes & near)
+                     & (F.col("x") < F.col("y")) & sizes & enough & near)
     return found.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
 
 
