@@ -42,6 +42,22 @@ def test_contained_equals_all_pairs(spark):
     assert got == brute(needles, haystacks)
 
 
+def test_many_and_few_wanted_prints(spark, monkeypatch):
+    """Prints that go to all tasks and prints that are joined find the same; a task gives out only what is asked for."""
+    haystacks = [(f"h{i}", f"the text number {i} holds Brand#{i % 7} and little else") for i in range(50)]
+    needles = [(f"n{i}", f"Brand#{i}") for i in range(9)] + [("w", "the"), ("x", "the text"), ("no", "zzz")]
+    got = [{tuple(r) for r in containment.contained(rows(spark, needles), rows(spark, haystacks)).collect()}]
+    wanted = containment.prints(rows(spark, needles)).select("tier", "print").distinct()
+    tiers = sorted({r.tier for r in wanted.collect()})
+    few = containment.held_prints(rows(spark, haystacks), wanted, tiers)
+    assert "Join" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(containment, "HANDED", 0)
+    many = containment.held_prints(rows(spark, haystacks), wanted, tiers)
+    assert sorted(few.collect()) == sorted(many.collect())
+    got.append({tuple(r) for r in containment.contained(rows(spark, needles), rows(spark, haystacks)).collect()})
+    assert got[0] == got[1] == brute(needles, haystacks)
+
+
 def test_nothing_is_contained_in_nothing(spark):
     none, some = rows(spark, [("a", None)]).where("false"), rows(spark, [("a", "text")])
     assert containment.contained(none, some).count() == containment.contained(some, none).count() == 0

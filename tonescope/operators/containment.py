@@ -21,11 +21,13 @@ from tonescope.session import cut_lineage
 
 #: (gram, window) in characters; a needle takes the first tier with gram + window - 1 <= its length. Grams are powers of two.
 TIERS = ((16, 17), (4, 5), (4, 1), (2, 1), (1, 1))
+#: Prints that are handed to all tasks, so that haystacks give out only those asked for.
+HANDED = 100_000
 PRINTS = "id string, tier int, print long"
 
 
-def windows(text: str, gram: int, window: int) -> np.ndarray:
-    """The distinct smallest hashes of all windows of `window` consecutive n-grams of a text."""
+def smallest(text: str, gram: int, window: int) -> np.ndarray:
+    """The smallest hashes of all windows of `window` consecutive n-grams of a text, in their order."""
     values = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     if len(values) < gram + window - 1:
         return np.empty(0, np.int64)
@@ -44,36 +46,67 @@ def windows(text: str, gram: int, window: int) -> np.ndarray:
         width *= 2
     if width < window:
         values = np.minimum(values[:width - window], values[window - width:])
-    return np.unique(values).view(np.int64)
+    return values.view(np.int64)
+
+
+def windows(text: str, gram: int, window: int) -> np.ndarray:
+    """The distinct smallest hashes of all windows."""
+    return np.unique(smallest(text, gram, window))
+
 
+def prints(texts: DataFrame, tiers: list[int] | None = None, wanted: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """(id, tier, print) of (id, text): for the given tiers, or for each text the tier of its length.
 
-def prints(texts: DataFrame, tiers: list[int] | None = None) -> DataFrame:
-    """(id, tier, print) of (id, text): for the given tiers, or for each text the tier of its length."""
+    With `wanted`, the sorted prints of each tier that are asked for, all others are left out before they leave the task.
+    """
+
+    def asked(got: np.ndarray, tier: int, marks: np.ndarray) -> np.ndarray:
+        got = got[marks[got >> 20 & 0xFFFF]]
+        if not len(got):
+            return got
+        near = np.minimum(np.searchsorted(wanted[tier], got), len(wanted[tier]) - 1)
+        return np.unique(got[wanted[tier][near] == got])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = {}   # 16 bits of every wanted print: most others go by one look
+        for tier, own in (wanted or {}).items():
+            marks[tier] = np.zeros(1 << 16, bool)
+            marks[tier][own >> 20 & 0xFFFF] = True
         for batch in batches:
-            ids, of, found = [], [], []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows, of, found, size = [], [], [], 0
+            for row, text in enumerate(batch.column(1)):
                 text = text.as_py() or ""
                 own = tiers if tiers is not None else [i for i, t in enumerate(TIERS) if sum(t) - 1 <= len(text)][:1]
                 for tier in own:
-                    got = windows(text, *TIERS[tier])
-                    ids.extend([name] * len(got))
+                    got = windows(text, *TIERS[tier]) if wanted is None else asked(
+                        smallest(text, *TIERS[tier]), tier, marks[tier])
+                    rows.append(np.full(len(got), row, np.int32))
                     of.append(np.full(len(got), tier, np.int32))
                     found.append(got)
-                if len(ids) > 1_000_000:
-                    yield told(ids, of, found)
-                    ids, of, found = [], [], []
-            yield told(ids, of, found)
-
-    def told(ids: list[str], of: list[np.ndarray], found: list[np.ndarray]) -> pa.RecordBatch:
+                    size += len(got)
+                if size > 1_000_000:
+                    yield told(batch.column(0), rows, of, found)
+                    rows, of, found, size = [], [], [], 0
+            yield told(batch.column(0), rows, of, found)
+
+    def told(names: pa.Array, rows: list[np.ndarray], of: list[np.ndarray], found: list[np.ndarray]) -> pa.RecordBatch:
+        none = np.empty(0, np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.string()), pa.array(np.concatenate([np.empty(0, np.int32), *of])),
+            [names.take(pa.array(np.concatenate([none, *rows]))), pa.array(np.concatenate([none, *of])),
              pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=["id", "tier", "print"])
 
     return texts.select("id", "text").mapInArrow(run, PRINTS)
 
 
+def held_prints(haystacks: DataFrame, wanted: DataFrame, tiers: list[int]) -> DataFrame:
+    """The wanted (tier, print) that each haystack holds. Up to HANDED of them go to all tasks; more are joined."""
+    if wanted.count() > HANDED:
+        return prints(haystacks, tiers).join(wanted, ["tier", "print"], "left_semi").select("id", "tier", "print")
+    rows = wanted.collect()   # at most HANDED pairs of numbers
+    lists = {t: np.sort(np.array([r.print for r in rows if r.tier == t], np.int64)) for t in tiers}
+    return prints(haystacks, tiers, lists)
+
+
 def contained(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
     """(needle_id, haystack_id) for every needle (id, text) that stands whole in a haystack (id, text). Ids are strings.
 
@@ -86,9 +119,8 @@ def contained(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
     asked = cut_lineage(needles.groupBy("text").agg(F.min("id").alias("lead")))
     own = cut_lineage(prints(asked.select(F.sha2("text", 256).alias("id"), "text")).withColumnRenamed("id", "needle"))
     tiers = sorted(r.tier for r in own.select("tier").distinct().collect())   # one of TIERS each
-    wanted = own.select("tier", "print").distinct()
-    held = cut_lineage(prints(haystacks, tiers).join(wanted, ["tier", "print"], "left_semi")
-                       .withColumnRenamed("id", "haystack_id"))
+    wanted = cut_lineage(own.select("tier", "print").distinct())
+    held = cut_lineage(held_prints(haystacks, wanted, tiers).withColumnRenamed("id", "haystack_id"))
     spread = held.groupBy("tier", "print").agg(F.count("*").alias("n"))
     rarest = own.join(spread, ["tier", "print"], "left").groupBy("needle", "tier").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "print")).alias("r")).where("r.n > 0").select(
