@@ -147,3 +147,19 @@ def test_repeated_ratings_are_dropped(spark, tmp_path):
         "rater", "unit", "cast(t AS timestamp) AS submitted_at").repartition(2)
     kept = drain(spark, live.ratings_feed(follow(spark, rows, tmp_path, 2)), tmp_path, "append")
     assert {r.rater: r.n for r in live.rater_counts(kept).collect()} == {"A": 2, "B": 1}
+
+
+def test_runs_share_state_rows(spark, tmp_path, monkeypatch):
+    """The state store is asked per bucket, not per run and step, and runs that share one don't touch each other."""
+    parts = [[step(f"r{r}", i, r + i, latency=0.0) for r in range(40) for i in range(part, 6, 2)] for part in (1, 0)]
+    parts += [[step("r7", 6, 20, "answer"), step("r8", 9, 20)], [step("tick", 0, 900)], [step("tick", 1, 910)]]
+    parts = [spark.createDataFrame(p, STEP) for p in parts]
+    table = arrive(spark, parts, lambda s: live.run_status(s, 12, 45_000, 2, 300, silence_s=3600, lateness="100 minutes",
+                                                           buckets=3), tmp_path)
+    assert told(table, "r7") == [(6, "running"), (7, "submitted")]
+    assert told(table, "r8") == [(6, "running"), (6, "timeout")]
+    final = live.latest(table, ["run_id"]).where("run_id NOT IN ('r7', 'tick')")
+    assert final.groupBy("steps", "state").count().collect() == [(6, "timeout", 39)]
+    kept = spark.read.format("statestore").option("stateVarName", "bucket").load(
+        str(next(tmp_path.glob("arrive-*")) / "state"))
+    assert kept.count() == 3 and kept.selectExpr("explode(value.runs)").count() == 41

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -52,17 +52,19 @@ def rater_counts(ratings: DataFrame) -> DataFrame:
 
 STATUS = "run_id string, steps long, errors long, tokens long, streak long, state string"
 ENDS = ("submitted", "stalled", "step_cap", "timeout", "token_budget")
-_RUN = ("steps long, errors long, tokens long, elapsed_ms long, streak long, reply string, state string, "
-        "last_ms long, timer_ms long")
-_STEP = "tool string, status string, reply string, tokens long, latency_s double, ms long"
+_RUN = ["steps", "errors", "tokens", "elapsed_ms", "streak", "reply", "state", "last_ms", "due_ms", "waiting"]
+_STEP = "idx:long,tool:string,status:string,reply:string,tokens:long,latency_s:double,ms:long"
+_KEPT = ("timer_ms long, runs array<struct<run_id:string,steps:long,errors:long,tokens:long,elapsed_ms:long,streak:long,"
+         f"reply:string,state:string,last_ms:long,due_ms:long,waiting:array<struct<{_STEP}>>>>")
 
 
 class RunStatus(StatefulProcessor):
-    """Follows one run: its steps in order, an end by a rule or by silence, and the expiry of what is kept.
+    """Follows the runs of one bucket: their steps in order, an end by a rule or by silence, and the expiry of what is kept.
 
-    The value state holds the run as far as its steps are complete; a step that comes before its predecessors waits in
-    a map under its number. The timer stands at the last step + `silence_ms` while the run is open and at its end +
-    `keep_ms` afterwards, when everything kept is cleared.
+    Every access to the state store is a message, so the runs of a bucket share a value state, read and written once a batch.
+    For each run it holds the run as far as its steps are complete, and the steps that came before their predecessors: at most
+    `step_cap`, since no run gets past that. A run is due at its last step + `silence_ms` while it is open and at its end +
+    `keep_ms` afterwards, when it is dropped; the bucket's timer stands at the first of them.
     """
 
     def __init__(self, step_cap: int, token_budget: int, stall_limit: int, timeout_s: float, silence_ms: int | None,
@@ -72,28 +74,39 @@ class RunStatus(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", _RUN)
-        self.waiting = handle.getMapState("waiting", "idx long", _STEP)
-
-    def _load(self) -> dict:
-        names = [f.split()[0] for f in _RUN.split(", ")]
-        kept = self.run.get() if self.run.exists() else (0, 0, 0, 0, 0, None, None, None, None)
-        return dict(zip(names, kept))
+        self.bucket = handle.getValueState("bucket", _KEPT)
+
+    def _load(self) -> tuple[int | None, dict[str, dict]]:
+        timer_ms, runs = self.bucket.get() or (None, [])
+        return timer_ms, {run_id: dict(zip(_RUN, [*kept, [tuple(step) for step in waiting]]))
+                          for run_id, *kept, waiting in runs}
+
+    def _save(self, timer_ms: int | None, runs: dict[str, dict]) -> None:
+        first = min((run["due_ms"] for run in runs.values() if run["due_ms"] is not None), default=None)
+        if first != timer_ms:
+            if timer_ms is not None:
+                self.handle.deleteTimer(timer_ms)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if runs:
+            self.bucket.update((first, [(run_id, *run.values()) for run_id, run in runs.items()]))
+        else:
+            self.bucket.clear()
 
     def _step(self, run: dict, tool, status, reply, tokens, latency_s, ms) -> None:
         """One step of an open run; the rules are tried in their order."""
         step_cap, token_budget, stall_limit, timeout_ms = self.rules
-        if self.silence_ms is not None and run["last_ms"] is not None and ms - run["last_ms"] > self.silence_ms:
+        if None not in (self.silence_ms, run["last_ms"], ms) and ms - run["last_ms"] > self.silence_ms:
             run["state"] = "timeout"  # ended before this step
             return
         run["steps"] += 1
         run["errors"] += int(status == "error")
-        run["tokens"] += 0 if pd.isna(tokens) else int(tokens)
-        run["elapsed_ms"] += 0 if pd.isna(latency_s) else math.floor(latency_s * 1000 + 0.5)
-        silent = tool is None or pd.isna(tool)
+        run["tokens"] += tokens or 0
+        run["elapsed_ms"] += 0 if latency_s is None else math.floor(latency_s * 1000 + 0.5)
+        silent = tool is None
         run["streak"] = run["streak"] + 1 if silent and run["streak"] and reply == run["reply"] else int(silent)
         run["reply"] = reply if silent else None
-        run["last_ms"] = ms
+        run["last_ms"] = run["last_ms"] if ms is None else ms
         if tool == "answer" and status == "ok":
             run["state"] = "submitted"
         elif run["streak"] >= stall_limit:
@@ -105,69 +118,64 @@ class RunStatus(StatefulProcessor):
         elif run["tokens"] > token_budget:
             run["state"] = "token_budget"
 
-    def _told(self, key, run: dict) -> pd.DataFrame:
-        return pd.DataFrame({"run_id": [key[0]], **{n: [run[n]] for n in ("steps", "errors", "tokens", "streak")},
-                             "state": [run["state"] or "running"]})
+    def _told(self, run_id: str, run: dict) -> Row:
+        return Row(run_id=run_id, steps=run["steps"], errors=run["errors"], tokens=run["tokens"], streak=run["streak"],
+                   state=run["state"] or "running")
 
-    def _save(self, run: dict, now_ms: int) -> None:
-        if run["state"] is not None:
-            due = None if self.keep_ms is None else max(now_ms, run["last_ms"] or 0) + self.keep_ms
-        else:
-            last = now_ms if run["last_ms"] is None else run["last_ms"]
-            due = None if self.silence_ms is None else last + self.silence_ms + 1
-        if due != run["timer_ms"]:
-            if run["timer_ms"] is not None:
-                self.handle.deleteTimer(run["timer_ms"])
-            if due is not None:
-                self.handle.registerTimer(due)
-            run["timer_ms"] = due
-        self.run.update(tuple(run.values()))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        run = self._load()
+    def _due(self, run: dict, now_ms: int) -> int | None:
         if run["state"] is not None:
-            return  # the end of a run stands
-        early: dict[int, tuple] = {}
-        held = self.waiting.exists()
-        for chunk in rows:
-            for idx, *step in chunk[["idx", "tool", "status", "reply", "tokens", "latency_s", "ms"]].itertuples(
-                    index=False, name=None):
-                step[:3] = [None if pd.isna(x) else x for x in step[:3]]
-                early[int(idx)] = tuple(step)
-        moved = False
+            return None if self.keep_ms is None else max(now_ms, run["last_ms"] or 0) + self.keep_ms
+        last = now_ms if run["last_ms"] is None else run["last_ms"]
+        return None if self.silence_ms is None else last + self.silence_ms + 1
+
+    def _advance(self, run: dict, early: dict[int, tuple], now_ms: int) -> bool:
+        """The run as far as its steps are complete; whether it moved."""
+        waiting = {idx: step for idx, *step in run["waiting"]}
+        before = run["steps"], run["state"]
         while run["state"] is None:
-            at = run["steps"]
-            if at in early:
-                step = early.pop(at)
-            elif held and self.waiting.containsKey((at,)):
-                step = self.waiting.getValue((at,))
-                self.waiting.removeKey((at,))
-            else:
+            step = early.pop(run["steps"], None) or waiting.pop(run["steps"], None)
+            if step is None:
                 break
             self._step(run, *step)
-            moved = True
-        if run["state"] is None:
-            for idx, step in early.items():
-                if idx > run["steps"]:  # a repeated step counts once
-                    self.waiting.updateValue((idx,), step)
-        elif held:
-            self.waiting.clear()
+        waiting.update(early)
+        # a repeated step counts once
+        run["waiting"] = [(idx, *step) for idx, step in waiting.items()
+                          if run["state"] is None and run["steps"] < idx < self.rules[0]]
         # Before the first step those that wait stand for it: a run whose first step never comes ends too.
-        self._save(run, max([timerValues.getCurrentWatermarkInMs(), *(step[-1] for step in early.values())]))
-        if moved:
-            yield self._told(key, run)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        run = self._load()
-        run["timer_ms"] = None  # it has just gone off
-        if run["state"] is not None:
-            self.run.clear()
-            self.waiting.clear()
-            return
-        run["state"] = "timeout"
-        self.waiting.clear()
-        self._save(run, timerValues.getCurrentWatermarkInMs())
-        yield self._told(key, run)
+        run["due_ms"] = self._due(run, max([now_ms, *(step[-1] for step in early.values() if step[-1] is not None)]))
+        return before != (run["steps"], run["state"])
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        timer_ms, runs = self._load()
+        came: dict[str, dict[int, tuple]] = {}
+        for row in rows:
+            run_id, idx, *step = json.loads(row[-1]).values()
+            if run_id not in runs:
+                runs[run_id] = dict(zip(_RUN, (0, 0, 0, 0, 0, None, None, None, None, [])))
+            if runs[run_id]["state"] is None:  # the end of a run stands
+                came.setdefault(run_id, {})[idx] = step
+        now_ms = timerValues.getCurrentWatermarkInMs()
+        told = [self._told(run_id, runs[run_id]) for run_id, early in came.items()
+                if self._advance(runs[run_id], early, now_ms)]
+        if came:
+            self._save(timer_ms, runs)
+        yield from told
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        _, runs = self._load()
+        now_ms, fired_ms = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        told = []
+        for run_id, run in list(runs.items()):
+            if run["due_ms"] is None or run["due_ms"] > max(fired_ms, now_ms - 1):
+                continue
+            if run["state"] is not None:
+                del runs[run_id]
+                continue
+            run["state"], run["waiting"] = "timeout", []
+            run["due_ms"] = self._due(run, now_ms)
+            told.append(self._told(run_id, run))
+        self._save(None, runs)  # the timer has just gone off
+        yield from told
 
     def close(self) -> None:
         pass
@@ -175,21 +183,27 @@ class RunStatus(StatefulProcessor):
 
 def run_status(steps: DataFrame, step_cap: int = STEP_CAP, token_budget: int = TOKEN_BUDGET,
                stall_limit: int = STALL_LIMIT, timeout_s: float = TIMEOUT_SECONDS, silence_s: int | None = None,
-               keep_s: int | None = None, lateness: str = "1 day") -> DataFrame:
+               keep_s: int | None = None, lateness: str = "1 day", buckets: int = 16_384) -> DataFrame:
     """Live status of every run: steps, errors, tokens, stall streak, and running or the state in which it ended.
 
     Steps may come in any order, in any batches, and more than once; a run advances as far as its steps are complete.
     A run ends by the first rule that fires. With `silence_s` it also times out where that much event time passes
     after a step without another one, be it that the next step is that much later or that the watermark is. With
     `keep_s` the state of an ended run is dropped that much event time later; steps that come after that start a run anew.
-    Steps older than the watermark are dropped. Needs run_id, idx, tool, status, reply, tokens, latency_s and ts.
+    Steps older than the watermark are dropped. Runs share state rows by a hash of their id, `buckets` in all; their number is
+    fixed for the life of a checkpoint and wants to be larger where very many runs are kept. Needs run_id, idx, tool, status, reply, tokens, latency_s and ts.
     """
     with_state_store(steps.sparkSession)
     slim = with_event_time(steps.select("run_id", "idx", "tool", "status", "reply", "tokens", "latency_s", "ts"), "ts")
     ms = lambda s: None if s is None else 1000 * s
-    return (slim.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", lateness).groupBy("run_id")
-            .transformWithStateInPandas(RunStatus(step_cap, token_budget, stall_limit, timeout_s, ms(silence_s), ms(keep_s)),
-                                        STATUS, "update", "eventTime"))
+    # A step travels as one text: every cell of a row costs in Python.
+    step = F.struct("run_id", "idx", "tool", "status", "reply", "tokens",
+                    F.nanvl("latency_s", F.lit(None)).alias("latency_s"), F.unix_millis("ts").alias("ms"))
+    timed = slim.withWatermark("ts", lateness).select(
+        F.pmod(F.xxhash64("run_id"), F.lit(buckets)).alias("bucket"), "ts",
+        F.to_json(step, {"ignoreNullFields": "false"}).alias("step"))
+    return timed.groupBy("bucket").transformWithState(
+        RunStatus(step_cap, token_budget, stall_limit, timeout_s, ms(silence_s), ms(keep_s)), STATUS, "update", "eventTime")
 
 
 def with_state_store(spark: SparkSession) -> None:
