@@ -64,6 +64,28 @@ def test_chains_of_any_length_are_resolved(spark):
     assert len(got) == 9 and depth == 8 and node["tool"] == "filter"
 
 
+def test_chains_are_resolved_in_blocks_from_their_makers(spark, monkeypatch):
+    rows = [("a", 0, "filter", '{"org": "X"}', "h0", "ok")] + [
+        ("a", i, "ztest", json.dumps({"ref_a": f"h{i - 1}", "ref_b": f"h{i // 2}" if i % 3 else "gone"}), f"h{i}", "ok")
+        for i in range(1, 9)]
+    rows += [("b", 0, "rank", '{"ref": "h1"}', "h0", "ok"), ("b", 1, "rank", '{"ref": "h0"}', "h1", "ok")]
+
+    def node(run, i):
+        ref = {k: v for k, v in json.loads(dict(((r[0], r[1]), r[3]) for r in rows)[run, i]).items() if k != "org"}
+        made = {r[4]: r[1] for r in rows if r[0] == run and r[1] < i}
+        args = {k: node(run, made[v]) if v in made else {"unresolved_ref": v} for k, v in ref.items()}
+        return {"tool": {(r[0], r[1]): r[2] for r in rows}[run, i], "args": args or {"org": ["X"]}}
+
+    written = []
+    monkeypatch.setattr(paths, "cut_lineage", lambda df, cut=paths.cut_lineage: written.append(cut(df)) or written[-1])
+    for block in (2, 3, 256):
+        written.clear()
+        got = {(r.run_id, r.idx): json.loads(r.signature) for r in paths.canonical_calls(calls(spark, rows), block).collect()}
+        assert got == {(r[0], r[1]): node(r[0], r[1]) for r in rows}
+    # one row a call, and the two handles nobody made; no row per call and level of its chain
+    assert [df.count() for df in written] == [11, 2]
+
+
 def test_readable_rank_always_shows_top_k(spark):
     rows = [("a", i, "rank", a, None, "ok") for i, a in enumerate(
         ['{"ref": "t1", "top_k": 3}', '{"ref": "t1"}', '{"ref": "t1", "top_k": null}', '{"ref": "t1", "ascending": false}'])]

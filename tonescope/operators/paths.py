@@ -17,6 +17,7 @@ from tonescope.schema import (ARGUMENT_CHOICES, BOOLEAN_ARGUMENTS, DEFAULT_ARGUM
 from tonescope.session import cut_lineage
 
 REFERENCES = ["ref", "ref_a", "ref_b"]
+CALL_BLOCK = 256  # consecutive step numbers whose calls are resolved in one row
 
 
 def _settled(df: DataFrame, **columns: Column) -> DataFrame:
@@ -109,49 +110,75 @@ def _nodes(calls: DataFrame) -> DataFrame:
     return grouped.select("run_id", "idx", "handle", text.alias("text"), *REFERENCES)
 
 
-def canonical_calls(calls: DataFrame) -> DataFrame:
-    """(run_id, idx, signature): every handle replaced by the call that produced it, recursively.
+def _mark(key: Column) -> Column:
+    return F.concat(F.lit("\u0001"), key, F.lit("\u0001"))
 
-    Expansion walks down from each call, one equi-join on (run_id, handle) per level against the same call table, which
-    is parsed once and written to the shared folder, and ends when no link is open; a level holds only open links. A
-    handle is looked up among earlier calls only, so chains end. A handle nobody produced is kept as unresolved.
+
+def _marks(text="text") -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("\u0001([^\u0001]+)\u0001"), F.lit(1)))
+
+
+def _filled(df: DataFrame, keys, answers: DataFrame) -> DataFrame:
+    """The texts with every mark replaced by its answer (run_id, mark, answer)."""
+    asked = df.select(*keys, "text", F.explode(_marks()).alias("mark"))
+    found = asked.join(answers, ["run_id", "mark"]).groupBy(*keys).agg(
+        F.first("text").alias("text"), F.collect_list(F.struct("mark", "answer")).alias("_a"))
+    return found.select(*keys, F.aggregate(
+        "_a", F.col("text"), lambda acc, x: F.replace(acc, _mark(x["mark"]), x["answer"])).alias("text"))
+
+
+def canonical_calls(calls: DataFrame, block: int = CALL_BLOCK) -> DataFrame:
+    """(run_id, idx, signature): every handle replaced by the latest earlier call that produced it, recursively.
+
+    The calls of a run are cut into blocks of `block` step numbers. Inside a block they are resolved in their order, each from
+    the finished text of its makers, so a call is one row however long its chain is. A handle of an earlier block leaves a mark
+    (block and handle) in the text; only marks go on, distinct ones, one equi-join on (run_id, handle) per block that a chain
+    goes back. A handle nobody produced is kept as unresolved.
     """
-    nodes = cut_lineage(_nodes(calls))
-    links = F.array(*[F.struct(F.lit(r).alias("name"), F.col(r).alias("to")) for r in REFERENCES])
-
-    def open_links(df):
-        return (df.withColumn("_l", F.explode(F.filter(links, lambda x: x["to"].isNotNull())))
-                .select("run_id", "root", F.col("at").alias("before"),
-                        F.concat("path", F.lit("<"), F.col("_l.name"), F.lit(">")).alias("path"),
-                        F.col("_l.to").alias("handle")))
-
-    level = nodes.select("run_id", F.col("idx").alias("root"), F.col("idx").alias("at"), F.lit("").alias("path"), "text",
-                         *REFERENCES)
-    makers = nodes.where(F.col("handle").isNotNull()).withColumnRenamed("idx", "at")
-    found = [level.select("run_id", "root", "path", "text")]
-    unresolved = F.concat(F.lit('{"unresolved_ref":'), _quoted(F.col("handle")), F.lit("}"))
-    while True:
-        asked = open_links(level)
-        earlier = asked.join(makers, ["run_id", "handle"], "left").where("at IS NULL OR at < before")
-        known = earlier.where("at IS NOT NULL")
-        missing = (asked.join(known.select("run_id", "root", "path"), ["run_id", "root", "path"], "left_anti")
-                   .withColumn("text", unresolved))
-        level = cut_lineage(known.unionByName(missing, allowMissingColumns=True).drop("handle", "before"))
-        if level.isEmpty():
-            break
-        found.append(level.select("run_id", "root", "path", "text"))
-    pieces = reduce(DataFrame.unionByName, found)
-    # marks inside a piece become absolute paths, then each is replaced by its piece, outermost first
-    absolute = F.regexp_replace("text", "<(ref|ref_a|ref_b)>",
-                                F.concat(F.lit("\u0001"), F.col("path"), F.lit("<$1>\u0001")))
-    per_call = (pieces.withColumn("text", absolute).groupBy("run_id", "root")
-                .agg(F.array_sort(F.collect_list(F.struct(F.length("path").alias("n"), "path",
-                                                          "text"))).alias("p")))
-    mark = "\u0001"
-    folded = F.aggregate(
-        F.slice("p", 2, F.size("p")), F.element_at("p", 1)["text"],
-        lambda acc, x: F.replace(acc, F.concat(F.lit(mark), x["path"], F.lit(mark)), x["text"]))
-    return per_call.select("run_id", F.col("root").alias("idx"), folded.alias("signature"))
+    slot = F.floor(F.col("idx") / block)
+    nodes = _nodes(calls)
+    shape = f"array<struct<idx:{nodes.schema['idx'].dataType.simpleString()},handle:string,text:string>>"
+
+    def resolved(done, x):
+        def made_by(handle):
+            return F.try_element_at(F.filter(done, lambda d: d["handle"] == handle), F.lit(-1))["text"]
+
+        text = x["text"]
+        for name in REFERENCES:
+            made = made_by(x[name])
+            open_ = _mark(F.concat_ws(":", F.col("slot"), x[name]))
+            text = F.when(x[name].isNull(), text).otherwise(F.replace(text, F.lit(f"<{name}>"), F.coalesce(made, open_)))
+        return F.concat(done, F.array(F.struct(x["idx"].alias("idx"), x["handle"].alias("handle"), text.alias("text"))))
+
+    own = F.array_sort(F.collect_list(F.struct("idx", "handle", "text", *REFERENCES)))
+    local = cut_lineage(nodes.groupBy("run_id", slot.alias("slot")).agg(own.alias("p")).select(
+        "run_id", "slot", F.inline(F.aggregate("p", F.array().cast(shape), resolved))))
+    is_open = F.contains("text", F.lit("\u0001"))
+    makers = local.where("handle IS NOT NULL").select("run_id", "handle", F.col("slot").alias("made_in"), F.col("idx").alias("at"),
+                                                      F.col("text").alias("answer"))
+
+    def looked_up(df):
+        marks = df.select("run_id", F.explode(_marks()).alias("mark")).distinct()
+        asked = marks.withColumns({"slot": F.substring_index("mark", ":", 1).cast("bigint"),
+                                   "handle": F.expr("substr(mark, instr(mark, ':') + 1)")})
+        found = asked.join(makers, ["run_id", "handle"]).where("made_in < slot").groupBy("run_id", "mark").agg(
+            F.max_by("answer", "at").alias("answer"))
+        nobody = F.concat(F.lit('{"unresolved_ref":'), _quoted(F.col("handle")), F.lit("}"))
+        return asked.join(found, ["run_id", "mark"], "left").select(
+            "run_id", "mark", F.coalesce("answer", nobody).alias("text"))
+
+    done = local.where(~is_open).select("run_id", "idx", F.col("text").alias("signature"))
+    waiting = local.where(is_open).select("run_id", "idx", "text")
+    if waiting.isEmpty():
+        return done
+    answers = cut_lineage(looked_up(waiting))
+    while not answers.where(is_open).isEmpty():
+        still = answers.where(is_open)
+        filled = _filled(still.withColumnRenamed("mark", "stands_for"), ["run_id", "stands_for"],
+                         looked_up(still).withColumnRenamed("text", "answer"))
+        answers = cut_lineage(answers.where(~is_open).unionByName(filled.withColumnRenamed("stands_for", "mark")))
+    told = _filled(waiting, ["run_id", "idx"], answers.withColumnRenamed("text", "answer"))
+    return done.unionByName(told.withColumnRenamed("text", "signature"))
 
 
 def work_steps(steps: DataFrame) -> DataFrame:
